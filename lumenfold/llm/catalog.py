@@ -1,9 +1,10 @@
 """Queries of this subpackage, each over its whole table."""
 
-from . import bpe
+from . import bpe, simhash
 
 QUERIES = {
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op8_simhash": simhash.op8_simhash,
 }
 
 ORACLES: dict[str, str] = {}
