@@ -1,8 +1,9 @@
 """Queries of this subpackage, each over its whole table."""
 
-from . import bpe, html_text, simhash
+from . import bpe, html_text, simhash, token_store
 
 QUERIES = {
+    "op4_token_store": token_store.op4_token_store,
     "op1_html_text": html_text.op1_html_text,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op8_simhash": simhash.op8_simhash,
