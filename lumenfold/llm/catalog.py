@@ -1,12 +1,15 @@
 """Queries of this subpackage, each over its whole table."""
 
-from . import bpe, html_text, simhash, token_store
+from . import bpe, html_text, quality, simhash, token_store
 
 QUERIES = {
+    "op7_quality_rules": quality.op7_quality_rules,
     "op4_token_store": token_store.op4_token_store,
     "op1_html_text": html_text.op1_html_text,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op8_simhash": simhash.op8_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_quality_rules": quality.OP7_SQL,
+}
