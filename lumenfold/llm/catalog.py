@@ -1,8 +1,10 @@
 """Queries of this subpackage, each over its whole table."""
 
-from . import bpe, html_text, quality, simhash, token_store
+from . import bpe, html_text, line_dedup, mixing, quality, simhash, token_store
 
 QUERIES = {
+    "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op6_source_mix": mixing.op6_source_mix,
     "op7_quality_rules": quality.op7_quality_rules,
     "op4_token_store": token_store.op4_token_store,
     "op1_html_text": html_text.op1_html_text,
@@ -11,5 +13,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op10_line_dedup": line_dedup.OP10_SQL,
     "op7_quality_rules": quality.OP7_SQL,
 }
