@@ -1,8 +1,9 @@
 """Queries of this subpackage, each over its whole table."""
 
-from . import bpe, html_text, line_dedup, mixing, quality, simhash, token_store
+from . import bpe, html_text, line_dedup, mixing, quality, simhash, token_store, topk
 
 QUERIES = {
+    "op9_top_k": topk.op9_top_k,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op6_source_mix": mixing.op6_source_mix,
     "op7_quality_rules": quality.op7_quality_rules,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op9_top_k": topk.OP9_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
     "op7_quality_rules": quality.OP7_SQL,
 }
