@@ -1,8 +1,9 @@
 """Queries of this subpackage, each over its whole table."""
 
-from . import bpe, html_text, line_dedup, mixing, quality, simhash, token_store, topk
+from . import bpe, html_text, line_dedup, mixing, passages, quality, simhash, token_store, topk
 
 QUERIES = {
+    "op3_substring_dedup": passages.op3_substring_dedup,
     "op9_top_k": topk.op9_top_k,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op6_source_mix": mixing.op6_source_mix,

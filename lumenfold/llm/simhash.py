@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import empty_if_null, materialize, small
+from .common import WORD, empty_if_null, materialize, small
 from .components import connected_components
 
 SEED = 42
@@ -225,14 +225,19 @@ def links_within(nodes: DataFrame, radius: int) -> DataFrame:
     threshold = F.element_at(F.array(*[F.lit(t) for t in chosen]), F.col("part") + 1)
     rows = own.where(threshold >= 0).select("node", "fp", "part", "v", threshold.alias("t"), F.explode(F.when(threshold >= 1, ball).otherwise(F.array("v"))).alias("z"))
     rows = rows.select((F.col("part").cast("bigint") * F.lit(1 << 40).cast("bigint") + F.col("z")).alias("key"), "node", "fp", F.when((F.col("t") == 1) & (F.col("z") != F.col("v")), 1).otherwise(0).alias("role"))
-    hot = materialize(met.where(F.col("near") > KEY_ROWS).where(threshold >= 0).select((F.col("part").cast("bigint") * F.lit(1 << 40).cast("bigint") + F.col("z")).alias("key"), F.ceil(F.col("near") / KEY_ROWS).cast("int").alias("chunks")), "hot")
+    near = met.where(threshold >= 0).select((F.col("part").cast("bigint") * F.lit(1 << 40).cast("bigint") + F.col("z")).alias("key"), "near")
+    return compared(rows, near, radius)
+
+
+def compared(rows: DataFrame, sizes: DataFrame, radius: int) -> DataFrame:
+    """rows (key, node, fp, role) and sizes (key, near: about how many rows it has) -> a spanning forest of
+    links (a, b, distance) between rows of a key. Rows of a large key are dealt to all pairs of its chunks."""
+    hot = materialize(sizes.where(F.col("near") > KEY_ROWS).select("key", F.ceil(F.col("near") / KEY_ROWS).cast("int").alias("chunks")), "hot")
     if hot.limit(1).count():
         own_chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-        dealt_rows = rows.join(small(hot), "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("own", own_chunk)
-        rows = dealt_rows.select("key", "node", "fp", "role", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "fp", "role")
-    else:
-        rows = rows.select("key", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "node", "fp", "role")
-    rows = rows.select(F.when(F.col("hi") == 0, F.col("key")).otherwise(F.xxhash64("key", "lo", "hi")).alias("key"), "node", "fp", "role")
+        dealt = rows.join(small(hot), "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("own", own_chunk)
+        dealt = dealt.select("key", "node", "fp", "role", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "fp", "role")
+        rows = dealt.select(F.when(F.col("hi") == 0, F.col("key")).otherwise(F.xxhash64("key", "lo", "hi")).alias("key"), "node", "fp", "role")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links, rest = Links(), None
@@ -267,6 +272,71 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return fps.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """texts (node, t) -> (node, s array<bigint>): hashes of distinct runs of so many words."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            sets = [np.unique(word_hashes(t, words, True)).astype(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
+
+    return texts.mapInArrow(run, "node bigint, s array<bigint>")
+
+
+def verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) of nodes whose sets have at least the Jaccard similarity."""
+    sided = links.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return sided.where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
+
+
+#: Of the near-duplicate filter: candidates by fingerprints of distinct word pairs, links by shingles.
+PAIR_WORDS, PAIR_RADIUS, SHINGLE_WORDS, SIMILARITY = 2, 8, 5, 0.8
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: the one of the smallest id (a null id is the
+    last), and of equal ids the one of the smallest text hash.
+
+    Equal texts are one node. Candidates are texts whose fingerprints of distinct word pairs differ in at most
+    PAIR_RADIUS bits, a minimum spanning forest of which is verified: a link needs a Jaccard similarity of
+    SIMILARITY of the five-word shingles. Texts without a word are equal to each other. A null text counts as
+    empty. Columns stay as they are; an empty table gives no rows.
+    """
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).alias("__id"), empty_if_null(text_col).alias("__t"))
+    packed = packed.withColumn("__h", F.xxhash64("__t"))
+    source = packed.select("__id", "__h", "__t")
+    id_kind = source.schema["__id"].dataType.simpleString()
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            hashes = [word_hashes(t, PAIR_WORDS, True) for t in batch.column(2).to_pylist()]
+            fps = pa.array([fingerprint(h) for h in hashes], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps, pa.array([len(h) == 0 for h in hashes], pa.bool_())], names=["id", "node", "fp", "empty"])
+
+    rows = source.mapInArrow(run, f"id {id_kind}, node bigint, fp bigint, empty boolean")
+    rows = materialize(rows.withColumn("node", F.when(F.col("empty"), F.lit(0).cast("bigint")).otherwise(F.col("node"))), "rows")
+    nodes = materialize(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min("id").alias("least")), "nodes")
+    links = materialize(links_within(nodes.select("node", "fp"), PAIR_RADIUS), "links")
+    ends = materialize(links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct(), "ends")
+    texts = packed.join(ends, F.col("__h") == F.col("node")).groupBy("node").agg(F.first("__t").alias("t"))
+    comps = connected_components(verified(links, materialize(shingle_sets(texts, SHINGLE_WORDS), "sets"), SIMILARITY))
+    named = nodes.join(comps, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    # one row stays of each component: the smallest id, then the smallest text hash
+    head = named.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("x")).select(F.col("x.least").alias("keep_id"), F.col("x.node").alias("keep"))
+    head = materialize(head, "heads")
+    own = F.when(~F.col("__t").rlike(WORD), F.lit(0).cast("bigint")).otherwise(F.col("__h"))
+    kept = packed.withColumn("__node", own).join(head.hint("merge"), (F.col("__node") == F.col("keep")) & F.col("__id").eqNullSafe(F.col("keep_id")), "left_semi")
+    # repeated rows: equal in id and text; looked for in the narrow table, and met only where there are any
+    twice = rows.groupBy("id", "node").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("twice_id"), F.col("node").alias("twice"))
+    twice = materialize(twice.join(head, (F.col("twice") == F.col("keep")) & F.col("twice_id").eqNullSafe(F.col("keep_id")), "left_semi"), "twice")
+    if twice.limit(1).count():
+        on = (F.col("__node") == F.col("twice")) & F.col("__id").eqNullSafe(F.col("twice_id"))
+        once = kept.join(small(twice), on, "left_semi").dropDuplicates(["__id", "__node"])
+        kept = kept.join(small(twice), on, "left_anti").unionByName(once)
+    return kept.select("__row.*")
+
+
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of four-word shingles of every document, linked within four bits."""
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
