@@ -1,4 +1,6 @@
 """Queries of the engine over the shared tables, each with its SQL for DuckDB."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lumenfold.plans import text_queries
+
+QUERIES = {**text_queries.QUERIES}
+ORACLES = {**text_queries.ORACLES}
