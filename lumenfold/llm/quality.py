@@ -123,7 +123,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
     narrow = materialize(text_features(docs.select(id_col, stratum_col, text_col), text_col).drop(text_col), "features")
     limits = materialize(cutoffs(narrow, labels, id_col=id_col, stratum_col=stratum_col), "cutoffs")
     packed = own.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(stratum_col).alias("__stratum_value"), F.col(text_col).alias("__text"))
-    return judged(text_features(packed, "__text"), limits, stratum_col="__stratum_value").where("kept").select("__row.*")
+    # the row number keeps the filter above the features: pushed below, it would repeat them for every element
+    features = text_features(packed, "__text").withColumn("__n", F.monotonically_increasing_id())
+    return judged(features, limits, stratum_col="__stratum_value").where(F.col("kept") & (F.col("__n") >= 0)).select("__row.*")
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -319,7 +319,7 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     nodes = materialize(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min("id").alias("least")), "nodes")
     links = materialize(links_within(nodes.select("node", "fp"), PAIR_RADIUS), "links")
     ends = materialize(links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct(), "ends")
-    texts = packed.join(ends, F.col("__h") == F.col("node")).groupBy("node").agg(F.first("__t").alias("t"))
+    texts = packed.join(ends.hint("merge"), F.col("__h") == F.col("node")).groupBy("node").agg(F.first("__t").alias("t"))
     comps = connected_components(verified(links, materialize(shingle_sets(texts, SHINGLE_WORDS), "sets"), SIMILARITY))
     named = nodes.join(comps, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     # one row stays of each component: the smallest id, then the smallest text hash
