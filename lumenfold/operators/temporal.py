@@ -40,7 +40,7 @@ def asof_forward(events: DataFrame, days: DataFrame, *, at: str) -> DataFrame:
 
 def daily_returns(prices: DataFrame, days: DataFrame, *, key: str, date: str, price: str) -> DataFrame:
     """(key, t, ret): returns over consecutive calendar days; null if either price is missing or not above 0."""
-    own = prices.join(F.broadcast(days), F.col(date) == F.col("date")).select(key, "t", F.when(F.col(price) > 0, F.col(price)).alias("p"))
+    own = prices.join(F.broadcast(days.withColumnRenamed("date", "__date")), F.col(date) == F.col("__date")).select(key, "t", F.when(F.col(price) > 0, F.col(price)).alias("p"))
     w = Window.partitionBy(key).orderBy("t")
     before = F.when(F.lag("t").over(w) == F.col("t") - 1, F.lag("p").over(w))
     return own.select(key, "t", (F.col("p") / before - 1).alias("ret"))

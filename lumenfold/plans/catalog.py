@@ -1,6 +1,6 @@
 """Queries of the engine over the shared tables, each with its SQL for DuckDB."""
 
-from lumenfold.plans import text_queries
+from lumenfold.plans import table_queries, text_queries
 
-QUERIES = {**text_queries.QUERIES}
-ORACLES = {**text_queries.ORACLES}
+QUERIES = {**text_queries.QUERIES, **table_queries.QUERIES}
+ORACLES = {**text_queries.ORACLES, **table_queries.ORACLES}
