@@ -14,9 +14,9 @@ FIRST, LAST, ROWS = -209, -10, 200
 def event_panel(events: DataFrame, returns: DataFrame, factors: DataFrame, *, key: str, after: int = 60) -> DataFrame:
     """(event_id, k, ret, factors): the days of each event's window, k from -209 to ``after``. An event
     makes its own 270 days, which then meet returns and factors by equality."""
-    days = events.select("event_id", key, "t", F.explode(F.sequence(F.lit(FIRST), F.lit(after))).alias("k")).withColumn("day", F.col("t") + F.col("k"))
+    days = events.select("event_id", F.col(key).alias("__own"), "t", F.explode(F.sequence(F.lit(FIRST), F.lit(after))).alias("k")).withColumn("day", F.col("t") + F.col("k"))
     own = returns.select(F.col(key).alias("__key"), F.col("t").alias("__t"), "ret")
-    joined = days.join(own, (F.col(key) == F.col("__key")) & (F.col("day") == F.col("__t")), "left").drop("__key", "__t")
+    joined = days.join(own, (F.col("__own") == F.col("__key")) & (F.col("day") == F.col("__t")), "left").drop("__key", "__t", "__own")
     return joined.join(F.broadcast(factors.withColumnRenamed("t", "day")), "day", "left").select("event_id", "k", "ret", *FACTORS, "rf")
 
 
