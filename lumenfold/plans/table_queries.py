@@ -220,10 +220,10 @@ LISTED = "WITH s AS (SELECT l_suppkey, min(l_shipdate)::DATE AS a, max(l_shipdat
 def nearest_shipment(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("at"))
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.to_date("l_shipdate").alias("d"))
-    return T.nearest_after(o.withColumn("id", F.col("o_orderkey")), li, key="o_orderkey", at="at", date="d", least=1, most=60, id_col="id").select("o_orderkey", F.col("nearest").cast("string").alias("nearest"), F.datediff("nearest", "at").cast("bigint").alias("lag"))
+    return T.nearest_after(o.withColumn("id", F.col("o_orderkey")), li, key="o_orderkey", at="at", date="d", least=1, most=60, id_col="id").select("o_orderkey", F.col("nearest").cast("string").alias("nearest"), F.coalesce(F.datediff("nearest", "at").cast("bigint"), F.lit(-1).cast("bigint")).alias("lag"))
 
 
-NEAREST = "SELECT o_orderkey, min(l_shipdate::DATE) FILTER (l_shipdate::DATE - o_orderdate::DATE BETWEEN 1 AND 60)::VARCHAR AS nearest, min(l_shipdate::DATE - o_orderdate::DATE) FILTER (l_shipdate::DATE - o_orderdate::DATE BETWEEN 1 AND 60) AS lag FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey"
+NEAREST = "SELECT o_orderkey, min(l_shipdate::DATE) FILTER (l_shipdate::DATE - o_orderdate::DATE BETWEEN 1 AND 60)::VARCHAR AS nearest, coalesce(min(l_shipdate::DATE - o_orderdate::DATE) FILTER (l_shipdate::DATE - o_orderdate::DATE BETWEEN 1 AND 60), -1)::BIGINT AS lag FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey"
 
 
 def content_duplicates(spark, sf_dir):
