@@ -52,7 +52,7 @@ def factor_value(percent: Column, sentinel: float = 90.0) -> Column:
     return F.when(F.abs(percent) < sentinel, percent / 100)
 
 
-#: (first, last, division): two-digit industry groups; 18, 68 and 90 have none.
+#: Fixed values. (first, last, division): two-digit industry groups; 18, 68 and 90 have none.
 DIVISIONS = [(1, 9, "agriculture"), (10, 14, "mining"), (15, 17, "construction"), (20, 39, "manufacturing"), (40, 49, "transport_utilities"), (50, 51, "wholesale"), (52, 59, "retail"), (60, 67, "finance"), (70, 89, "services"), (91, 99, "public_administration")]
 
 
