@@ -11,7 +11,8 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, compress, islice
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,10 @@ NONE = 2**31 - 1
 ROW_BYTES = 1024
 #: Entries that a worker keeps of chunks and of pre-tokens; the older half goes when it is full.
 CACHE = 700_000
+#: The pattern that chunks and plain words are known for; texts go through any other one whole.
+KNOWN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Marks that end a word's chunk most often.
+MARKS = tuple(",.;:!?")
 #: Characters of text that a worker holds split at a time.
 CHARS = 2_000_000
 
@@ -212,15 +217,25 @@ class Splitter:
     """Ids of texts as little-endian 32-bit bytes, by chunks between single spaces and line ends.
 
     A space or line end between two printable characters that are no white space always begins a new
-    pre-token, so such chunks can be encoded apart and kept; any other text goes through the pattern whole.
+    pre-token, so such chunks (with their space, or with their line end) can be encoded apart and kept; any
+    other text goes through the pattern whole.
     """
 
     def __init__(self, pattern: str, encode):
-        self.find, self.encode = regex.compile(pattern).findall, encode
+        self.find, self.encode, self.known = regex.compile(pattern).findall, encode, pattern == KNOWN_PATTERN
         self.words, self.first, self.later = Cache(CACHE), Cache(CACHE), Cache(CACHE)
 
+    def cut(self, text: str) -> list[str]:
+        """The pre-tokens. One word of letters, with or without a space before and a mark after, is plain."""
+        word = text[1:] if text[:1] == " " else text
+        if word.isalpha():
+            return [text]
+        if word[-1:] in MARKS and word[:-1].isalpha():
+            return [text[:-1], text[-1]]
+        return self.find(text)
+
     def _whole(self, texts: list[str]) -> list[bytes]:
-        split = [self.find(x) for x in texts]
+        split = list(map(self.cut if self.known else self.find, texts))
         new = [w for w in set(chain.from_iterable(split)) if w not in self.words and w not in self.words.old]
         extra = {}
         for w, ids in zip(new, self.encode(new) if new else (), strict=True):
@@ -230,28 +245,37 @@ class Splitter:
 
     @staticmethod
     def _plain(chunk: str) -> bool:
-        return bool(chunk) and all(c.isprintable() and not c.isspace() for c in (chunk[0], chunk[-1]))
+        edges = (chunk[1:2] if chunk[:1] == "\n" else chunk[:1], chunk[-1:])
+        return all(c.isprintable() and not c.isspace() for c in edges) and "" not in edges
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        line_end = None
-        odd, split = [], []
-        new_first, new_later = set(), set()
-        for i, text in enumerate(texts):
-            lines = [x.split(" ") for x in text.split("\n")]
-            split.append(lines)
-            for x in lines:
-                new_first.add(x[0])
-                new_later.update(x[1:])
-        for cache, new, lead in ((self.first, new_first, ""), (self.later, new_later, " ")):
-            new = [x for x in new if x not in cache and x not in cache.old and self._plain(x)]
-            for x, ids in zip(new, self._whole([lead + x for x in new]), strict=True):
-                cache[x] = ids
-        (line_end,) = self._whole(["\n"])
-        out: list = []
-        first, later = self.first, self.later
-        for i, lines in enumerate(split):
+        if not self.known:
+            return self._whole(texts)
+        split = [x.replace("\n", " \n").split(" ") for x in texts]
+        later, old, first = self.later, self.later.old, self.first
+        rows, gaps, new = [], [], set()
+        for x in split:
+            row = list(map(later.get, x))
+            gap = list(compress(range(1, len(x)), map(not_, islice(row, 1, None))))
+            new.update([x[i] for i in gap])
+            rows.append(row)
+            gaps.append(gap)
+        fresh = []
+        for x in new:
+            if (ids := old.get(x)) is not None:
+                later[x] = ids
+            elif self._plain(x):
+                fresh.append(x)
+        later.update(zip(fresh, self._whole([x if x[0] == "\n" else " " + x for x in fresh]), strict=True))
+        fresh = [x for x in {x[0] for x in split} if x not in first and x not in first.old and self._plain(x) and x[0] != "\n"]
+        first.update(zip(fresh, self._whole(fresh), strict=True))
+        out, odd = [], []
+        for i, (x, row, gap) in enumerate(zip(split, rows, gaps, strict=True)):
             try:
-                out.append(line_end.join([first[x[0]] + b"".join(map(later.__getitem__, x[1:])) for x in lines]))
+                row[0] = first[x[0]]
+                for k in gap:
+                    row[k] = later[x[k]]
+                out.append(b"".join(row))
             except KeyError:
                 out.append(b"")
                 odd.append(i)

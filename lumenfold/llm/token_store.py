@@ -73,24 +73,35 @@ def token_at(levels: list, place: int) -> int:
     return value
 
 
+#: The letters that byte-level vocabularies write bytes as: printable ones themselves, the rest from 256 on.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: chr(b) for b in PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in PRINTABLE)}
+
 _tokenizers: dict = {}
 
 
 def _splitter(content: bytes, pattern: str) -> Splitter:
-    """The tokenizers library over pre-tokens, whose ids this worker keeps. What may hold a special token of
-    the file goes to the library whole."""
+    """The tokenizers library over pre-tokens, whose ids this worker keeps. A text with a special token of the
+    file goes to the library whole."""
     from tokenizers import Tokenizer
 
     key = (hashlib.md5(content).digest(), pattern)
     if key not in _tokenizers:
         library = Tokenizer.from_buffer(content)
 
+        tokenize, table = library.model.tokenize, BYTE_LETTERS
+        number = [i.to_bytes(4, "little") for i in range(library.get_vocab_size())]
+
         def encode(words: list[str]) -> list[bytes]:
-            return [np.array(x.ids, "<u4").tobytes() for k in range(0, len(words), 20_000) for x in library.encode_batch_fast(words[k : k + 20_000], add_special_tokens=False)]
+            """Pre-tokens through the library's merges."""
+            plain = [(("\u0120" + w[1:] if w[0] == " " else w) if w.isascii() and w.isprintable() and " " not in w[1:] else w.encode().decode("latin-1").translate(table)) for w in words]
+            return [b"".join([number[x.id] for x in tokenize(w)]) for w in plain]
+
+        def whole(texts: list[str]) -> list[bytes]:
+            return [np.array(x.ids, "<u4").tobytes() for x in library.encode_batch_fast(texts, add_special_tokens=False)]
 
         split = Splitter(pattern, encode)
-        special = [t.content for t in library.get_added_tokens_decoder().values()]
-        split.special, split.library = special, encode
+        split.special, split.library = [t.content for t in library.get_added_tokens_decoder().values()], whole
         _tokenizers[key] = split
     return _tokenizers[key]
 
