@@ -71,10 +71,12 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def forest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A minimum spanning forest of links with distances (Kruskal, in slices filtered by the labels so far)."""
+    """The minimum spanning forest of links by (distance, a, b), whatever their order (Kruskal, in slices
+    filtered by the labels so far)."""
     if not len(a):
         return a, b, d
-    order = np.argsort(d, kind="stable")
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a, d))
     a, b, d = a[order], b[order], d[order]
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     x, y = at[: len(a)], at[len(a) :]
