@@ -2,8 +2,9 @@
 
 A paragraph is a line of at least MIN_WORDS words. Equal paragraphs are one node. Bands are tuned so that
 paragraphs at the similarity collide with the wanted recall; those that collide are compared by one bit of
-each minimum, a spanning forest of the closest ones is verified by the exact Jaccard similarity of their
-five-word shingles, and components are the clusters of which only the first paragraph stays.
+each minimum, and groups of candidates are the components of the close ones. All close pairs of a group are
+verified by the exact Jaccard similarity of their five-word shingles, and the components of the links that
+pass are the clusters of which only the first paragraph stays.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import empty_if_null, materialize
 from .components import connected_components
-from .simhash import SEED, compared, shingle_sets, verified, word_hashes
+from .simhash import SEED, compared, shingle_sets, verified_groups, word_hashes
 
 MIN_WORDS = 25
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.999
@@ -109,7 +110,8 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     nodes = materialize(found.where("bands is not null").groupBy("node").agg(F.first(F.struct("bands", "sketch")).alias("x")).select("node", "x.*"), "nodes")
     keyed = nodes.select(F.explode("bands").alias("key"), "node", F.col("sketch").alias("fp"), F.lit(0).alias("role"))
     links = materialize(compared(keyed, keyed.groupBy("key").agg(F.count("*").alias("near")), SKETCH_RADIUS), "links")
-    ends = materialize(links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct(), "ends")
+    # the forest keeps the components of all candidates whole, so every candidate pair is inside one group
+    ends = materialize(connected_components(links).withColumnRenamed("component", "grp"), "ends")
     places = found.join(ends, "node").groupBy("node").agg(F.min(F.struct("id", "pos")).alias("x")).select(F.col("x.id").alias("at"), F.struct("x.pos", "node").alias("want"))
     wanted = materialize(places.groupBy("at").agg(F.collect_list("want").alias("want")), "wanted")  # lines of one document
 
@@ -123,8 +125,9 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     # a merge at any size, so that the shuffle grows with the documents and not by a change of plan
     texts = source.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("at"))).select("t", "want").mapInArrow(pick, "node bigint, t string")
-    sets = materialize(shingle_sets(texts, SHINGLE).groupBy("node").agg(F.first("s").alias("s")), "sets")
-    comps = connected_components(verified(links, sets, SIMILARITY))
+    sets = shingle_sets(texts, SHINGLE).groupBy("node").agg(F.first("s").alias("s"))
+    sets = materialize(sets.join(ends, "node").join(nodes.select("node", F.col("sketch").alias("fp")), "node").select("grp", "node", "fp", "s"), "sets")
+    comps = connected_components(verified_groups(sets, SKETCH_RADIUS, SIMILARITY))
     placed = found.select("id", "pos", "n_words", "node").join(comps, "node", "left").withColumn("cluster", F.coalesce("component", "node"))
     placed = materialize(placed.select("id", "pos", "n_words", "cluster"), "placed")
     whole = placed.groupBy("cluster").agg(F.min(F.struct("id", "pos")).alias("first"), F.max(F.struct("id", "pos")).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("cluster", "first")

@@ -29,6 +29,8 @@ BITS = 64
 KEY_ROWS = 4096
 #: Links that a task holds before it reduces them to a forest.
 HELD_LINKS = 400_000
+#: Rows, and shingles of them, of a group that a task verifies; larger groups are dealt out by pairs of chunks.
+GROUP_ROWS, GROUP_SHINGLES = 1024, 1_000_000
 
 
 def word_hashes(text: str, words: int, distinct: bool) -> np.ndarray:
@@ -285,6 +287,74 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(run, "node bigint, s array<bigint>")
 
 
+def similar_pairs(node: np.ndarray, fp: np.ndarray, side: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of one group whose fingerprints are within the radius and whose sets have
+    the similarity. A pair is left out only if links that passed join its ends already. With two sides, only
+    pairs across them are compared."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    order = np.lexsort((node, sizes))
+    node, fp, side, sizes = node[order], fp[order].astype(np.int64).view(np.uint64), side[order], sizes[order]
+    _, held = np.unique(np.concatenate([sets[k] for k in order.tolist()]), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    across, mark, label, found = side.min() != side.max(), np.zeros(len(held), bool), np.arange(len(node)), []
+    tops = np.searchsorted(sizes, sizes / similarity + 1, "right")  # larger sets cannot have the similarity
+    for i in range(len(node) - 1):
+        j = np.arange(i + 1, tops[i])
+        ok = (np.bitwise_count(fp[j] ^ fp[i]) <= radius) & (label[j] != label[i])
+        j = j[ok & (side[j] != side[i])] if across else j[ok]
+        if not len(j):
+            continue
+        own = held[starts[i] : starts[i] + sizes[i]]
+        mark[own] = True
+        ends = np.cumsum(sizes[j])
+        at = np.repeat(starts[j] - (ends - sizes[j]), sizes[j]) + np.arange(ends[-1])
+        both = np.add.reduceat(mark[held[at]].astype(np.int64), ends - sizes[j])
+        mark[own] = False
+        for k in j[both >= similarity * (sizes[i] + sizes[j] - both)].tolist():
+            if label[k] != label[i]:
+                found.append((int(node[i]), int(node[k])))
+                label[label == label[k]] = label[i]
+    return found
+
+
+def verified_groups(sets: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """sets (grp, node, fp, s; materialized, no empty set) -> links (a, b) that span the components of the pairs of a group
+    with fingerprints within the radius and at least the Jaccard similarity. Every such pair is verified
+    before any is dropped. Large groups are dealt to all pairs of their chunks."""
+    chunks = F.ceil(F.greatest(F.col("load") / GROUP_SHINGLES, F.col("n") / GROUP_ROWS)).cast("int")
+    hot = sets.groupBy("grp").agg(F.sum(F.size("s")).alias("load"), F.count("*").alias("n")).select("grp", chunks.alias("chunks")).where("chunks > 1")
+    hot = materialize(hot, "hot-groups")
+    rows = sets.select("grp", "node", "fp", F.lit(0).alias("own"), F.lit(False).alias("across"), "s")
+    if hot.limit(1).count():
+        dealt = sets.join(small(hot), "grp", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        key = F.when(F.col("chunks") == 1, F.col("grp")).otherwise(F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other")))
+        rows = dealt.select(key.alias("grp"), "node", "fp", "own", (F.col("own") != F.col("other")).alias("across"), "s")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def links():
+            if len(held) < 2 or (held[0][3] and len({x[2] for x in held}) < 2):
+                return []
+            node, fp, side = (np.array([x[k] for x in held], np.int64) for k in range(3))
+            return similar_pairs(node, fp, side, [x[4] for x in held], radius, similarity)
+
+        for batch in it:
+            out, lists = [], batch.column(5)
+            values, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            for k, (g, *head) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True)):
+                if g != key:
+                    out += links()
+                    key, held = g, []
+                held.append((*head, values[at[k] : at[k + 1]].copy()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(2)], names=["a", "b"])
+        out = links()
+        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(2)], names=["a", "b"])
+
+    return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "a bigint, b bigint")
+
+
 def verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The links (a, b) of nodes whose sets have at least the Jaccard similarity."""
     sided = links.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")

@@ -50,3 +50,29 @@ def test_whole_table_close_to_brute_force(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got, wanted = ({tuple(r)[:2] for r in S.op3_substring_dedup(spark, sf).collect()}, {r[:2] for r in brute_force(rows)})
     assert got <= wanted and len(got) >= 0.99 * len(wanted)
+
+
+def test_true_copies_in_a_family_of_a_template(spark):
+    """Paragraphs at a similarity of 0.65 or so, each with one near copy: closer false candidates cost no true link."""
+    rng = random.Random(7)
+    base, rows = [f"w{k}" for k in range(100)], []
+    for f in range(60):
+        w = list(base)
+        at = rng.randrange(86)
+        w[at : at + 14] = [f"own{f}x{k}" for k in range(14)]
+        near = list(w)
+        near[(at + 50) % 90] = f"near{f}"
+        near[(at + 30) % 90] = f"also{f}"
+        rows += [(f, " ".join(w)), (1000 + f, " ".join(near))]
+    wanted = brute_force(rows)
+    assert len({r[3] for r in wanted}) > 20
+    got = S.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == wanted
+
+
+def test_large_groups_are_dealt_whole(spark, monkeypatch):
+    from lumenfold.llm import simhash
+
+    monkeypatch.setattr(simhash, "GROUP_ROWS", 4)
+    test_true_copies_in_a_family_of_a_template(spark)
+    test_planted_passages(spark)
