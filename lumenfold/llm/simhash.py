@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, empty_if_null, materialize, small
 from .components import connected_components
+from .minhash import SEED, SHINGLE, SIMILARITY, SKETCH_BITS, SKETCH_RADIUS, multipliers, signature, tuned_bands
 
-SEED = 42
 BITS = 64
 #: Rows of one key that a task compares; larger keys are dealt out by pairs of chunks of this many rows.
 KEY_ROWS = 4096
@@ -362,17 +362,14 @@ def verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return sided.where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-#: Of the near-duplicate filter: candidates by fingerprints of distinct word pairs, links by shingles.
-PAIR_WORDS, PAIR_RADIUS, SHINGLE_WORDS, SIMILARITY = 2, 8, 5, 0.8
-
-
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near duplicates: the one of the smallest id (a null id is the
     last), and of equal ids the one of the smallest text hash.
 
-    Equal texts are one node. Candidates are texts whose fingerprints of distinct word pairs differ in at most
-    PAIR_RADIUS bits, a minimum spanning forest of which is verified: a link needs a Jaccard similarity of
-    SIMILARITY of the five-word shingles. Texts without a word are equal to each other. A null text counts as
+    Equal texts are one node. Candidates are texts that share a MinHash band of their five-word shingles, as
+    SimHash distances depend on the kind of edit: bands find 0.999 of the pairs at SIMILARITY whether edits are scattered
+    or a block. A minimum spanning forest of their sketch distances is verified: a link needs a Jaccard
+    similarity of SIMILARITY of the shingles. Texts without a word are equal to each other. A null text counts as
     empty. Columns stay as they are; an empty table gives no rows.
     """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).alias("__id"), empty_if_null(text_col).alias("__t"))
@@ -380,19 +377,23 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     source = packed.select("__id", "__h", "__t")
     id_kind = source.schema["__id"].dataType.simpleString()
 
+    bands, per_band = tuned_bands()
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = multipliers(max(SKETCH_BITS, bands * per_band))
         for batch in it:
-            hashes = [word_hashes(t, PAIR_WORDS, True) for t in batch.column(2).to_pylist()]
-            fps = pa.array([fingerprint(h) for h in hashes], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps, pa.array([len(h) == 0 for h in hashes], pa.bool_())], names=["id", "node", "fp", "empty"])
+            hashes = [word_hashes(t, SHINGLE, True) for t in batch.column(2).to_pylist()]
+            keys, sketches = zip(*[signature(h, bands, per_band, a, b) if len(h) else ([], 0) for h in hashes], strict=True) if hashes else ([], [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.int64()), pa.array([len(h) == 0 for h in hashes], pa.bool_())], names=["id", "node", "bands", "fp", "empty"])
 
-    rows = source.mapInArrow(run, f"id {id_kind}, node bigint, fp bigint, empty boolean")
+    rows = source.mapInArrow(run, f"id {id_kind}, node bigint, bands array<bigint>, fp bigint, empty boolean")
     rows = materialize(rows.withColumn("node", F.when(F.col("empty"), F.lit(0).cast("bigint")).otherwise(F.col("node"))), "rows")
-    nodes = materialize(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min("id").alias("least")), "nodes")
-    links = materialize(links_within(nodes.select("node", "fp"), PAIR_RADIUS), "links")
+    nodes = materialize(rows.groupBy("node").agg(F.first(F.struct("bands", "fp")).alias("x"), F.min("id").alias("least")).select("node", "x.*", "least"), "nodes")
+    keyed = nodes.select(F.explode("bands").alias("key"), "node", "fp", F.lit(0).alias("role"))
+    links = materialize(compared(keyed, keyed.groupBy("key").agg(F.count("*").alias("near")), SKETCH_RADIUS), "links")
     ends = materialize(links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct(), "ends")
     texts = packed.join(ends.hint("merge"), F.col("__h") == F.col("node")).groupBy("node").agg(F.first("__t").alias("t"))
-    comps = connected_components(verified(links, materialize(shingle_sets(texts, SHINGLE_WORDS), "sets"), SIMILARITY))
+    comps = connected_components(verified(links, materialize(shingle_sets(texts, SHINGLE), "sets"), SIMILARITY))
     named = nodes.join(comps, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     # one row stays of each component: the smallest id, then the smallest text hash
     head = named.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("x")).select(F.col("x.least").alias("keep_id"), F.col("x.node").alias("keep"))

@@ -50,6 +50,22 @@ def test_one_of_each_group_stays(spark):
     assert S.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_appended_and_cut_blocks_are_found(spark):
+    """Copies at a similarity of 0.8 to 0.9 by a block at either end, and by scattered edits."""
+    rng, rows = random.Random(21), []
+    for k in range(120):
+        w = say(rng, rng.randint(100, 400)).split()
+        share = (0.81, 0.85, 0.89)[k % 3]
+        more = say(rng, int((len(w) - 4) * (1 / share - 1))).split()
+        near = list(w)
+        for p in range(0, len(w), 60):
+            near[p] = "edited"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join((w + more, w[-int(len(w) * share) - 2 :], near)[k // 3 % 3]))]
+    got = Counter(r.doc_id for r in S.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    wanted = brute_force_kept(rows)
+    assert len(wanted) == 120 and got == wanted
+
+
 def test_components_equal_brute_force(spark, sf):
     got = {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in S.op8_simhash(spark, sf).collect()}
     ids = sorted(got)
