@@ -355,21 +355,14 @@ def verified_groups(sets: DataFrame, radius: int, similarity: float) -> DataFram
     return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "a bigint, b bigint")
 
 
-def verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The links (a, b) of nodes whose sets have at least the Jaccard similarity."""
-    sided = links.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return sided.where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
-
-
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near duplicates: the one of the smallest id (a null id is the
     last), and of equal ids the one of the smallest text hash.
 
     Equal texts are one node. Candidates are texts that share a MinHash band of their five-word shingles, as
     SimHash distances depend on the kind of edit: bands find 0.999 of the pairs at SIMILARITY whether edits are scattered
-    or a block. A minimum spanning forest of their sketch distances is verified: a link needs a Jaccard
-    similarity of SIMILARITY of the shingles. Texts without a word are equal to each other. A null text counts as
+    or a block. Groups are the components of candidates with close sketches, and all close pairs of a group are
+    verified before any is dropped: a link needs a Jaccard similarity of SIMILARITY of the shingles. Texts without a word are equal to each other. A null text counts as
     empty. Columns stay as they are; an empty table gives no rows.
     """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).alias("__id"), empty_if_null(text_col).alias("__t"))
@@ -391,9 +384,11 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     nodes = materialize(rows.groupBy("node").agg(F.first(F.struct("bands", "fp")).alias("x"), F.min("id").alias("least")).select("node", "x.*", "least"), "nodes")
     keyed = nodes.select(F.explode("bands").alias("key"), "node", "fp", F.lit(0).alias("role"))
     links = materialize(compared(keyed, keyed.groupBy("key").agg(F.count("*").alias("near")), SKETCH_RADIUS), "links")
-    ends = materialize(links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct(), "ends")
-    texts = packed.join(ends.hint("merge"), F.col("__h") == F.col("node")).groupBy("node").agg(F.first("__t").alias("t"))
-    comps = connected_components(verified(links, materialize(shingle_sets(texts, SHINGLE), "sets"), SIMILARITY))
+    # the forest keeps the components of all candidates whole, so every candidate pair is inside one group
+    ends = materialize(connected_components(links).withColumnRenamed("component", "grp").join(nodes.select("node", "fp"), "node"), "ends")
+    texts = packed.join(ends.select("node").hint("merge"), F.col("__h") == F.col("node")).groupBy("node").agg(F.first("__t").alias("t"))
+    sets = materialize(shingle_sets(texts, SHINGLE).join(ends, "node").select("grp", "node", "fp", "s"), "sets")
+    comps = connected_components(verified_groups(sets, SKETCH_RADIUS, SIMILARITY))
     named = nodes.join(comps, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     # one row stays of each component: the smallest id, then the smallest text hash
     head = named.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("x")).select(F.col("x.least").alias("keep_id"), F.col("x.node").alias("keep"))

@@ -66,6 +66,23 @@ def test_appended_and_cut_blocks_are_found(spark):
     assert len(wanted) == 120 and got == wanted
 
 
+def test_true_copies_in_a_family_of_a_template(spark, monkeypatch):
+    """Documents at a similarity of 0.7 or so, each with one near copy: closer false candidates cost no true link."""
+    rng, base, rows = random.Random(7), [f"w{k}" for k in range(100)], []
+    for f in range(60):
+        w = list(base)
+        at = rng.randrange(86)
+        w[at : at + 14] = [f"own{f}x{k}" for k in range(14)]
+        near = list(w)
+        near[(at + 50) % 90], near[(at + 30) % 90] = f"near{f}", f"also{f}"
+        rows += [(f, " ".join(w)), (1000 + f, " ".join(near))]
+    docs, wanted = spark.createDataFrame(rows, "doc_id long, text string"), brute_force_kept(rows)
+    assert 20 < len(wanted) < 100
+    assert Counter(r.doc_id for r in S.drop_near_duplicates(docs).collect()) == wanted
+    monkeypatch.setattr(S, "GROUP_ROWS", 4)
+    assert Counter(r.doc_id for r in S.drop_near_duplicates(docs).collect()) == wanted
+
+
 def test_components_equal_brute_force(spark, sf):
     got = {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in S.op8_simhash(spark, sf).collect()}
     ids = sorted(got)
