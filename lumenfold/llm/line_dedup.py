@@ -44,12 +44,13 @@ def boilerplate(lines: DataFrame, *, sites: int = SITES) -> DataFrame:
     return materialize(wide.where(F.col("n") >= sites + band).select("h").unionByName(exact), "boilerplate")
 
 
-def drop_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sites: int = SITES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sites: int = SITES, most_share: float | None = MOST_SHARE) -> DataFrame:
     """``docs`` with cleaned texts and two more columns, __lines and __removed (counts of lines with a word).
 
     Lines are compared without the white space at their ends; lines without a word are never boilerplate. A
     null text stays null, a null site counts as the site ''. All rows stay, also repeated ones; a text that
-    is boilerplate for over half of its characters stays whole. An empty table gives no rows. Rows of equal
+    is boilerplate for over ``most_share`` of its characters stays whole, and with None only a text of which every
+    line with a word is boilerplate. An empty table gives no rows. Rows of equal
     id are cleaned each for itself (what is boilerplate is so everywhere).
     """
     lines = line_table(docs, id_col=id_col, text_col=text_col, site_col=site_col)
@@ -59,8 +60,9 @@ def drop_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     kept = F.when(F.col("__found").isNull(), F.col("__all")).otherwise(F.filter("__all", lambda x: ~F.coalesce(F.array_contains(F.col("__found"), F.xxhash64(_key(x))), F.lit(False)) | ~x.rlike(WORD)))
     joined = joined.withColumn("__kept", kept)
     chars = lambda c: F.length(F.array_join(c, ""))
-    joined = joined.withColumn("__clean", F.when(chars("__kept") >= (1 - MOST_SHARE) * chars("__all"), F.col("__kept")).otherwise(F.col("__all")))
     words = lambda c: F.size(F.filter(c, lambda x: x.rlike(WORD)))
+    cleans = words("__kept") > 0 if most_share is None else chars("__kept") >= (1 - most_share) * chars("__all")
+    joined = joined.withColumn("__clean", F.when(cleans, F.col("__kept")).otherwise(F.col("__all")))
     text = F.when(F.col(f"__row.`{text_col}`").isNull(), F.lit(None)).otherwise(F.array_join("__clean", "\n"))
     return joined.select(*[text.alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in docs.columns], words("__all").cast("bigint").alias("__lines"), (F.size("__all") - F.size("__clean")).cast("bigint").alias("__removed"))
 

@@ -153,3 +153,12 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path, sf):
         sizes.append(docs.count())
     assert sizes[1] < sizes[0] and sizes[2] == sizes[1] and sizes[3] <= sizes[2] and sizes[5] == sizes[4]
     assert all(r.n_tokens >= 0 for r in docs.collect())
+
+
+def test_thin_pages_lose_long_boilerplate(spark):
+    """Boilerplate of over half of a document goes as long as a line of its own stays; whole copies stay."""
+    wide = "this site uses cookies and a licence that is far longer than what the page has to say for itself"
+    rows = [(i, f"own {i}\n{wide}", "en", f"s{i}", 1) for i in range(12)] + [(100, wide, "en", "s1", 1), (101, f"{wide}\n \n{wide}", "en", "s2", 1), (102, None, "en", "s3", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines_stage(spark, docs, "").collect()}
+    assert got == {i: f"own {i}" if i < 12 else t for i, t, *_ in rows}
