@@ -30,7 +30,7 @@ KEY_ROWS = 4096
 #: Links that a task holds before it reduces them to a forest.
 HELD_LINKS = 400_000
 #: Rows, and shingles of them, of a group that a task verifies; larger groups are dealt out by pairs of chunks.
-GROUP_ROWS, GROUP_SHINGLES = 1024, 1_000_000
+GROUP_ROWS, GROUP_SHINGLES = 1024, 500_000
 
 
 def word_hashes(text: str, words: int, distinct: bool) -> np.ndarray:
@@ -287,6 +287,13 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(run, "node bigint, s array<bigint>")
 
 
+def _shared(held: np.ndarray, mark: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Marked members of each of the sets that start there."""
+    ends = np.cumsum(sizes)
+    at = np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])
+    return np.add.reduceat(mark[held[at]].astype(np.int64), ends - sizes)
+
+
 def similar_pairs(node: np.ndarray, fp: np.ndarray, side: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of one group whose fingerprints are within the radius and whose sets have
     the similarity. A pair is left out only if links that passed join its ends already. With two sides, only
@@ -295,7 +302,7 @@ def similar_pairs(node: np.ndarray, fp: np.ndarray, side: np.ndarray, sets: list
     order = np.lexsort((node, sizes))
     node, fp, side, sizes = node[order], fp[order].astype(np.int64).view(np.uint64), side[order], sizes[order]
     _, held = np.unique(np.concatenate([sets[k] for k in order.tolist()]), return_inverse=True)
-    starts = np.cumsum(sizes) - sizes
+    held, starts = held.astype(np.int32), np.cumsum(sizes) - sizes
     across, mark, label, found = side.min() != side.max(), np.zeros(len(held), bool), np.arange(len(node)), []
     tops = np.searchsorted(sizes, sizes / similarity + 1, "right")  # larger sets cannot have the similarity
     for i in range(len(node) - 1):
@@ -306,9 +313,7 @@ def similar_pairs(node: np.ndarray, fp: np.ndarray, side: np.ndarray, sets: list
             continue
         own = held[starts[i] : starts[i] + sizes[i]]
         mark[own] = True
-        ends = np.cumsum(sizes[j])
-        at = np.repeat(starts[j] - (ends - sizes[j]), sizes[j]) + np.arange(ends[-1])
-        both = np.add.reduceat(mark[held[at]].astype(np.int64), ends - sizes[j])
+        both = np.concatenate([_shared(held, mark, starts[j[k : k + 256]], sizes[j[k : k + 256]]) for k in range(0, len(j), 256)])
         mark[own] = False
         for k in j[both >= similarity * (sizes[i] + sizes[j] - both)].tolist():
             if label[k] != label[i]:
