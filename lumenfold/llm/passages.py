@@ -1,101 +1,123 @@
-"""Substring dedup: repeated paragraphs by MinHash banding.
+"""Substring dedup: repeated passages by MinHash banding of paragraphs and of windows of words.
 
-A paragraph is a line of at least MIN_WORDS words. Equal paragraphs are one node. Bands are tuned so that
-paragraphs at the similarity collide with the wanted recall; those that collide are compared by one bit of
-each minimum, and groups of candidates are the components of the close ones. All close pairs of a group are
-verified by the exact Jaccard similarity of their five-word shingles, and the components of the links that
-pass are the clusters of which only the first paragraph stays.
+Units are paragraphs (lines of MIN_WORDS words or more) and content-defined windows that ignore line ends, so
+a passage of 50 words is found inside a longer line and across lines alike. Equal units are one node. Nodes
+that share a band are verified by the exact Jaccard similarity of their five-word shingles, every pair
+before any is dropped; the components of the links that pass are the clusters of which only the first
+place stays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import empty_if_null, materialize
 from .components import connected_components
-from .minhash import MOST_MINIMA, RECALL, SEED, SHINGLE, SIMILARITY, SKETCH_BITS, SKETCH_RADIUS, multipliers, signature, tuned_bands  # noqa: F401
-from .simhash import compared, shingle_sets, verified_groups, word_hashes
+from .minhash import SHINGLE, SIMILARITY, tuned_bands
+from .simhash import shingle_sets, verified_groups
+from .spans import groups, units
 
 MIN_WORDS = 25
+#: Recall of the bands at a similarity of 0.8, and the minima that it may take. Windows need less: a shared passage
+#: has several, and most of them are equal.
+LINE_RECALL, LINE_MINIMA = 0.999, 30
+WINDOW_RECALL, WINDOW_MINIMA = 0.98, 8
+#: Nodes that a task remembers, to send the bands of each once; it forgets them all when there are more.
+SEEN = 300_000
 
 
-def paragraphs(text: str, min_words: int) -> Iterator[tuple[int, int, str]]:
-    """(position among the lines, words, line) of the lines that are long enough."""
-    for pos, line in enumerate(text.split("\n")):
-        n = len(line.encode().split())
-        if n >= min_words:
-            yield pos, n, line
-
-
-def content_hash(line: str) -> int:
-    h = xxhash.xxh64_intdigest(b" ".join(line.encode().lower().split()), SEED)
-    return h - 2**64 if h >= 2**63 else h
-
-
-def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id_col, position, n_words, first_doc_id, first_position, removed): every paragraph of a cluster that has
-    paragraphs in two places or more; the first of a cluster (by id, nulls first, then by position) stays, the
-    others are removed. Positions count lines from 0.
-
-    Null and empty texts have no paragraphs. Repeated rows repeat their paragraphs: with equal ids they
-    are of the same document and place, of which only the first counts. Other columns are not read; an
-    empty table gives no rows. Letters are compared without the case of A-Z, words without their spacing.
-    """
-    bands, rows = tuned_bands()
-    source = docs.select(F.col(id_col).alias("id"), empty_if_null(text_col).alias("t"))
-    id_kind = source.schema["id"].dataType
+def places_of(docs: DataFrame, min_words: int) -> DataFrame:
+    """docs (u, id, t) -> (u, id, start, end, n_words, window, node, keys): all units, without a shuffle. Only the
+    first of equal units that a task meets has keys; whether others have some is of no account."""
+    id_kind = docs.schema["id"].dataType
+    lines, windows = tuned_bands(recall=LINE_RECALL, most=LINE_MINIMA), tuned_bands(recall=WINDOW_RECALL, most=WINDOW_MINIMA)
+    arrow = [pa.int64(), to_arrow_type(id_kind), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.int64())]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = multipliers(max(SKETCH_BITS, bands * rows))
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in it:
-            ids, out = batch.column(0).to_pylist(), []
-            for i, t in zip(ids, batch.column(1).to_pylist(), strict=True):
-                for pos, n, line in paragraphs(t, min_words):
-                    node = content_hash(line)
-                    if node in seen:
-                        out.append((i, pos, n, node, None, None))
-                        continue
-                    if len(seen) < 1_000_000:  # spares work only: others make their signature again
-                        seen.add(node)
-                    out.append((i, pos, n, node, *signature(word_hashes(line, SHINGLE, True), bands, rows, a, b)))
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            kinds = [to_arrow_type(id_kind), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["id", "pos", "n_words", "node", "bands", "sketch"])
-
-    found = materialize(source.mapInArrow(run, f"id {id_kind.simpleString()}, pos int, n_words bigint, node bigint, bands array<bigint>, sketch bigint"), "paragraphs")
-    nodes = materialize(found.where("bands is not null").groupBy("node").agg(F.first(F.struct("bands", "sketch")).alias("x")).select("node", "x.*"), "nodes")
-    keyed = nodes.select(F.explode("bands").alias("key"), "node", F.col("sketch").alias("fp"), F.lit(0).alias("role"))
-    links = materialize(compared(keyed, keyed.groupBy("key").agg(F.count("*").alias("near")), SKETCH_RADIUS), "links")
-    # the forest keeps the components of all candidates whole, so every candidate pair is inside one group
-    ends = materialize(connected_components(links).withColumnRenamed("component", "grp"), "ends")
-    places = found.join(ends, "node").groupBy("node").agg(F.min(F.struct("id", "pos")).alias("x")).select(F.col("x.id").alias("at"), F.struct("x.pos", "node").alias("want"))
-    wanted = materialize(places.groupBy("at").agg(F.collect_list("want").alias("want")), "wanted")  # lines of one document
+            for row, data, offsets in groups(batch.column(2)):
+                got = units(data, offsets, min_words, lines, windows)
+                follow = np.concatenate([(x & 1) @ (1 << np.arange(x.shape[1], dtype=np.int64)) if len(x) else x[:, 0] for x in got.keys])
+                nodes = zip(got.node.tolist(), follow.tolist(), strict=True)
+                new = np.zeros(len(got.node), bool)
+                for k, x in enumerate(nodes):
+                    if x not in seen:
+                        seen.add(x)
+                        new[k] = True
+                if len(seen) > SEEN:
+                    seen.clear()
+                own = np.concatenate([np.repeat(len(x[0]) if len(x) else 0, len(x)) for x in got.keys]).astype(np.int64)
+                flat = np.concatenate([x.ravel() for x in got.keys])[np.repeat(new, own)]
+                ends = np.concatenate([[0], np.cumsum(own * new)]).astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(~new, False)), pa.array(flat, pa.int64()))
+                at = pa.array(got.doc + row)
+                columns = [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x) for x in (got.start, got.end, got.words, got.window, got.node)), keys]
+                yield pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(columns, arrow, strict=True)], names=["u", "id", "start", "end", "n_words", "window", "node", "keys"])
+
+    return docs.mapInArrow(run, f"u bigint, id {id_kind.simpleString()}, start bigint, end bigint, n_words int, window boolean, node bigint, keys array<bigint>")
+
+
+def meetings(found: DataFrame) -> DataFrame:
+    """(key, node) of the keys that two different nodes have, but for windows that overlap each other in their
+    text and meet no others. Both sides read one shuffle."""
+    keyed = found.where("keys is not null").select(F.explode("keys").alias("key"), "node")
+    keyed = keyed.select(F.shiftright("key", 1).alias("key"), F.col("key").bitwiseAND(1).cast("boolean").alias("follows"), "node").repartition("key")
+    ends = [f(F.when(c, F.col("node"))).alias(n) for c, at in ((~F.col("follows"), "0"), (F.col("follows"), "1")) for f, n in ((F.min, "lo" + at), (F.max, "hi" + at))]
+    shared = keyed.groupBy("key").agg(*ends).where("lo0 <> hi0 or lo1 <> hi1").select("key")
+    return keyed.join(shared.hint("shuffle_hash"), "key", "left_semi").select("key", "node").distinct()
+
+
+def texts_of(docs: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, t): the text of each of the nodes at one of its places. Texts are merged with the places that are
+    wanted of them at any size, so that the shuffle grows with the documents and not by a change of plan."""
+    place = found.where("keys is not null").join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("u", "start", "end")).alias("x"))
+    wanted = place.select("x.u", F.struct("x.start", "x.end", "node").alias("want")).groupBy("u").agg(F.collect_list("want").alias("want"))
 
     def pick(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            out = []
+            nodes, texts = [], []
             for t, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lines = t.split("\n")
-                out += [(w["node"], lines[w["pos"]]) for w in want if w["pos"] < len(lines) and content_hash(lines[w["pos"]]) == w["node"]]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string())], names=["node", "t"])
-
-    # a merge at any size, so that the shuffle grows with the documents and not by a change of plan
-    texts = source.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("at"))).select("t", "want").mapInArrow(pick, "node bigint, t string")
-    sets = shingle_sets(texts, SHINGLE).groupBy("node").agg(F.first("s").alias("s"))
-    sets = materialize(sets.join(ends, "node").join(nodes.select("node", F.col("sketch").alias("fp")), "node").select("grp", "node", "fp", "s"), "sets")
-    comps = connected_components(verified_groups(sets, SKETCH_RADIUS, SIMILARITY))
-    placed = found.select("id", "pos", "n_words", "node").join(comps, "node", "left").withColumn("cluster", F.coalesce("component", "node"))
-    placed = materialize(placed.select("id", "pos", "n_words", "cluster"), "placed")
-    whole = placed.groupBy("cluster").agg(F.min(F.struct("id", "pos")).alias("first"), F.max(F.struct("id", "pos")).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("cluster", "first")
-    same = F.struct("id", "pos").eqNullSafe(F.col("first"))
-    return placed.join(whole, "cluster").select(F.col("id").alias(id_col), F.col("pos").alias("position"), "n_words", F.col("first.id").alias(f"first_{id_col}"), F.col("first.pos").alias("first_position"), (~same).alias("removed"))
+                nodes += [w["node"] for w in want]
+                texts += [t[w["start"] : w["end"]] for w in want]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string())], names=["node", "t"])
+
+    return docs.join(wanted.hint("merge"), "u").select("t", "want").mapInArrow(pick, "node bigint, t string")
+
+
+def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(id_col, start, end, n_words, unit, first_<id_col>, first_start, removed): every place, in characters of the
+    text, of a paragraph or window whose cluster has places that do not overlap; the first of a cluster (by
+    id, nulls first, then by place) stays, the others are removed. What one document loses is the union of its
+    removed places. Runs of WINDOW + GAP - 1 words that two texts share are found wherever they lie, but for
+    up to GAP - 1 words at either end; shorter ones if they are a line or hold an anchor.
+
+    Null and empty texts have no places. Repeated rows (equal in id and text) repeat their places and count as one
+    document; rows of an equal id and different texts are two. Other columns are not read; an empty table gives
+    no rows. Letters are compared without the case of A-Z, words without their spacing.
+    """
+    source = docs.select(F.col(id_col).alias("id"), empty_if_null(text_col).alias("t")).select(F.xxhash64("id", "t").alias("u"), "id", "t")
+    found = materialize(places_of(source, min_words), "places")
+    meets = materialize(meetings(found), "meets")
+    sets = shingle_sets(texts_of(source, meets.select("node").distinct(), found), SHINGLE).groupBy("node").agg(F.first("s").alias("s"))
+    sets = meets.join(sets, "node").select(F.col("key").alias("grp"), "node", F.lit(0).cast("bigint").alias("fp"), "s")
+    comps = connected_components(verified_groups(materialize(sets, "sets"), 0, SIMILARITY))
+    often = found.groupBy("node").agg(F.count("*").alias("n")).join(comps, "node", "left").where("n > 1 or component is not null")
+    often = materialize(often.select("node", F.coalesce("component", "node").alias("cluster")), "often")
+    place = F.struct("id", "u", "start", "end")
+    placed = found.drop("keys").join(often.hint("merge"), "node").select("cluster", "n_words", "window", place.alias("at"))
+    placed = materialize(placed, "placed")
+    ends = placed.groupBy("cluster").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    apart = lambda x: ~(F.col(f"{x}.id").eqNullSafe(F.col("first.id")) & (F.col(f"{x}.u") == F.col("first.u")) & (F.col(f"{x}.start") < F.col("first.end")))
+    ends = ends.where(apart("last")).select("cluster", "first")
+    unit = F.when(F.col("window"), "window").otherwise("paragraph")
+    return placed.join(ends.hint("merge"), "cluster").select(F.col("at.id").alias(id_col), "at.start", "at.end", F.col("n_words").cast("bigint").alias("n_words"), unit.alias("unit"), F.col("first.id").alias(f"first_{id_col}"), F.col("first.start").alias("first_start"), apart("at").alias("removed"))
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -31,6 +31,8 @@ KEY_ROWS = 4096
 HELD_LINKS = 400_000
 #: Rows, and shingles of them, of a group that a task verifies; larger groups are dealt out by pairs of chunks.
 GROUP_ROWS, GROUP_SHINGLES = 1024, 500_000
+#: Groups of so few rows are verified many at a time, until they hold so many shingles.
+FEW, FEW_SHINGLES = 12, 300_000
 
 
 def word_hashes(text: str, words: int, distinct: bool) -> np.ndarray:
@@ -322,6 +324,38 @@ def similar_pairs(node: np.ndarray, fp: np.ndarray, side: np.ndarray, sets: list
     return found
 
 
+def few_pairs(groups: list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """All such pairs of small groups (node, fp, sets), compared many at a time."""
+    if not groups:
+        return []
+    own = np.repeat(np.arange(len(groups)), [len(g[0]) for g in groups])
+    node, fp = np.concatenate([g[0] for g in groups]), np.concatenate([g[1] for g in groups]).view(np.uint64)
+    sets = [x for g in groups for x in g[2]]
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat, starts, found = np.concatenate(sets), np.cumsum(sizes) - sizes, []
+    for step in range(1, max(len(g[0]) for g in groups)):
+        i = np.flatnonzero(own[step:] == own[:-step])
+        j = i + step
+        ok = (np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j])) & (np.bitwise_count(fp[i] ^ fp[j]) <= radius)
+        i, j = i[ok], j[ok]
+        ends = np.cumsum(sizes[i] + sizes[j])
+        lo = 0
+        while lo < len(i):  # pairs of about 2,000,000 shingles at a time
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 2_000_000)))
+            both = np.stack([i[lo:hi], j[lo:hi]], 1).ravel()
+            n = sizes[both]
+            cuts = np.cumsum(n)
+            pair = np.repeat(np.arange(hi - lo), n.reshape(-1, 2).sum(1))
+            value = flat[np.repeat(starts[both] - (cuts - n), n) + np.arange(cuts[-1])]
+            order = np.lexsort((value, pair))
+            value, pair = value[order], pair[order]
+            shared = np.bincount(pair[1:][(value[1:] == value[:-1]) & (pair[1:] == pair[:-1])], minlength=hi - lo)
+            pass_ = shared >= similarity * (n.reshape(-1, 2).sum(1) - shared)
+            found += zip(node[i[lo:hi][pass_]].tolist(), node[j[lo:hi][pass_]].tolist(), strict=True)
+            lo = hi
+    return found
+
+
 def verified_groups(sets: DataFrame, radius: int, similarity: float) -> DataFrame:
     """sets (grp, node, fp, s; materialized, no empty set) -> links (a, b) that span the components of the pairs of a group
     with fingerprints within the radius and at least the Jaccard similarity. Every such pair is verified
@@ -337,13 +371,22 @@ def verified_groups(sets: DataFrame, radius: int, similarity: float) -> DataFram
         rows = dealt.select(key.alias("grp"), "node", "fp", "own", (F.col("own") != F.col("other")).alias("across"), "s")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        key, held, few, load = None, [], [], 0
 
         def links():
+            nonlocal few, load
             if len(held) < 2 or (held[0][3] and len({x[2] for x in held}) < 2):
                 return []
             node, fp, side = (np.array([x[k] for x in held], np.int64) for k in range(3))
-            return similar_pairs(node, fp, side, [x[4] for x in held], radius, similarity)
+            sets = [x[4] for x in held]
+            if len(held) > FEW or side.min() != side.max():
+                return similar_pairs(node, fp, side, sets, radius, similarity)
+            few.append((node, fp, sets))
+            load += sum(map(len, sets))
+            if load < FEW_SHINGLES:
+                return []
+            got, few, load = few_pairs(few, radius, similarity), [], 0
+            return got
 
         for batch in it:
             out, lists = [], batch.column(5)
@@ -354,7 +397,7 @@ def verified_groups(sets: DataFrame, radius: int, similarity: float) -> DataFram
                     key, held = g, []
                 held.append((*head, values[at[k] : at[k + 1]].copy()))
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(2)], names=["a", "b"])
-        out = links()
+        out = links() + few_pairs(few, radius, similarity)
         yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(2)], names=["a", "b"])
 
     return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "a bigint, b bigint")
