@@ -26,8 +26,8 @@ from .spans import groups, units
 MIN_WORDS = 25
 #: Recall of the bands at a similarity of 0.8, and the minima that it may take. Windows need less: a shared passage
 #: has several, and most of them are equal.
-LINE_RECALL, LINE_MINIMA = 0.999, 30
-WINDOW_RECALL, WINDOW_MINIMA = 0.98, 8
+LINE_RECALL, LINE_MINIMA = 0.995, 24
+WINDOW_RECALL, WINDOW_MINIMA = 0.95, 6
 #: Nodes that a task remembers, to send the bands of each once; it forgets them all when there are more.
 SEEN = 300_000
 
@@ -40,22 +40,20 @@ def places_of(docs: DataFrame, min_words: int) -> DataFrame:
     arrow = [pa.int64(), to_arrow_type(id_kind), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.int64())]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        seen: set[int] = set()
         for batch in it:
             for row, data, offsets in groups(batch.column(2)):
                 got = units(data, offsets, min_words, lines, windows)
-                follow = np.concatenate([(x & 1) @ (1 << np.arange(x.shape[1], dtype=np.int64)) if len(x) else x[:, 0] for x in got.keys])
-                nodes = zip(got.node.tolist(), follow.tolist(), strict=True)
+                sums = np.concatenate([[0], np.cumsum(got.keys)])[np.concatenate([[0], np.cumsum(got.n_keys)])]
                 new = np.zeros(len(got.node), bool)
-                for k, x in enumerate(nodes):
+                for k, x in enumerate((got.node ^ np.diff(sums)).tolist()):  # equal units with the same keys
                     if x not in seen:
                         seen.add(x)
                         new[k] = True
                 if len(seen) > SEEN:
                     seen.clear()
-                own = np.concatenate([np.repeat(len(x[0]) if len(x) else 0, len(x)) for x in got.keys]).astype(np.int64)
-                flat = np.concatenate([x.ravel() for x in got.keys])[np.repeat(new, own)]
-                ends = np.concatenate([[0], np.cumsum(own * new)]).astype(np.int32)
+                flat = got.keys[np.repeat(new, got.n_keys)]
+                ends = np.concatenate([[0], np.cumsum(got.n_keys * new)]).astype(np.int32)
                 keys = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(~new, False)), pa.array(flat, pa.int64()))
                 at = pa.array(got.doc + row)
                 columns = [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x) for x in (got.start, got.end, got.words, got.window, got.node)), keys]
@@ -65,13 +63,11 @@ def places_of(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def meetings(found: DataFrame) -> DataFrame:
-    """(key, node) of the keys that two different nodes have, but for windows that overlap each other in their
-    text and meet no others. Both sides read one shuffle."""
-    keyed = found.where("keys is not null").select(F.explode("keys").alias("key"), "node")
-    keyed = keyed.select(F.shiftright("key", 1).alias("key"), F.col("key").bitwiseAND(1).cast("boolean").alias("follows"), "node").repartition("key")
-    ends = [f(F.when(c, F.col("node"))).alias(n) for c, at in ((~F.col("follows"), "0"), (F.col("follows"), "1")) for f, n in ((F.min, "lo" + at), (F.max, "hi" + at))]
-    shared = keyed.groupBy("key").agg(*ends).where("lo0 <> hi0 or lo1 <> hi1").select("key")
-    return keyed.join(shared.hint("shuffle_hash"), "key", "left_semi").select("key", "node").distinct()
+    """(grp, node): the nodes of every key that different nodes have, under the least of them. Nodes that share a
+    key share a group, and nodes that share many keys meet once. Both sides read one shuffle."""
+    keyed = found.where("keys is not null").select(F.explode("keys").alias("key"), "node").repartition("key")
+    shared = keyed.groupBy("key").agg(F.min("node").alias("grp"), F.max("node").alias("hi")).where("grp <> hi").select("key", "grp")
+    return keyed.join(shared.hint("shuffle_hash"), "key").select("grp", "node").distinct()
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
@@ -106,7 +102,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     found = materialize(places_of(source, min_words), "places")
     meets = materialize(meetings(found), "meets")
     sets = shingle_sets(texts_of(source, meets.select("node").distinct(), found), SHINGLE).groupBy("node").agg(F.first("s").alias("s"))
-    sets = meets.join(sets, "node").select(F.col("key").alias("grp"), "node", F.lit(0).cast("bigint").alias("fp"), "s")
+    sets = meets.join(sets, "node").select("grp", "node", F.lit(0).cast("bigint").alias("fp"), "s")
     comps = connected_components(verified_groups(materialize(sets, "sets"), 0, SIMILARITY))
     often = found.groupBy("node").agg(F.count("*").alias("n")).join(comps, "node", "left").where("n > 1 or component is not null")
     often = materialize(often.select("node", F.coalesce("component", "node").alias("cluster")), "often")

@@ -154,7 +154,8 @@ class Units:
     words: np.ndarray
     node: np.ndarray  # hash of the words
     window: np.ndarray  # whether it is a window
-    keys: list  # bands of each; the last bit says that a window of the text just before, which it overlaps, has the key
+    n_keys: np.ndarray  # bands of each, without those that a window just before has which it overlaps
+    keys: np.ndarray  # all of them, in the order of the units
 
 
 def _banded(minima: np.ndarray, bands: int, rows: int, salt: int) -> np.ndarray:
@@ -190,7 +191,7 @@ def units(data: np.ndarray, offsets: np.ndarray, min_words: int, line_bands: tup
         tail = cuts[-1] == len(shingles)
         cuts = cuts[:-1] if tail else cuts
         minima = np.stack([np.minimum.reduceat(shingles * mult[f] + add[f], cuts)[::2] for f in range(line_bands[0] * line_bands[1])])
-        line_keys = _banded(minima, *line_bands, 1) & ~np.int64(1)
+        line_keys = _banded(minima, *line_bands, 1)
 
     at = anchors(w)
     node = content(at, at + WINDOW)
@@ -201,16 +202,14 @@ def units(data: np.ndarray, offsets: np.ndarray, min_words: int, line_bands: tup
         keep = np.ones(len(at), bool)
         keep[x[again]] = False
         at, node = at[keep], node[keep]
-    window_keys = np.empty((len(at), window_bands[0]), np.int64)
+    window_keys, sent = np.empty((len(at), window_bands[0]), np.int64), np.ones((len(at), window_bands[0]), bool)
     if len(at):
         own = shingles[at[:, None] + np.arange(WINDOW - SHINGLE + 1)]
         minima = np.stack([(own * mult[f] + add[f]).min(1) for f in range(window_bands[0] * window_bands[1])])
-        window_keys = _banded(minima, *window_bands, 2) & ~np.int64(1)
-        follows = np.zeros(window_keys.shape, bool)
+        window_keys = _banded(minima, *window_bands, 2)
         for step in range(1, min(4, len(at))):
             over = (w.doc[at[step:]] == w.doc[at[:-step]]) & (at[step:] - at[:-step] < WINDOW)
-            follows[step:] |= over[:, None] & (window_keys[step:] == window_keys[:-step])
-        window_keys |= follows
+            sent[step:] &= ~(over[:, None] & (window_keys[step:] == window_keys[:-step]))
 
     lo, hi = np.concatenate([a, at]), np.concatenate([b, at + WINDOW])
     doc = w.doc[lo] if len(lo) else np.empty(0, np.int64)
@@ -222,7 +221,8 @@ def units(data: np.ndarray, offsets: np.ndarray, min_words: int, line_bands: tup
         from_byte, to_byte, begins = before[from_byte], before[to_byte], before[begins]
     is_window = np.repeat([False, True], [len(a), len(at)])
     nodes = mix(np.concatenate([content(a, b), node]) + is_window.astype(np.uint64)).astype(np.int64)
-    return Units(doc, from_byte - begins, to_byte - begins, hi - lo, nodes, is_window, [line_keys, window_keys])
+    n_keys = np.concatenate([np.full(len(a), line_bands[0]), sent.sum(1)])
+    return Units(doc, from_byte - begins, to_byte - begins, hi - lo, nodes, is_window, n_keys, np.concatenate([line_keys.ravel(), window_keys[sent]]))
 
 
 def groups(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
