@@ -26,7 +26,7 @@ NONE = 2**31 - 1
 #: Pre-tokens of more bytes are merged one by one.
 ROW_BYTES = 1024
 #: Entries that a worker keeps of chunks and of pre-tokens; the older half goes when it is full.
-CACHE = 700_000
+CACHE = 600_000
 #: The pattern that chunks and plain words are known for; texts go through any other one whole.
 KNOWN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Marks that end a word's chunk most often.
@@ -218,12 +218,13 @@ class Splitter:
 
     A space or line end between two printable characters that are no white space always begins a new
     pre-token, so such chunks (with their space, or with their line end) can be encoded apart and kept; any
-    other text goes through the pattern whole.
+    other run of chunks goes through the pattern with the chunks beside it.
     """
 
     def __init__(self, pattern: str, encode):
         self.find, self.encode, self.known = regex.compile(pattern).findall, encode, pattern == KNOWN_PATTERN
-        self.words, self.first, self.later = Cache(CACHE), Cache(CACHE), Cache(CACHE)
+        self.marks: dict[str, bytes] = {}
+        self.words, self.first, self.later = Cache(CACHE // 6), Cache(CACHE // 16), Cache(CACHE)
 
     def cut(self, text: str) -> list[str]:
         """The pre-tokens. One word of letters, with or without a space before and a mark after, is plain."""
@@ -248,6 +249,18 @@ class Splitter:
         edges = (chunk[1:2] if chunk[:1] == "\n" else chunk[:1], chunk[-1:])
         return all(c.isprintable() and not c.isspace() for c in edges) and "" not in edges
 
+    def _words(self, cores: set[str], marked: list[str]) -> None:
+        """Keeps chunks that are a word of letters, and such with a mark after it."""
+        later, old = self.later, self.later.old
+        ends = [x[:-1] for x in marked]
+        cores.update([x for x in ends if x not in later and x not in old])
+        cores = list(cores)
+        later.update(zip(cores, self.encode([" " + x for x in cores]) if cores else (), strict=True))
+        if not self.marks:
+            self.marks.update(zip(MARKS, self.encode(list(MARKS)), strict=True))
+        for x, word in zip(marked, ends, strict=True):
+            later[x] = later[word] + self.marks[x[-1]]
+
     def ids(self, texts: list[str]) -> list[bytes]:
         if not self.known:
             return self._whole(texts)
@@ -260,28 +273,45 @@ class Splitter:
             new.update([x[i] for i in gap])
             rows.append(row)
             gaps.append(gap)
-        fresh = []
+        cores, marked, fresh = set(), [], []
         for x in new:
             if (ids := old.get(x)) is not None:
                 later[x] = ids
+            elif x.isalpha():
+                cores.add(x)
+            elif x[-1:] in MARKS and x[:-1].isalpha():
+                marked.append(x)
             elif self._plain(x):
                 fresh.append(x)
+        self._words(cores, marked)
         later.update(zip(fresh, self._whole([x if x[0] == "\n" else " " + x for x in fresh]), strict=True))
         fresh = [x for x in {x[0] for x in split} if x not in first and x not in first.old and self._plain(x) and x[0] != "\n"]
         first.update(zip(fresh, self._whole(fresh), strict=True))
-        out, odd = [], []
-        for i, (x, row, gap) in enumerate(zip(split, rows, gaps, strict=True)):
-            try:
-                row[0] = first[x[0]]
-                for k in gap:
-                    row[k] = later[x[k]]
-                out.append(b"".join(row))
-            except KeyError:
-                out.append(b"")
-                odd.append(i)
-        for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
-            out[i] = ids
+        segments, holes = [], []
+        for x, row, gap in zip(split, rows, gaps, strict=True):
+            row[0] = first.get(x[0]) or first.old.get(x[0])
+            odd = [] if row[0] is not None else [0]
+            for k in gap:
+                row[k] = later.get(x[k])
+                if row[k] is None:
+                    odd.append(k)
+            # what is not plain goes through the pattern with its neighbours; beyond them every boundary holds
+            n = 0
+            while n < len(odd):
+                lo, hi, n = max(0, odd[n] - 1), odd[n] + 1, n + 1
+                while n < len(odd) and odd[n] - 1 <= hi:
+                    hi, n = odd[n] + 1, n + 1
+                part = [y if y[:1] == "\n" else " " + y for y in x[lo : hi + 1]]
+                if not lo:
+                    part[0] = x[0]
+                segments.append("".join(part))
+                holes.append((row, lo, len(part)))
+        for (row, lo, n), ids in zip(holes, self._whole(segments), strict=True):
+            row[lo : lo + n] = [ids] + [b""] * (n - 1)
+        out = [b"".join(row) for row in rows]
         for cache in (self.words, first, later):
+            for x in [x for x in cache if len(x) > 64]:
+                del cache[x]
             cache.turn()
         return out
 

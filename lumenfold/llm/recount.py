@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import CACHE, CHARS, Cache, Ranks
+from .bpe import CACHE, CHARS, Cache, Ranks, Splitter
 from .common import empty_if_null
 
 #: A pre-token is decided by so many characters after it at most.
@@ -25,67 +25,79 @@ CONTEXT = 3
 
 
 class CountTree:
-    """Leaves are the pre-tokens at first; a leaf that edits touch may hold several pieces, or none."""
-
-    def __init__(self, pieces: list[str]):
-        self.leaves: list = [(p,) for p in pieces]
-        self.width = 1 << max(0, (len(pieces) - 1).bit_length())
-        level = np.zeros(self.width, np.int64)
-        level[: len(pieces)] = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        self.chars, self.tokens = self._sums(level), None
-        self.changed: set[int] = set()
+    """Leaves are the pre-tokens at first; a leaf that edits touch may hold several pieces, or none. ``leaves``
+    has the characters and the tokens of each pre-token of the text; pieces are cut out only where an edit
+    needs them."""
+
+    def __init__(self, text: str, leaves: np.ndarray):
+        self.text, self.n = text, len(leaves)
+        self.width = 1 << max(0, (self.n - 1).bit_length())
+        self.chars, self.tokens = self._sums(leaves[:, 0]), self._sums(leaves[:, 1])
+        self.sizes, self.starts = leaves[:, 0], None
+        self.changed: dict[int, list[str]] = {}
         self.encoded = 0
 
-    @staticmethod
-    def _sums(level: np.ndarray) -> list[int]:
-        levels = [level]
-        while len(levels[-1]) > 1:
-            levels.append(levels[-1].reshape(-1, 2).sum(1))
-        return [0, *np.concatenate(levels[::-1]).tolist()]
-
-    def _put(self, sums: list[int], leaf: int, value: int) -> None:
+    def _sums(self, level: np.ndarray) -> np.ndarray:
+        """Node 1 is the root, nodes 2k and 2k + 1 are below node k."""
+        sums = np.zeros(2 * self.width, np.int64)
+        sums[self.width : self.width + self.n] = level
+        lo = self.width
+        while lo > 1:
+            sums[lo // 2 : lo] = sums[lo : 2 * lo].reshape(-1, 2).sum(1)
+            lo //= 2
+        return sums
+
+    def _put(self, sums: np.ndarray, leaf: int, value: int) -> None:
         node = self.width + leaf
-        step = value - sums[node]
+        step = value - int(sums[node])
         while node and step:
             sums[node] += step
             node >>= 1
 
+    def pieces(self, leaf: int) -> list[str]:
+        got = self.changed.get(leaf)
+        if got is None:
+            if self.starts is None:
+                self.starts = np.cumsum(self.sizes) - self.sizes
+            start = int(self.starts[leaf])
+            got = [self.text[start : start + int(self.sizes[leaf])]]
+        return got
+
     def find(self, place: int) -> tuple[int, int]:
         """The leaf that holds the character, and where it starts; the last with text, if there is none."""
         node, start = 1, 0
-        place = min(place, self.chars[1] - 1)
+        place = min(place, int(self.chars[1]) - 1)
         while node < self.width:
             node *= 2
-            if place - start >= self.chars[node]:
-                start += self.chars[node]
+            left = int(self.chars[node])
+            if place - start >= left:
+                start += left
                 node += 1
         return node - self.width, start
 
     def edit(self, start: int, end: int, text: str, split) -> None:
         """Replaces the characters from start to end; both are cut to the document."""
-        whole = self.chars[1]
+        whole = int(self.chars[1])
         start = min(max(start, 0), whole)
         end = min(max(end, start), whole)
-        if not self.leaves:
-            fresh = CountTree(split(text))
-            self.__dict__.update(fresh.__dict__ | {"changed": set(range(len(fresh.leaves))), "encoded": self.encoded + len(fresh.leaves)})
-            return
+        if not self.n:  # an empty text has one leaf, without a piece
+            self.n = 1
         first, at = self.find(max(0, start - CONTEXT)) if whole else (0, 0)
-        last, last_at = self.find(end) if whole else (0, 0)
+        last, _ = self.find(end) if whole else (0, 0)
         reach = 2
         while True:
-            stop = min(len(self.leaves), last + reach)
-            old = [p for leaf in self.leaves[first:stop] for p in leaf]
-            joined = "".join(old)
+            stop = min(self.n, last + reach)
+            old = [self.pieces(leaf) if self.chars[self.width + leaf] else [] for leaf in range(first, stop)]
+            joined = "".join([p for x in old for p in x])
             new = joined[: start - at] + text + joined[end - at :]
             pieces = split(new)
-            if stop == len(self.leaves):
+            if stop == self.n:
                 break
             # boundaries of leaves after the edit, moved by its change of length
             moved = len(text) - (end - start)
             ends, k = {}, at
-            for i in range(first, stop):
-                k += sum(map(len, self.leaves[i]))
+            for i, x in enumerate(old, first):
+                k += sum(map(len, x))
                 if k >= end:
                     ends[k - at + moved] = i + 1
             k, cut = 0, None
@@ -100,38 +112,43 @@ class CountTree:
             reach *= 2
         self.encoded += len(pieces)
         for i in range(first, stop):
-            self.leaves[i] = ()
-            self.changed.add(i)
+            self.changed[i] = []
             self._put(self.chars, i, 0)
-        self.leaves[first] = tuple(pieces)
+        self.changed[first] = pieces
         self._put(self.chars, first, sum(map(len, pieces)))
 
     def count(self, sizes) -> int:
-        """Tokens of the document; only changed leaves are looked up again."""
-        if self.tokens is None:
-            level = np.zeros(self.width, np.int64)
-            level[: len(self.leaves)] = np.fromiter((sum(map(sizes, x)) for x in self.leaves), np.int64, len(self.leaves))
-            self.tokens = self._sums(level)
-        for i in self.changed:
-            self._put(self.tokens, i, sum(map(sizes, self.leaves[i])))
-        self.changed.clear()
-        return self.tokens[1]
+        """Tokens of the document; only changed leaves are looked up."""
+        for i, pieces in self.changed.items():
+            self._put(self.tokens, i, sum(map(sizes, pieces)))
+        return int(self.tokens[1])
 
 
 class Counter:
-    """Token counts of pre-tokens, kept by the worker."""
+    """Characters and tokens of pre-tokens, kept by the worker."""
 
     def __init__(self, content: bytes, pattern: str):
-        self.ranks, self.split, self.kept = Ranks(content), regex.compile(pattern).findall, Cache(2 * CACHE)
+        self.ranks, self.split = Ranks(content), regex.compile(pattern).findall
+        self.whole, self.pieces = Splitter(pattern, self._leaves), Cache(CACHE // 16)
+
+    def _leaves(self, pieces: list[str]) -> list[bytes]:
+        """(characters, tokens) of each pre-token as two 32-bit numbers."""
+        sizes = [len(x) // 4 for x in self.ranks.merge([p.encode() for p in pieces])]
+        flat = np.array([[len(p) for p in pieces], sizes], "<i4").T.tobytes()
+        return [flat[k : k + 8] for k in range(0, len(flat), 8)]
+
+    def trees(self, texts: list[str]) -> list[CountTree]:
+        return [CountTree(t, np.frombuffer(raw, "<i4").reshape(-1, 2)) for t, raw in zip(texts, self.whole.ids(texts), strict=True)]
 
     def learn(self, pieces: set[str]) -> dict[str, int]:
-        kept, old = self.kept, self.kept.old
-        new = [p for p in pieces if p not in kept and p not in old]
-        sizes = [len(x) // 4 for x in self.ranks.merge([p.encode() for p in new])]
-        long = {}
-        for p, n in zip(new, sizes, strict=True):
-            (kept if len(p) <= 64 else long)[p] = n
-        return long
+        """Tokens of pieces that edits have made."""
+        kept = self.pieces
+        new = [p for p in pieces if p not in kept and p not in kept.old]
+        found = {p: len(x) // 4 for p, x in zip(new, self.ranks.merge([p.encode() for p in new]), strict=True)}
+        found.update((p, kept[p]) for p in pieces - found.keys())
+        kept.update((p, found[p]) for p in new if len(p) <= 64)
+        kept.turn()
+        return found
 
 
 _counters: dict = {}
@@ -146,19 +163,13 @@ def counter(content: bytes, pattern: str) -> Counter:
 
 def recount(own: Counter, texts: list[str], edits: list[list[tuple[int, int, str]]]) -> list[tuple[int, int, int, int, int]]:
     """(tokens, pre-tokens, tokens after, characters after, pre-tokens encoded for the edits) of each text."""
-    trees = [CountTree(own.split(t)) for t in texts]
-    long = own.learn({p for tree in trees for (p,) in tree.leaves})
-    sizes = lambda p: long[p] if len(p) > 64 else own.kept[p]
-    before = [(tree.count(sizes), len(tree.leaves)) for tree in trees]
+    trees = own.trees(texts)
+    before = [(int(tree.tokens[1]), tree.n) for tree in trees]
     for tree, todo in zip(trees, edits, strict=True):
         for start, end, text in todo:
             tree.edit(start, end, text, own.split)
-    long |= own.learn({p for tree in trees for i in tree.changed for p in tree.leaves[i]})
-    out = []
-    for tree, (n, pieces) in zip(trees, before, strict=True):
-        out.append((n, pieces, tree.count(sizes), tree.chars[1], tree.encoded))
-    own.kept.turn()
-    return out
+    sizes = own.learn({p for tree in trees for x in tree.changed.values() for p in x}).__getitem__
+    return [(n, pieces, tree.count(sizes), int(tree.chars[1]), tree.encoded) for tree, (n, pieces) in zip(trees, before, strict=True)]
 
 
 def edited_counts(docs: DataFrame, edits: Column, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

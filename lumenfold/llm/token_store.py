@@ -27,7 +27,7 @@ from .common import empty_if_null, new_path
 
 CHUNK_BITS = 8
 RANK_BLOCK = 512
-SEGMENT_TOKENS = 1 << 20
+SEGMENT_TOKENS = 1 << 18
 END_ID = 0
 
 
