@@ -227,12 +227,17 @@ class Splitter:
         self.words, self.first, self.later = Cache(CACHE // 6), Cache(CACHE // 16), Cache(CACHE)
 
     def cut(self, text: str) -> list[str]:
-        """The pre-tokens. One word of letters, with or without a space before and a mark after, is plain."""
+        """The pre-tokens. One word of letters, with or without a space or line end before and a mark after, is plain."""
         word = text[1:] if text[:1] == " " else text
         if word.isalpha():
             return [text]
         if word[-1:] in MARKS and word[:-1].isalpha():
             return [text[:-1], text[-1]]
+        if word[:1] == "\n" and text[0] == "\n":
+            if (line := text[1:]).isalpha():
+                return ["\n", line]
+            if line[-1:] in MARKS and line[:-1].isalpha():
+                return ["\n", line[:-1], line[-1]]
         return self.find(text)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -285,8 +290,8 @@ class Splitter:
                 fresh.append(x)
         self._words(cores, marked)
         later.update(zip(fresh, self._whole([x if x[0] == "\n" else " " + x for x in fresh]), strict=True))
-        fresh = [x for x in {x[0] for x in split} if x not in first and x not in first.old and self._plain(x) and x[0] != "\n"]
-        first.update(zip(fresh, self._whole(fresh), strict=True))
+        starts = [x for x in {x[0] for x in split} if x not in first and x not in first.old and self._plain(x) and x[0] != "\n"]
+        first.update(zip(starts, self._whole(starts), strict=True))
         segments, holes = [], []
         for x, row, gap in zip(split, rows, gaps, strict=True):
             row[0] = first.get(x[0]) or first.old.get(x[0])
@@ -309,9 +314,11 @@ class Splitter:
         for (row, lo, n), ids in zip(holes, self._whole(segments), strict=True):
             row[lo : lo + n] = [ids] + [b""] * (n - 1)
         out = [b"".join(row) for row in rows]
+        for x in [x for x in chain(cores, marked, fresh) if len(x) > 64]:
+            later.pop(x, None)
+        for x in [x for x in starts if len(x) > 64]:
+            first.pop(x, None)
         for cache in (self.words, first, later):
-            for x in [x for x in cache if len(x) > 64]:
-                del cache[x]
             cache.turn()
         return out
 

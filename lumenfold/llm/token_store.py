@@ -94,7 +94,7 @@ def _splitter(content: bytes, pattern: str) -> Splitter:
 
         def encode(words: list[str]) -> list[bytes]:
             """Pre-tokens through the library's merges."""
-            plain = [(("\u0120" + w[1:] if w[0] == " " else w) if w.isascii() and w.isprintable() and " " not in w[1:] else w.encode().decode("latin-1").translate(table)) for w in words]
+            plain = [("\u0120" + w[1:] if w[0] == " " else w) if w.isascii() and w[1:].isalpha() and w[0] > "\x1f" else w.encode().decode("latin-1").translate(table) for w in words]
             return [b"".join([number[x.id] for x in tokenize(w)]) for w in plain]
 
         def whole(texts: list[str]) -> list[bytes]:
