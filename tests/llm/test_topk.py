@@ -31,16 +31,38 @@ def test_ties_nulls_lengths_and_repeats(spark):
 
 def test_tiles_prune_without_loss():
     rng = np.random.default_rng(8)
-    m = np.floor(1024 * rng.normal(0, 1, (64, 3000)))
-    m[:, 100:] *= 0.05  # most candidates fall to the bound
+    m = np.floor(1024 * rng.normal(0, 1, (64, 3000))).astype(np.int64)
+    m[:, 100:] //= 20  # most candidates fall to the bound
     queries = m[:, :5]
-    best = T.Best(np.arange(5), 10)
+    best = T.Best(np.arange(5), queries, 10)
+    best.seed(np.arange(50), m[:, :50])
     for lo in range(0, 3000, 500):
-        T.scan(best, queries, T._tails(queries), np.arange(lo, lo + 500), m[:, lo : lo + 500])
+        best.scan(np.arange(lo, lo + 500), m[:, lo : lo + 500])
     full = queries.T @ m
     for q in range(5):
         wanted = sorted((-full[q, j], j) for j in range(3000) if j != q)[:10]
         assert list(zip(-best.score[q], best.id[q], strict=True)) == wanted
+    assert best.computed < 0.5 * best.all
+
+
+def test_share_that_survives_on_a_shared_table(spark):
+    """Vectors of one norm in all directions are the worst case: most pairs go in the second half of the dimensions."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()
+    ids, m = np.array([r.vec_id for r in rows]), np.floor(1024 * np.array([r.embedding for r in rows], np.float64).T).astype(np.int64)
+    own = ids % 100 == 0
+    best = T.Best(ids[own], m[:, own], 10)
+    best.seed(ids, m)
+    best.scan(ids, m)
+    assert best.computed < 0.85 * best.all
+    full = m[:, own].T @ m
+    for q, i in enumerate(ids[own]):
+        assert list(zip(-best.score[q], best.id[q], strict=True)) == sorted((-s, j) for s, j in zip(full[q], ids, strict=True) if j != i)[:10]
+
+
+def test_scores_beyond_the_whole_numbers_of_doubles(spark):
+    rows = [(0, [2.0**20, 2.0**-10]), *((j, [2.0**20, j * 2.0**-10]) for j in range(1, 15)), (50, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in T.top_k(df, F.col("vec_id") % 100 == 0).collect()) == brute_force(rows)
 
 
 def test_whole_table_equals_brute_force(spark, sf):
