@@ -222,7 +222,8 @@ def links_within(nodes: DataFrame, radius: int) -> DataFrame:
     own = nodes.select("node", "fp", F.posexplode(F.array(*[_value(x) for x in dealt])).alias("part", "v"))
     width = F.element_at(F.array(*[F.lit(len(x)) for x in dealt]), F.col("part") + 1)
     ball = F.concat(F.array(F.col("v")), F.transform(F.sequence(F.lit(0), width - 1), lambda k: F.col("v").bitwiseXOR(F.expr("bigint(1)") * F.pow(F.lit(2.0), k).cast("bigint"))))
-    counts = own.groupBy("part", "v").agg(F.count("*").alias("c"))
+    # a number of partitions that is not coalesced: each row becomes as many as its part has bits
+    counts = own.groupBy("part", "v").agg(F.count("*").alias("c")).repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part", "v")
     met = materialize(counts.select("part", "v", "c", F.explode(ball).alias("z")).groupBy("part", "z").agg(F.sum("c").alias("near"), F.sum(F.when(F.col("z") == F.col("v"), F.col("c")).otherwise(0)).alias("c")), "balls")
     sums = {r.part: r for r in met.groupBy("part").agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("c0"), F.sum(F.col("c").cast("double") * F.col("near")).alias("c1"), F.sum(F.col("near").cast("double") * F.col("near")).alias("c2")).collect()}
     row = 40.0  # a row dealt costs about so many comparisons
@@ -434,7 +435,9 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     links = materialize(compared(keyed, keyed.groupBy("key").agg(F.count("*").alias("near")), SKETCH_RADIUS), "links")
     # the forest keeps the components of all candidates whole, so every candidate pair is inside one group
     ends = materialize(connected_components(links).withColumnRenamed("component", "grp").join(nodes.select("node", "fp"), "node"), "ends")
-    texts = packed.join(ends.select("node").hint("merge"), F.col("__h") == F.col("node")).groupBy("node").agg(F.first("__t").alias("t"))
+    # one copy of each text, the one of the least id; on both columns, so that copies do not meet in one task
+    wanted = ends.join(nodes.select("node", "least"), "node").select("node", "least")
+    texts = packed.join(wanted.hint("merge"), (F.col("__h") == F.col("node")) & F.col("__id").eqNullSafe(F.col("least"))).groupBy("node").agg(F.first("__t").alias("t"))
     sets = materialize(shingle_sets(texts, SHINGLE).join(ends, "node").select("grp", "node", "fp", "s"), "sets")
     comps = connected_components(verified_groups(sets, SKETCH_RADIUS, SIMILARITY))
     named = nodes.join(comps, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))

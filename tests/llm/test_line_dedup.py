@@ -14,7 +14,7 @@ def brute_force(rows, sites):
     for i, text, _ in rows:
         lines = (text or "").split("\n")
         kept = [x for x in lines if not word(x) or len(seen[x.strip(L.BLANKS)]) < sites]
-        if sum(map(len, kept)) < (1 - L.MOST_SHARE) * sum(map(len, lines)):
+        if not any(map(word, kept)):
             kept = lines
         out.append((i, None if text is None else "\n".join(kept), sum(map(word, lines)), len(lines) - len(kept)))
     return out
@@ -43,3 +43,6 @@ def test_whole_table_equals_sql(spark, sf):
     table = spark.read.parquet(f"{sf}/documents.parquet")
     assert L.drop_boilerplate(table).drop("__lines", "__removed").columns == table.columns
     assert L.drop_boilerplate(table.withColumn("__id", F.lit(1))).count() == table.count()
+    clashing = L.drop_boilerplate(table.withColumns({"__lines": F.lit(-1), "__row": F.lit(2), "h": F.lit(3)}))
+    assert sorted(clashing.columns) == sorted([*table.columns, "__row", "h", "__lines", "__removed"])
+    assert clashing.where("__lines < 0 or __row <> 2 or h <> 3").count() == 0

@@ -162,3 +162,30 @@ def test_thin_pages_lose_long_boilerplate(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: r.text for r in corpus_pipeline.lines_stage(spark, docs, "").collect()}
     assert got == {i: f"own {i}" if i < 12 else t for i, t, *_ in rows}
+
+
+def test_run_against_brute_force(spark, sf):
+    """Rows of run(): what SQL's quality rules and line dedup leave, one of each group by all pairs, as the mix takes
+    them, with the ids of tiktoken."""
+    import base64
+
+    import duckdb
+    import public_tokenizers as P
+    import tiktoken
+    from lumenfold.llm.line_dedup import lines_sql
+    from lumenfold.llm.quality import OP7_SQL
+
+    got = corpus_pipeline.run(spark, sf).collect()
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    con.sql(f"CREATE TABLE good AS SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM ({OP7_SQL}) WHERE kept)")
+    texts = dict(con.sql(f"WITH {lines_sql('good')} SELECT doc_id, text FROM cleaned").fetchall())
+    kept = brute_force_kept(sorted(texts.items()))
+    taken = Counter(r.doc_id for r in got)
+    assert set(taken) <= set(kept) and max(taken.values()) <= 2 and len(taken) >= 0.8 * len(kept)
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f.read().splitlines()) if a}
+    encode = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    for r in got:
+        assert r.token_ids == encode(texts[r.doc_id] or "") and r.n_tokens == len(r.token_ids)
