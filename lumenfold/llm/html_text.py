@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,13 +18,13 @@ from pyspark.sql import functions as F
 
 from .common import empty_if_null, materialize, small
 
-#: Paths of a host that pages are tried at, by votes.
-PATHS = 4
-#: A path needs this share of its host's votes.
+#: A path wins with this share of its host's votes or the most of them; any other is tried on the pages that vote for it.
 SHARE = 0.02
+#: Containers below so many others are part of the last one's path.
+DEPTH = 256
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?|\"[^\"]*\"|'[^']*'")
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes", "svg", "math"}
 RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -32,9 +33,10 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code"
 BOILERPLATE = {"nav", "header", "footer", "aside", "form", "button", "select", "option", "fieldset", "menu", "dialog", "head", "object", "embed", "applet", "canvas", "audio", "video", "input"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog", "toolbar", "note"}
 #: Words of a class or id that mark what is no article.
-MARKS = set("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion banner banners nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside rail widget widgets header masthead topbar footer foot bottombar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist reply replies respond disqus discussion form search pagination pager toolbar tags copyright disclaimer legal skip hidden print".split())
-#: A container whose own class says so is an article although a word above occurs in it.
-ARTICLES = {"article", "main", "content", "post", "entry", "story", "body", "text"}
+MARKS = set("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion banner banners nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside rail widget widgets header masthead topbar footer foot bottombar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist reply replies respond disqus discussion form search pagination pager toolbar tags copyright disclaimer legal skip hidden".split())
+#: Words that say nothing about the kind of a container. A class or id of these and of marks only is no article's; one
+#: with any other word ("legal-analysis", "with-sidebar") is.
+NEUTRAL = set("area article bar block body bottom box btn button buttons col column container content entry group header icon inner item items left link links list main message module outer page panel post posts right row section site text title top wrap wrapper".split())
 CONTAINERS = {"body", "article", "main", "section", "div", "td", "center", "blockquote", "html", "dd", "li"}
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 P_ENDERS = {"address", "article", "aside", "blockquote", "center", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "pre", "section", "table", "ul"}
@@ -59,9 +61,9 @@ def _step(tag: str, attributes: str) -> tuple[str, bool]:
             bad = bad or value in ROLES
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             bad = True
-    said = set(WORDS.findall(klass)) | set(WORDS.findall(name))
-    if said & MARKS and tag not in ("body", "html", "article", "main") and not (said & ARTICLES and not set(WORDS.findall(klass + " " + name)) & {"comment", "comments", "sidebar", "nav", "footer", "header", "ad", "ads", "advert", "related", "share"}):
-        bad = True
+    if tag not in ("body", "html", "article", "main"):
+        for said in map(set, map(WORDS.findall, f"{klass} {name}".split())):
+            bad = bad or bool(said & MARKS) and said <= MARKS | NEUTRAL
     label = ".".join(sorted({DIGITS.sub("#", c) for c in (klass or name).split()}))
     return (f"{tag}.{label}" if label else tag), bad
 
@@ -69,7 +71,9 @@ def _step(tag: str, attributes: str) -> tuple[str, bool]:
 def blocks(page: str) -> list[tuple[str, str, int]]:
     """The page's text blocks outside boilerplate, in order: (path of the open containers, text, characters in links)."""
     out: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str, str, bool]] = []  # tag, step, container path, boilerplate
+    opened: dict[str, int] = defaultdict(int)
+    last, depth = page.rfind(">"), 0
+    stack: list[tuple[str, str, str, bool, int]] = []  # tag, step, container path, boilerplate, depth
     text: list[str] = []
     linked = at = 0
     links = 0
@@ -86,16 +90,18 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
 
     def leave(k: int) -> None:
         """Closes what is open from place k on."""
-        nonlocal path, bad, links
+        nonlocal path, bad, links, depth
+        for x in stack[k:]:
+            opened[x[0]] -= 1
         if any(x[0] not in INLINE for x in stack[k:]):
             flush()
         links -= sum(x[0] == "a" for x in stack[k:])
         del stack[k:]
-        path, bad = (stack[-1][2], stack[-1][3]) if stack else ("", False)
+        path, bad, depth = stack[-1][2:] if stack else ("", False, 0)
 
     end = len(page)
     while at < end:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at) if at <= last or page.find("<!", at) >= 0 else None  # no tag ends any more
         upto = m.start() if m else end
         if upto > at and not bad:
             piece = page[at:upto]
@@ -112,7 +118,7 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             continue
         tag = tag.lower()
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1 if opened[tag] else -1, -1, -1):
                 if stack[k][0] == tag:
                     leave(k)
                     break
@@ -141,7 +147,7 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         if tag not in INLINE:
             flush()
             closes = CLOSES.get(tag)
-            if closes or tag in P_ENDERS:
+            if any(opened[t] for t in closes or ()) or tag in P_ENDERS and opened["p"]:
                 for k in range(len(stack) - 1, -1, -1):
                     t = stack[k][0]
                     if t in (closes or ()) or tag in P_ENDERS and t == "p":
@@ -154,11 +160,12 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         step, own = _step(tag, m[3])
         if not bad and own:
             flush()
-        if tag in CONTAINERS and not (bad or own):
-            path = f"{path}>{step}" if path else step
+        if tag in CONTAINERS and not (bad or own) and depth < DEPTH:
+            path, depth = f"{path}>{step}" if path else step, depth + 1
         bad = bad or own
         links += tag == "a"
-        stack.append((tag, step, path, bad))
+        opened[tag] += 1
+        stack.append((tag, step, path, bad, depth))
     flush()
     return out
 
@@ -220,10 +227,10 @@ def host_paths(pages: DataFrame, *, url_col: str = "url", html_col: str = "html"
 
     votes = source.mapInArrow(vote, "host string, path string, votes bigint, score double").groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("score").alias("score"))
     totals = votes.groupBy("host").agg(F.sum("votes").alias("all_votes"), F.max_by("path", F.struct("votes", "path")).alias("first"))
-    # the partial aggregate keeps the few paths over the share; at most 1 / SHARE of a host pass it
+    # at most 1 / SHARE paths of a host pass
     ranked = votes.join(totals, "host").where((F.col("votes") >= SHARE * F.col("all_votes")) | (F.col("path") == F.col("first")))
     order = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))
-    return ranked.withColumn("place", order).where(F.col("place") <= PATHS).groupBy("host").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "path"))), lambda x: x.path).alias("paths"))
+    return ranked.withColumn("place", order).groupBy("host").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "path"))), lambda x: x.path).alias("paths"))
 
 
 def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

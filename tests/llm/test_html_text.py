@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from lumenfold.llm.html_text import best_path, blocks, extract_main_text, host_of, op1_html_text, scores
 
@@ -54,3 +55,21 @@ def test_whole_table_equals_a_brute_force_version(spark, sf):
         parts = re.split(r"</?(?:p|h1)>", re.search(r"<article>(.*?)</article>", page, re.S)[1].replace("<br>", " "))
         wanted = [" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in parts]
         assert got[i] == "\n".join(x for x in wanted if x)
+
+
+def test_names_that_mark_and_names_that_do_not():
+    keeps = ['title="Hidden treasures of Rome"', 'data-id="sidebar-3"', 'data-state="hidden"', 'class="legal-analysis"', 'class="print"', 'class="with-sidebar"', "class=story-body", 'alt="a > b" id=x']
+    drops = ['class="modal-body"', 'class="cookie-content"', 'class="post-navigation"', 'class="social-text"', "class='newsletter-content'", "hidden", 'aria-hidden="true"', 'style="color:red; display : none"', "role=navigation", 'id="comments"', 'class="x share-buttons"', "class=ad"]
+    for names in keeps:
+        assert [t for _, t, _ in blocks(f"<div {names}><p>some words</p></div>")] == ["some words"], names
+    for names in drops:
+        assert blocks(f"<div {names}><p>some words</p></div>") == [], names
+
+
+def test_a_megabyte_of_hostile_markup():
+    n = 100_000
+    pages = ["<a " * n, '<a "' * n, "<a '" * n + ">", "<div>" * n + "x" + "</section>" * n, "<b>" * n + "<div></div>" * n, "<p><b>" * n, "<li>" * n, "<" * 5 * n, "&" * 5 * n, "<!" * n, "<!-- " * n, "<a b=" * n + ">", "</p>" * n, "<td><p>" * n, "<ul><li>" * (n // 10)]
+    for page in pages:
+        began = time.process_time()
+        best_path(blocks(page))
+        assert time.process_time() - began < 20, page[:20]
