@@ -83,16 +83,16 @@ def page_title(html: Column) -> Column:
 
 
 def inflections(term: Column) -> Column:
-    """Regular inflections of a term's last word: plurals of nouns and plurals of -ing forms."""
-    head = F.regexp_extract(term, r"^(.*?)([a-z]+)$", 1)
-    last = F.regexp_extract(term, r"^(.*?)([a-z]+)$", 2)
+    """Regular singular and plural forms of a term's last word, itself included; never the stem of another word."""
+    head, last = F.regexp_extract(term, r"^(.*?)(\S+)$", 1), F.regexp_extract(term, r"^(.*?)(\S+)$", 2)
     cut = lambda n: F.substring(last, F.lit(1), F.length(last) - n)
+    where = lambda rule, form: F.when(rule, F.array(form)).otherwise(F.array().cast("array<string>"))
+    plural = F.concat(F.array(F.concat(last, F.lit("s"))), where(last.rlike("[^aeiou]y$") & (F.length(last) > 2), F.concat(cut(1), F.lit("ies"))), where(last.rlike("(s|x|z|ch|sh)$"), F.concat(last, F.lit("es"))))
     other = (
         F.when(F.endswith(last, F.lit("ies")) & (F.length(last) > 4), F.array(F.concat(cut(3), F.lit("y"))))
-        .when(F.endswith(last, F.lit("s")) & ~F.endswith(last, F.lit("ss")) & (F.length(last) > 3), F.array(cut(1)))
-        .when(F.endswith(last, F.lit("y")) & ~last.rlike("[aeiou]y$"), F.array(F.concat(cut(1), F.lit("ies"))))
-        .when(last.rlike("(s|x|z|ch|sh)$"), F.array(F.concat(last, F.lit("es"))))
-        .otherwise(F.array(F.concat(last, F.lit("s"))))
+        .when(last.rlike("(ses|xes|zes|ches|shes)$"), F.array(cut(2)))
+        .when(F.endswith(last, F.lit("s")) & ~F.endswith(last, F.lit("ss")), F.array(cut(1)))
+        .otherwise(plural)
     )
     return F.when(last == "", F.array(term)).otherwise(F.array_distinct(F.concat(F.array(term), F.transform(other, lambda w: F.concat(head, w)))))
 

@@ -1,6 +1,6 @@
 """Queries of the engine over the shared tables, each with its SQL for DuckDB."""
 
-from lumenfold.plans import matching_queries, table_queries, text_queries
+from lumenfold.plans import join_queries, matching_queries, table_queries, text_queries
 
-QUERIES = {**text_queries.QUERIES, **table_queries.QUERIES, **matching_queries.QUERIES}
-ORACLES = {**text_queries.ORACLES, **table_queries.ORACLES, **matching_queries.ORACLES}
+QUERIES = {**text_queries.QUERIES, **table_queries.QUERIES, **matching_queries.QUERIES, **join_queries.QUERIES}
+ORACLES = {**text_queries.ORACLES, **table_queries.ORACLES, **matching_queries.ORACLES, **join_queries.ORACLES}

@@ -67,11 +67,11 @@ DATES = "SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS dates, true AS own_qua
 
 def name_reuse(spark, sf_dir):
     """Suppliers of a part whose shipping spans overlap another supplier's."""
-    spans = table(spark, sf_dir, "lineitem").where("l_partkey % 20 = 0").groupBy("l_partkey", "l_suppkey").agg(F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("b"))
+    spans = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("b"))
     return M.reused_names(spans, name="l_partkey", entity="l_suppkey", start="a", end="b")
 
 
-REUSE = "WITH s AS (SELECT l_partkey, l_suppkey, min(l_shipdate) AS a, max(l_shipdate) AS b FROM lineitem WHERE l_partkey % 20 = 0 GROUP BY ALL) SELECT x.l_partkey, x.l_suppkey, string_agg(y.l_suppkey::VARCHAR, ';' ORDER BY y.l_suppkey) AS others FROM s x JOIN s y ON x.l_partkey = y.l_partkey AND x.l_suppkey <> y.l_suppkey AND x.a <= y.b AND y.a <= x.b GROUP BY ALL"
+REUSE = "WITH s AS (SELECT l_partkey, l_suppkey, min(l_shipdate) AS a, max(l_shipdate) AS b FROM lineitem GROUP BY ALL) SELECT x.l_partkey, x.l_suppkey, string_agg(y.l_suppkey::VARCHAR, ';' ORDER BY y.l_suppkey) AS others FROM s x JOIN s y ON x.l_partkey = y.l_partkey AND x.l_suppkey <> y.l_suppkey AND x.a <= y.b AND y.a <= x.b GROUP BY ALL"
 
 
 def fiscal_anniversaries(spark, sf_dir):

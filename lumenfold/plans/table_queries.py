@@ -197,12 +197,12 @@ def event_windows(spark, sf_dir):
 def asof_history(spark, sf_dir):
     """The type of each user's last event at or before each order's day, with conflicts."""
     ev = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("since"), F.col("event_type").alias("kind"))
-    probes = table(spark, sf_dir, "events").where("event_id % 7 = 0").select(F.col("event_id").alias("probe"), F.pmod(F.col("user_id") * 3 + 1, F.lit(160)).alias("user_id"), F.date_sub(F.to_date("ts"), 1).alias("at"))
+    probes = table(spark, sf_dir, "events").select(F.col("event_id").alias("probe"), F.pmod(F.col("user_id") * 3 + 1, F.lit(160)).alias("user_id"), F.date_sub(F.to_date("ts"), 1).alias("at"))
     out = T.asof_backward(probes, ev, key="user_id", at="at", since="since", value="kind", id_col="probe")
     return out.select("probe", "user_id", F.col("at").cast("string").alias("probe_day"), "kind", F.col("since_used").cast("string").alias("since_used"), "status")
 
 
-ASOF = """WITH h AS (SELECT user_id, ts::DATE AS since, count(DISTINCT event_type) AS n, min(event_type) AS kind FROM events GROUP BY ALL), p AS (SELECT event_id AS probe, (user_id * 3 + 1) % 160 AS user_id, ts::DATE - 1 AS probe_day FROM events WHERE event_id % 7 = 0),
+ASOF = """WITH h AS (SELECT user_id, ts::DATE AS since, count(DISTINCT event_type) AS n, min(event_type) AS kind FROM events GROUP BY ALL), p AS (SELECT event_id AS probe, (user_id * 3 + 1) % 160 AS user_id, ts::DATE - 1 AS probe_day FROM events),
 j AS (SELECT p.*, h.since, h.n, h.kind FROM p ASOF LEFT JOIN h ON p.user_id = h.user_id AND p.probe_day >= h.since) SELECT probe, user_id, probe_day::VARCHAR AS probe_day, CASE WHEN n = 1 THEN kind END AS kind, since::VARCHAR AS since_used, CASE WHEN since IS NULL THEN 'missing' WHEN n > 1 THEN 'conflict' ELSE 'matched' END AS status FROM j"""
 
 
@@ -251,10 +251,10 @@ CANONICAL = "SELECT user_id, event_id, event_type, round(value, 6) AS value FROM
 
 
 def attempt_history(spark, sf_dir):
-    return R.history(table(spark, sf_dir, "events").where("event_id % 5 = 0"), ["user_id"], "event_id", "event_type")
+    return R.history(table(spark, sf_dir, "events"), ["user_id"], "event_id", "event_type")
 
 
-HISTORY = "SELECT user_id, count(*) AS attempts, string_agg(event_type, ';' ORDER BY event_id) AS history, arg_max(event_type, event_id) AS last FROM events WHERE event_id % 5 = 0 GROUP BY user_id"
+HISTORY = "SELECT user_id, count(*) AS attempts, string_agg(event_type, ';' ORDER BY event_id) AS history, arg_max(event_type, event_id) AS last FROM events GROUP BY user_id"
 
 
 def agreed_brand(spark, sf_dir):

@@ -9,7 +9,7 @@ def normal(rows):
     return sorted(tuple("" if v is None else f"{v:.5f}" if isinstance(v, float) else str(v) for v in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["proximity_scores", "nearest_spans", "fractional_cells", "portfolio_means", "asof_history", "stratified_draw", "sector_ranks", "fiscal_dates"])
+@pytest.mark.parametrize("name", ["proximity_scores", "nearest_spans", "fractional_cells", "portfolio_means", "asof_history", "stratified_draw", "sector_ranks", "fiscal_dates", "joined_with_status", "top_retention", "quantile_bins", "inflected_terms", "attempt_history", "name_reuse"])
 def test_query_equals_its_sql(spark, sf, name):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages labels conversations".split():

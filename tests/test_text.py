@@ -68,9 +68,9 @@ def test_tokenizers_and_flags(spark):
 
 
 def test_inflections(spark):
-    terms = spark.createDataFrame([("inventories",), ("stocking",), ("supply shock",)], "t string")
+    terms = spark.createDataFrame([("inventories",), ("stocking",), ("supply shock",), ("boxes",), ("box",), ("supply",), ("glass",), ("day",), ("",)], "t string")
     got = {r.t: set(r.x) for r in terms.select("t", TX.inflections(F.col("t")).alias("x")).collect()}
-    assert got == {"inventories": {"inventories", "inventory"}, "stocking": {"stocking", "stockings"}, "supply shock": {"supply shock", "supply shocks"}}
+    assert got == {"inventories": {"inventories", "inventory"}, "stocking": {"stocking", "stockings"}, "supply shock": {"supply shock", "supply shocks"}, "boxes": {"boxes", "box"}, "box": {"box", "boxs", "boxes"}, "supply": {"supply", "supplys", "supplies"}, "glass": {"glass", "glasss", "glasses"}, "day": {"day", "days"}, "": {""}}
 
 
 def test_greedy_joins_equal_a_pass(spark):
