@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Names of securities that are no operating company's common stock.
-EXCLUDED_NAMES = {"fund": r"\b(fund|etf|trust)\b", "preferred": r"\bpreferred\b", "warrant": r"\bwarrants?\b", "unit": r"\bunits?\b", "right": r"\brights?\b", "note": r"\bnotes?\b"}
+#: Words in names of securities that are no operating company's common stock, first match counts.
+EXCLUDED_NAMES = {
+    "warrant": r"\b(warrant|warrants|wt|wts)\b",
+    "right": r"\b(right|rights|rt|rts)\b",
+    "unit": r"\b(unit|units)\b",
+    "preferred": r"\b(preferred|preference|depositary shares?)\b",
+    "fund": r"\b(etf|fund|shares index)\b",
+    "acquisition_vehicle": r"\b(acquisition corp|blank check)\b",
+    "when_issued": r"\bwhen issued\b",
+}
 EXCLUDED_SYMBOLS = r"[-.](P[A-Z]?|W|WS|U|R)$"
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 
@@ -66,10 +74,48 @@ def text_dates(text: Column) -> Column:
 
 
 def quarter_mention(text: Column, year: Column, quarter: Column) -> Column:
-    """Whether the text names the fiscal quarter (``Q3 2012``, ``third quarter of 2012``)."""
-    word = F.element_at(F.array(*[F.lit(x) for x in ("first", "second", "third", "fourth")]), quarter)
-    pattern = F.concat(F.lit(r"(?i)\b(q"), quarter.cast("string"), F.lit("|"), word, F.lit(r"\s+quarter)\s+(of\s+|fiscal\s+)*(year\s+)?"), year.cast("string"), F.lit(r"\b"))
-    return F.regexp_like(F.coalesce(text, F.lit("")), pattern)
+    """Whether the text names the fiscal quarter: the quarter by number or ordinal and the year, in either order
+    and at most 80 characters of a sentence apart (``third quarter of fiscal 2012``, ``fiscal year 2012, Q3 quarter``),
+    or the short form ``Q3 2012``."""
+    ordinal = F.element_at(F.array(*[F.lit(x) for x in ("first|1st", "second|2nd", "third|3rd", "fourth|4th")]), quarter)
+    name = F.concat(F.lit(r"(?:q\s*"), quarter.cast("string"), F.lit("|"), ordinal, F.lit(r")\s+(?:fiscal\s+)?quarter"))
+    y, gap = year.cast("string"), F.lit("[^.]{0,80}")
+    short = F.concat(F.lit(r"\bq\s*"), quarter.cast("string"), F.lit(r"\s+(?:of\s+|fiscal\s+)*"), y, F.lit(r"\b"))
+    after = F.concat(name, F.lit(r"(?:[^.]{0,80}\b|\s+(?:of\s+)?(?:fiscal\s+)?)"), y)
+    before = F.concat(F.lit(r"(?:\b|fiscal\s+(?:year\s+)?)"), y, gap, name)
+    return F.regexp_like(F.coalesce(text, F.lit("")), F.concat(F.lit("(?i)(?:"), short, F.lit("|"), after, F.lit("|"), before, F.lit(")")))
+
+
+#: Cues of a live call, words of a replay, of other meetings and of a schedule.
+REPLAY = r"\b(replay|archiv\w*|until|through|expires?|expiration)\b"
+OTHER_MEETINGS = r"investor (day|meeting|conference)|analyst day|summit|agenda|no later than|dividend|record date"
+SCHEDULE = r"\b(will|hold|host|begin\w*|scheduled|on|conduct)\b"
+CALLS = r"conference call|earnings call|results call"
+SPOKEN = r"\b(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.?\s+(\d{1,2})(?:st|nd|rd|th)?(?:,?\s+(\d{4}))?"
+
+
+def live_call(day: Column, text: Column) -> Column:
+    """How the text bears on a live call on the day: 'live' or 'live_year_implied' (the date follows a call that is
+    scheduled), 'replay' (it ends a replay), 'no_schedule', or 'no_date' (also for null text). Each mention of the
+    day looks back 240 characters, 140 for a replay; the first live mention decides, then any replay."""
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    months = F.array(*[F.lit(m[:3]) for m in MONTHS])
+    found = F.regexp_extract_all(lower, F.lit(SPOKEN), F.lit(0))
+    pieces = F.split(F.regexp_replace(lower, SPOKEN, "\x00"), "\x00")
+
+    def verdict(date: Column, i: Column) -> Column:
+        year = F.regexp_extract(date, SPOKEN, 3)
+        month = F.array_position(months, F.substring(F.regexp_extract(date, SPOKEN, 1), 1, 3))
+        parsed = F.try_to_date(F.concat_ws("-", F.when(year == "", F.year(day).cast("string")).otherwise(year), F.lpad(month.cast("string"), 2, "0"), F.lpad(F.regexp_extract(date, SPOKEN, 2), 2, "0")), "yyyy-MM-dd")
+        lead = F.aggregate(F.sequence(F.lit(0), i), F.lit(""), lambda acc, k: F.right(F.concat(acc, F.when(k > 0, F.get(found, k - 1)).otherwise(""), F.get(pieces, k)), F.lit(240)))
+        plan = F.regexp_extract(lead, rf"(?s).*((?:{CALLS}).*)", 1)
+        live = (plan != "") & ~plan.rlike(OTHER_MEETINGS) & lead.rlike(SCHEDULE)
+        return F.when(parsed.isNull() | (parsed != day), "no_date").when(F.right(lead, F.lit(140)).rlike(REPLAY), "replay").when(live & (year != ""), "live").when(live, "live_year_implied").otherwise("no_schedule")
+
+    found_verdicts = F.transform(found, verdict)
+    said = F.get(F.filter(found_verdicts, lambda v: v.startswith("live")), F.lit(0))
+    seen = lambda v: F.when(F.array_contains(found_verdicts, v), v)
+    return F.coalesce(said, seen("replay"), seen("no_schedule"), F.lit("no_date"))
 
 
 def reused_names(spans: DataFrame, *, name: str, entity: str, start: str, end: str) -> DataFrame:

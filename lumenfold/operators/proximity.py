@@ -24,10 +24,13 @@ def vocabulary(spark: SparkSession, terms: dict[str, float]) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, tokens: str, vocab: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """(id, term, weight, s, e): every occurrence with its inclusive token positions; overlaps all count."""
+    """(id, term, weight, s, e): every occurrence with its inclusive token positions; overlaps all count. A
+    position carries the words of the longest term from there on, never the whole document."""
     words = F.broadcast(vocab.withColumn("first", F.col("words")[0]))
-    placed = docs.select(F.col(id_col).alias("id"), F.col(tokens).alias("__t"), F.posexplode(tokens).alias("s", "word"))
-    hit = placed.join(words, F.col("word") == F.col("first")).where(F.slice("__t", F.col("s") + 1, F.size("words")) == F.col("words"))
+    longest = F.broadcast(vocab.agg(F.max(F.size("words")).alias("__longest")))  # one row
+    ahead = F.transform(F.col(tokens), lambda _, i: F.struct(i.alias("s"), F.slice(F.col(tokens), i + 1, F.col("__longest")).alias("ahead")))
+    placed = docs.crossJoin(longest).select(F.col(id_col).alias("id"), F.explode(ahead).alias("__p")).select("id", "__p.s", "__p.ahead")
+    hit = placed.join(words, F.col("ahead")[0] == F.col("first")).where(F.slice("ahead", F.lit(1), F.size("words")) == F.col("words"))
     return hit.select("id", "term", "weight", "s", (F.col("s") + F.size("words") - 1).alias("e"))
 
 
@@ -36,23 +39,31 @@ def within(window: int) -> Column:
     return (F.col("s") <= F.col("e2") + window) & (F.col("s2") <= F.col("e") + window)
 
 
-def near_pairs(left: DataFrame, right: DataFrame, *, window: int = WINDOW, span: int = 8, same_spans: bool = True) -> DataFrame:
-    """All pairs of occurrences of a document within the window; the right side's columns end in 2. Positions
-    are bucketed by window and longest span, so no pair meets outside neighbouring buckets."""
-    width = window + span
-    a = left.withColumn("bucket", F.floor(F.col("s") / width))
+def _buckets(start: str, end: str, window: int) -> Column:
+    """Buckets that a span with its window behind it covers. Two such intervals overlap where the spans are
+    within the window; they share the bucket of the later start, whatever the length of a term."""
+    width = window + 8
+    return F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) + window) / width)))
+
+
+def _meeting(left: DataFrame, right: DataFrame, window: int) -> tuple[DataFrame, DataFrame, Column]:
+    a, b = left.withColumn("bucket", _buckets("s", "e", window)), right.withColumn("bucket2", _buckets("s2", "e2", window))
+    return a, b, (F.col("id") == F.col("id2")) & (F.col("bucket") == F.col("bucket2")) & (F.col("bucket") == F.floor(F.greatest("s", "s2") / (window + 8))) & within(window)
+
+
+def near_pairs(left: DataFrame, right: DataFrame, *, window: int = WINDOW, same_spans: bool = True) -> DataFrame:
+    """All pairs of occurrences of a document within the window; the right side's columns end in 2. Spans meet
+    by document and position bucket, every pair once, in the bucket of its later start."""
     b = right.select(F.col("id").alias("id2"), F.col("term").alias("term2"), F.col("weight").alias("weight2"), F.col("s").alias("s2"), F.col("e").alias("e2"))
-    b = b.withColumn("bucket2", F.explode(F.array(*[F.floor(F.col("s2") / width) + k for k in (-1, 0, 1)])))
-    joined = a.join(b, (F.col("id") == F.col("id2")) & (F.col("bucket") == F.col("bucket2")) & within(window)).drop("bucket", "bucket2", "id2")
+    a, b, meet = _meeting(left, b, window)
+    joined = a.join(b, meet).drop("bucket", "bucket2", "id2")
     return joined if same_spans else joined.where((F.col("s") != F.col("s2")) | (F.col("e") != F.col("e2")))
 
 
-def near_any(left: DataFrame, right: DataFrame, *, window: int = WINDOW, span: int = 8) -> DataFrame:
-    """The occurrences of ``left`` with any of ``right`` within the window."""
-    width = window + span
-    a = left.withColumn("bucket", F.floor(F.col("s") / width))
-    b = right.select(F.col("id").alias("id2"), F.col("s").alias("s2"), F.col("e").alias("e2")).withColumn("bucket2", F.explode(F.array(*[F.floor(F.col("s2") / width) + k for k in (-1, 0, 1)])))
-    return a.join(b, (F.col("id") == F.col("id2")) & (F.col("bucket") == F.col("bucket2")) & within(window), "left_semi").drop("bucket")
+def near_any(left: DataFrame, right: DataFrame, *, window: int = WINDOW) -> DataFrame:
+    """The occurrences of ``left`` with any of ``right`` within the window; equal rows count once."""
+    a, b, meet = _meeting(left, right.select(F.col("id").alias("id2"), F.col("s").alias("s2"), F.col("e").alias("e2")), window)
+    return a.join(b, meet, "left_semi").drop("bucket").distinct()
 
 
 def raw_scores(docs: DataFrame, tokens: str, supply: DataFrame, risk: DataFrame, resolution: DataFrame, *, id_col: str = "doc_id", window: int = WINDOW, same_spans: bool = True) -> DataFrame:

@@ -46,12 +46,12 @@ SELECT l AS item_id, r AS best, shared FROM t WHERE place = 1 AND (next IS NULL
 
 def security_exclusions(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    kinds = F.element_at(F.array(*[F.lit(x) for x in ("common stock", "Growth Fund", "Preferred A", "Warrants", "ordinary")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    kinds = F.element_at(F.array(*[F.lit(x) for x in ("common stock", "Growth Fund", "Depositary Share", "Wts", "Acquisition Corp")]), (F.col("p_partkey") % 5 + 1).cast("int"))
     symbol = F.concat(F.lit("S"), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 7 == 0, "-WS").otherwise(""))
     return p.groupBy(F.coalesce(M.exclusion(F.concat_ws(" ", "p_name", kinds), symbol), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-EXCLUSIONS = "WITH s AS (SELECT lower(p_name || ' ' || (['common stock', 'Growth Fund', 'Preferred A', 'Warrants', 'ordinary'])[p_partkey % 5 + 1]) AS n, 'S' || p_size || CASE WHEN p_partkey % 7 = 0 THEN '-WS' ELSE '' END AS s FROM part) SELECT CASE WHEN regexp_matches(s, '[-.](P[A-Z]?|W|WS|U|R)$') THEN 'symbol' " + " ".join(f"WHEN regexp_matches(n, '{p}') THEN '{r}'" for r, p in M.EXCLUDED_NAMES.items()) + " ELSE 'kept' END AS reason, count(*) AS n FROM s GROUP BY 1"
+EXCLUSIONS = "WITH s AS (SELECT lower(p_name || ' ' || (['common stock', 'Growth Fund', 'Depositary Share', 'Wts', 'Acquisition Corp'])[p_partkey % 5 + 1]) AS n, 'S' || p_size || CASE WHEN p_partkey % 7 = 0 THEN '-WS' ELSE '' END AS s FROM part) SELECT CASE WHEN regexp_matches(s, '[-.](P[A-Z]?|W|WS|U|R)$') THEN 'symbol' " + " ".join(f"WHEN regexp_matches(n, '{p}') THEN '{r}'" for r, p in M.EXCLUDED_NAMES.items()) + " ELSE 'kept' END AS reason, count(*) AS n FROM s GROUP BY 1"
 
 
 def dates_in_text(spark, sf_dir):
@@ -65,6 +65,18 @@ def dates_in_text(spark, sf_dir):
 DATES = "SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS dates, true AS own_quarter, false AS next_year FROM orders"
 
 
+def live_calls(spark, sf_dir):
+    """Sentences on each order's day, of a call, a replay and others in turn, and what they say of the day."""
+    d = F.to_date("o_orderdate")
+    full, short = F.date_format(d, "MMMM d, yyyy"), F.date_format(d, "MMM. d")
+    said = [F.concat(F.lit("We will hold a conference call on "), full, F.lit(".")), F.concat(F.lit("A replay of the conference call will be available through "), full, F.lit(".")), F.concat(F.lit("The earnings call is scheduled for "), short, F.lit(".")), F.concat(F.lit("Our analyst day is on "), full, F.lit("."))]
+    o = table(spark, sf_dir, "orders")
+    return o.groupBy((F.col("o_orderkey") % 4).alias("kind"), M.live_call(d, F.element_at(F.array(*said), (F.col("o_orderkey") % 4 + 1).cast("int"))).alias("verdict")).agg(F.count("*").alias("n"))
+
+
+LIVE = "SELECT o_orderkey % 4 AS kind, (['live', 'replay', 'live_year_implied', 'no_schedule'])[o_orderkey % 4 + 1] AS verdict, count(*) AS n FROM orders GROUP BY ALL"
+
+
 def name_reuse(spark, sf_dir):
     """Suppliers of a part whose shipping spans overlap another supplier's."""
     spans = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("b"))
@@ -97,5 +109,5 @@ def carried_state(spark, sf_dir):
 
 CARRIED = "SELECT event_id, user_id, bool_or(event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS bought, coalesce((ts::DATE - (lag(ts) OVER w)::DATE)::BIGINT, -1) AS gap, (row_number() OVER w - 1)::BIGINT AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"
 
-QUERIES = {"cascade_match": cascade_match, "fuzzy_match": fuzzy_match, "security_exclusions": security_exclusions, "dates_in_text": dates_in_text, "name_reuse": name_reuse, "fiscal_anniversaries": fiscal_anniversaries, "carried_state": carried_state}
-ORACLES = {"cascade_match": CASCADE, "fuzzy_match": FUZZY, "security_exclusions": EXCLUSIONS, "dates_in_text": DATES, "name_reuse": REUSE, "fiscal_anniversaries": ANNIVERSARIES, "carried_state": CARRIED}
+QUERIES = {"cascade_match": cascade_match, "fuzzy_match": fuzzy_match, "security_exclusions": security_exclusions, "dates_in_text": dates_in_text, "live_calls": live_calls, "name_reuse": name_reuse, "fiscal_anniversaries": fiscal_anniversaries, "carried_state": carried_state}
+ORACLES = {"cascade_match": CASCADE, "fuzzy_match": FUZZY, "security_exclusions": EXCLUSIONS, "dates_in_text": DATES, "live_calls": LIVE, "name_reuse": REUSE, "fiscal_anniversaries": ANNIVERSARIES, "carried_state": CARRIED}

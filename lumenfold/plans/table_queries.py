@@ -320,15 +320,35 @@ BERNOULLI = "SELECT o_orderkey FROM orders WHERE ('0x' || substr(sha256('tenth|'
 
 
 def regressions(spark, sf_dir):
-    """Outcome on scores: pooled, and within strata; clustered by customer."""
+    """Outcome on scores: pooled, within strata, and within strata and quarters; clustered by customer."""
     c = calls(spark, sf_dir).withColumn("one", F.lit(1.0)).withColumn("y", F.col("outcome")).withColumn("a", F.col("score") / 100).withColumn("b", F.col("second") / 10)
     rows = []
-    for model, df, xs, absorbed in (("pooled", c, ["one", "a", "b"], 0), ("within", I.demeaned(c, ["y", "a", "b"], ["stratum"]), ["a", "b"], 5)):
+    for model, df, xs, absorbed in (("pooled", c, ["one", "a", "b"], 0), ("within", I.demeaned(c, ["y", "a", "b"], ["stratum"]), ["a", "b"], 5), ("two_way", I.demeaned(c, ["y", "a", "b"], ["stratum", "period"]), ["a", "b"], 4 + c.select("period").distinct().count())):
         fit = I.clustered_ols(df, "y", xs, "cluster", absorbed=absorbed)
         rows += [(model, x, round(v["beta"], 6), round(v["se"], 6)) for x, v in fit.items() if x != "one"]
     return spark.createDataFrame(rows, "model string, term string, beta double, se double")
 
 
+def leverage(spark, sf_dir):
+    """Leverage, residual and Cook's distance of every order in the pooled fit of its outcome."""
+    c = calls(spark, sf_dir).withColumn("one", F.lit(1.0)).withColumn("x", F.col("score") / 100)
+    rows, _ = I.influence(c, "outcome", ["one", "x"], "cluster")
+    return rows.select("id", F.round("residual", 6).alias("residual"), F.round("leverage", 9).alias("leverage"), F.round("cooks", 9).alias("cooks"))
+
+
+_POOLED = f"{CALLS}, m AS (SELECT count(*) AS n, avg(score / 100) AS mx, sum(score * score / 10000) - count(*) * avg(score / 100) * avg(score / 100) AS sxx, covar_pop(score / 100, outcome) / var_pop(score / 100) AS b, avg(outcome) AS my FROM calls), e AS (SELECT id, cluster, n, sxx, score / 100 - mx AS d, outcome - my - b * (score / 100 - mx) AS r, 1.0 / n + (score / 100 - mx) * (score / 100 - mx) / sxx AS h FROM calls, m)"
+LEVERAGE = f"WITH {_POOLED}, q AS (SELECT sum(r * r) / (count(*) - 2) AS mse FROM e) SELECT id, round(r, 6) AS residual, round(h, 9) AS leverage, round(r * r / (2 * mse) * h / ((1 - h) * (1 - h)), 9) AS cooks FROM e, q"
+
+
+def cluster_influence(spark, sf_dir):
+    """The first-order change of the pooled slope that each customer's orders make."""
+    c = calls(spark, sf_dir).withColumn("one", F.lit(1.0)).withColumn("x", F.col("score") / 100)
+    return I.influence(c, "outcome", ["one", "x"], "cluster")[1].select("cluster", F.round("d_x", 9).alias("slope"))
+
+
+INFLUENCE = f"WITH {_POOLED} SELECT cluster, round(sum(r * d / sxx), 9) AS slope FROM e GROUP BY cluster"
+
+
 def fiscal_dates(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"))
     label = V.quarter_label(F.col("d"))
@@ -359,10 +379,10 @@ def precision_by_signal(spark, sf_dir):
 PRECISION = "WITH d AS (SELECT doc_id, lang, CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars < 3000 THEN 'middle' ELSE 'long' END AS size FROM documents), g AS (SELECT lang, size, count(*) AS n, count(*) FILTER (quality = 1) AS good, avg(quality) AS p, sum(quality) AS q FROM d JOIN labels USING (doc_id) GROUP BY ALL) SELECT lang, size, n, good, round(p, 9) AS precision, round(q / sum(n) OVER (PARTITION BY lang), 9) AS share_of_lang FROM g"
 
 _HERE = globals()
-QUERIES = {n: _HERE[n] for n in "winsorized_scores hash_quintiles fractional_cells portfolio_means portfolio_covariance portfolio_contrasts sector_ranks zero_apart_bins gate_funnel exclusion_reasons coverage_rollups status_pivot describe_groups daily_returns next_trading_day event_windows asof_history listing_overlap nearest_shipment content_duplicates chained_dedup canonical_status attempt_history agreed_brand reconciliation table_difference row_invariants mapping_check stratified_draw first_by_hash bernoulli_draw regressions fiscal_dates surrogate_ids precision_by_signal".split()}
+QUERIES = {n: _HERE[n] for n in "winsorized_scores hash_quintiles fractional_cells portfolio_means portfolio_covariance portfolio_contrasts sector_ranks zero_apart_bins gate_funnel exclusion_reasons coverage_rollups status_pivot describe_groups daily_returns next_trading_day event_windows asof_history listing_overlap nearest_shipment content_duplicates chained_dedup canonical_status attempt_history agreed_brand reconciliation table_difference row_invariants mapping_check stratified_draw first_by_hash bernoulli_draw regressions leverage cluster_influence fiscal_dates surrogate_ids precision_by_signal".split()}
 ORACLES = {
     "winsorized_scores": WINSOR, "hash_quintiles": QUINTILES, "fractional_cells": CELLS, "portfolio_means": MEANS, "portfolio_covariance": COVARIANCE, "portfolio_contrasts": CONTRASTS, "sector_ranks": RANKS, "zero_apart_bins": BINS, "gate_funnel": FUNNEL,
     "exclusion_reasons": REASONS, "coverage_rollups": ROLLUPS, "status_pivot": PIVOT, "describe_groups": DESCRIBE, "daily_returns": RETURNS, "next_trading_day": NEXT_DAY, "asof_history": ASOF, "listing_overlap": LISTED, "nearest_shipment": NEAREST,
     "content_duplicates": DUPLICATES, "canonical_status": CANONICAL, "attempt_history": HISTORY, "agreed_brand": AGREED, "reconciliation": RECONCILED, "table_difference": DIFFERENCE, "row_invariants": INVARIANTS, "mapping_check": MAPPING,
-    "stratified_draw": DRAW, "first_by_hash": FIRST, "bernoulli_draw": BERNOULLI, "fiscal_dates": FISCAL, "surrogate_ids": SURROGATE, "precision_by_signal": PRECISION,
+    "stratified_draw": DRAW, "first_by_hash": FIRST, "bernoulli_draw": BERNOULLI, "leverage": LEVERAGE, "cluster_influence": INFLUENCE, "fiscal_dates": FISCAL, "surrogate_ids": SURROGATE, "precision_by_signal": PRECISION,
 }

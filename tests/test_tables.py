@@ -68,6 +68,40 @@ def test_regression_equals_dummies(spark):
     assert I.inflation(df, ["a", "b"])["a"] == pytest.approx(1 / (1 - np.corrcoef(x.T)[0, 1] ** 2))
 
 
+def test_two_way_effects_on_a_chain(spark):
+    """A weakly linked panel, where alternating means would need thousands of rounds."""
+    rng = np.random.default_rng(97)
+    g, h = np.repeat(np.arange(40), 2), np.concatenate([[k, k + 1] for k in range(40)])
+    y, x = rng.normal(size=(2, 80))
+    df = spark.createDataFrame(pd.DataFrame({"i": range(80), "y": y, "x": x, "g": g, "h": h}))
+    dummies = np.column_stack([*(g == k for k in range(40)), *(h == k for k in range(41))]).astype(float)
+    want = y - dummies @ np.linalg.lstsq(dummies, y, rcond=None)[0]
+    got = [r.y for r in I.demeaned(df, ["y", "x"], ["g", "h"]).orderBy("i").collect()]
+    assert got == pytest.approx(want.tolist(), abs=1e-8)
+
+
+def test_alternating_means_settle_or_fail(spark):
+    df = spark.createDataFrame([(k, float(k * k % 7), k % 3, None if k % 2 else 1) for k in range(12)], "i int, y double, g int, h int")
+    direct = [r.y for r in I.demeaned(df, ["y"], ["g", "h"]).orderBy("i").collect()]
+    assert [r.y for r in I.demeaned(df, ["y"], ["g", "h"], direct=1).orderBy("i").collect()] == pytest.approx(direct, abs=1e-9)
+    with pytest.raises(ArithmeticError):
+        I.demeaned(df, ["y"], ["g", "h"], direct=1, tolerance=0.0, rounds=1)
+
+
+def test_influence(spark):
+    rng = np.random.default_rng(5)
+    x, y, c = rng.normal(size=30), rng.normal(size=30), rng.integers(0, 6, 30)
+    x[0], one = 9.0, np.ones(30)
+    rows, moves = I.influence(spark.createDataFrame(pd.DataFrame({"i": range(30), "one": one, "x": x, "y": y, "c": c})), "y", ["one", "x"], "c")
+    full = np.column_stack([one, x])
+    inverse = np.linalg.inv(full.T @ full)
+    h, e = np.einsum("ij,jk,ik->i", full, inverse, full), y - full @ inverse @ full.T @ y
+    got = rows.orderBy("i").collect()
+    assert [r.leverage for r in got] == pytest.approx(h.tolist())
+    assert [r.cooks for r in got] == pytest.approx((e**2 / (2 * (e @ e) / 28) * h / (1 - h) ** 2).tolist())
+    assert {r.c: r.d_x for r in moves.collect()} == pytest.approx({int(k): float(((full * e[:, None])[c == k].sum(0) @ inverse)[1]) for k in set(c)})
+
+
 def test_student_t():
     assert V.student_t_sf(2.228139, 10) == pytest.approx(0.05, abs=1e-6)
     assert V.student_t_quantile(0.975, 10) == pytest.approx(2.228139, abs=1e-5)

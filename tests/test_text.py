@@ -88,3 +88,43 @@ def test_greedy_joins_equal_a_pass(spark):
                 i += 1
             i += 1
     assert got == wanted
+
+
+def test_long_terms_meet_at_every_offset(spark):
+    """A pair is found whatever the length of its terms and wherever the buckets end."""
+    term = " ".join(f"w{k}" for k in range(25))
+    texts = [["x"] * k + term.split() + ["x"] * gap + ["risk"] for k in range(20) for gap in (9, 10)]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id int, tokens array<string>")
+    left, right = P.occurrences(d, "tokens", P.vocabulary(spark, {term: 1.0})), P.occurrences(d, "tokens", P.vocabulary(spark, {"risk": 1.0}))
+    want = list(range(0, 40, 2))
+    assert sorted(r.id for r in P.near_pairs(left, right).collect()) == want
+    assert sorted(r.id for r in P.near_any(left, right).collect()) == want
+    assert sorted(r.id for r in P.near_any(right, left).collect()) == want
+
+
+def test_live_call_is_no_replay(spark):
+    from lumenfold.operators import matching as M
+
+    rows = [
+        ("2020-03-04", "The replay is available from noon through Wednesday, March 4, 2020.", "replay"),
+        ("2020-03-04", "Management will host a results call on Mar. 4th, 2020 at 9 AM. A replay ends March 9.", "live"),
+        ("2020-03-04", "An earnings call is scheduled for March 4.", "live_year_implied"),
+        ("2020-03-04", "There will be a conference call on March 5, 2020.", "no_date"),
+        ("2020-03-04", "After the conference call the summit will be on March 4, 2020.", "no_schedule"),
+        ("2020-03-04", "The dividend is paid on March 4, 2020, then May 40, 2020.", "no_schedule"),
+        ("2020-03-04", "A replay runs until March 4, 2020. We will hold the conference call, which is long, at the hall, with questions and answers for all who are there, and with slides on the wall behind the stage for the whole of the time that it takes, on March 4, 2020.", "live"),
+        ("2020-03-04", None, "no_date"),
+    ]
+    d = spark.createDataFrame(rows, "day string, text string, want string")
+    got = d.select("text", "want", M.live_call(F.to_date("day"), F.col("text")).alias("got")).collect()
+    assert [(r.text, r.got) for r in got] == [(r.text, r.want) for r in got]
+
+
+def test_quarter_patterns(spark):
+    from lumenfold.operators import matching as M
+
+    yes = ["third quarter of fiscal 2012", "3rd fiscal quarter ended in 2012", "2012 had a strong third quarter", "fiscal year 2012: Q 3 quarter", "Q3 2012"]
+    no = ["third quarter of 2013", "third quarter. In 2012", "second quarter of 2012", "", None]
+    d = spark.createDataFrame([(t,) for t in yes + no], "t string")
+    got = [r.m for r in d.select(M.quarter_mention(F.col("t"), F.lit(2012), F.lit(3)).alias("m")).collect()]
+    assert got == [True] * len(yes) + [False] * len(no)
