@@ -101,3 +101,14 @@ def context(tokens: Column, start: Column, end: Column, width: int = 12) -> Colu
     """The tokens around a span, so many to either side; positions count from 0."""
     lo = F.greatest(start - width, F.lit(0))
     return F.array_join(F.slice(tokens, lo + 1, end + width + 1 - lo), " ")
+
+
+def letter_words(text: Column) -> Column:
+    """Runs of ASCII letters in lower case; null is no words."""
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([A-Za-z]+)"), F.lit(1)), F.lower)
+
+
+def rough_stem(word: Column) -> Column:
+    """A suffix stripper for probes: -ing or -ed off a stem of three letters, then -ies to -y, -sses to -ss, or a last -s."""
+    verb = F.regexp_replace(word, "^(.{3,})(?:ing|ed)$", "$1")
+    return F.when(verb.rlike("^.{2,}ies$"), F.regexp_replace(verb, "ies$", "y")).when(verb.rlike("^.{2,}[^s]s$"), F.regexp_replace(verb, "(?<=.ss)es$|s$", "")).otherwise(verb)

@@ -83,5 +83,14 @@ f AS (SELECT term, p, w, CASE WHEN w LIKE '%ies' AND length(w) > 4 THEN [left(w,
     ELSE list_concat([w || 's'], list_concat(CASE WHEN regexp_matches(w, '.[^aeiou]y$') THEN [left(w, -1) || 'ies'] ELSE [] END, CASE WHEN regexp_matches(w, '(s|x|z|ch|sh)$') THEN [w || 'es'] ELSE [] END)) END AS other FROM w)
 SELECT term, array_to_string(list_sort(list_distinct(list_transform(list_concat([w], other), lambda x: p || x))), ';') AS forms FROM f"""
 
-QUERIES = {"joined_with_status": joined_with_status, "one_to_many_join": one_to_many_join, "unmatched_rows": unmatched_rows, "head_and_tail": head_and_tail, "top_retention": top_retention, "quantile_bins": quantile_bins, "inflected_terms": inflected_terms}
-ORACLES = {"joined_with_status": STATUS, "one_to_many_join": ONE_TO_MANY, "unmatched_rows": UNMATCHED, "head_and_tail": ENDS, "top_retention": RETENTION, "quantile_bins": BINS, "inflected_terms": INFLECTED}
+def stemmed_words(spark, sf_dir):
+    """How often documents hold each rough stem, and by how many words; words are counted before they are cut."""
+    words = table(spark, sf_dir, "documents").select(F.explode(TX.letter_words(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return words.groupBy(TX.rough_stem(F.col("w")).alias("stem")).agg(F.sum("n").alias("n"), F.count("*").alias("words"))
+
+
+STEMMED = """WITH w AS (SELECT w, count(*) AS n FROM (SELECT lower(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+'))) AS w FROM documents) GROUP BY w), v AS (SELECT n, CASE WHEN length(w) > 5 AND w LIKE '%ing' THEN w[:-4] WHEN length(w) > 4 AND w LIKE '%ed' THEN w[:-3] ELSE w END AS w FROM w)
+SELECT CASE WHEN length(w) > 4 AND w LIKE '%ies' THEN w[:-4] || 'y' WHEN length(w) > 4 AND w LIKE '%sses' THEN w[:-3] WHEN length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN w[:-2] ELSE w END AS stem, sum(n)::BIGINT AS n, count(*) AS words FROM v GROUP BY 1"""
+
+QUERIES = {"stemmed_words": stemmed_words, "joined_with_status": joined_with_status, "one_to_many_join": one_to_many_join, "unmatched_rows": unmatched_rows, "head_and_tail": head_and_tail, "top_retention": top_retention, "quantile_bins": quantile_bins, "inflected_terms": inflected_terms}
+ORACLES = {"stemmed_words": STEMMED, "joined_with_status": STATUS, "one_to_many_join": ONE_TO_MANY, "unmatched_rows": UNMATCHED, "head_and_tail": ENDS, "top_retention": RETENTION, "quantile_bins": BINS, "inflected_terms": INFLECTED}

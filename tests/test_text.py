@@ -128,3 +128,10 @@ def test_quarter_patterns(spark):
     d = spark.createDataFrame([(t,) for t in yes + no], "t string")
     got = [r.m for r in d.select(M.quarter_mention(F.col("t"), F.lit(2012), F.lit(3)).alias("m")).collect()]
     assert got == [True] * len(yes) + [False] * len(no)
+
+
+def test_rough_stems(spark):
+    text = "Testing ring bringing halted bed Policies ties classes sses boxes gas glass o'Neil's 9s"
+    words = spark.createDataFrame([(text,), (None,)], "t string").select(TX.letter_words(F.col("t")).alias("w"))
+    got = [r.s for r in words.select(F.transform("w", TX.rough_stem).alias("s")).collect()]
+    assert got == [["test", "ring", "bring", "halt", "bed", "policy", "tie", "class", "sse", "boxe", "gas", "glass", "o", "neil", "s", "s"], []]
