@@ -1,8 +1,9 @@
 """Queries of this subpackage, each over its whole table."""
 
-from . import bpe, html_text, line_dedup, mixing, passages, quality, recount, simhash, token_store, topk
+from . import alignment, bpe, html_text, line_dedup, mixing, passages, quality, recount, simhash, token_store, topk
 
 QUERIES = {
+    "op13_token_alignment": alignment.op13_token_alignment,
     "op5_edited_counts": recount.op5_edited_counts,
     "op3_substring_dedup": passages.op3_substring_dedup,
     "op9_top_k": topk.op9_top_k,
