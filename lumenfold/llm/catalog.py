@@ -1,8 +1,9 @@
 """Queries of this subpackage, each over its whole table."""
 
-from . import alignment, bpe, html_text, line_dedup, mixing, passages, quality, recount, simhash, token_store, topk
+from . import alignment, bpe, collocation, html_text, line_dedup, mixing, passages, quality, recount, simhash, token_store, topk
 
 QUERIES = {
+    "op12_phrase_collocations": collocation.op12_phrase_collocations,
     "op13_token_alignment": alignment.op13_token_alignment,
     "op5_edited_counts": recount.op5_edited_counts,
     "op3_substring_dedup": passages.op3_substring_dedup,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op12_phrase_collocations": collocation.OP12_SQL,
     "op9_top_k": topk.OP9_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
     "op7_quality_rules": quality.OP7_SQL,
