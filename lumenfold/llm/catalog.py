@@ -1,8 +1,9 @@
 """Queries of this subpackage, each over its whole table."""
 
-from . import alignment, bpe, collocation, html_text, line_dedup, mixing, passages, quality, recount, simhash, token_store, topk
+from . import alignment, bpe, collocation, html_text, licenses, line_dedup, mixing, passages, quality, recount, simhash, token_store, topk
 
 QUERIES = {
+    "op11_license_scan": licenses.op11_license_scan,
     "op12_phrase_collocations": collocation.op12_phrase_collocations,
     "op13_token_alignment": alignment.op13_token_alignment,
     "op5_edited_counts": recount.op5_edited_counts,
@@ -18,6 +19,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op11_license_scan": licenses.OP11_SQL,
     "op12_phrase_collocations": collocation.OP12_SQL,
     "op9_top_k": topk.OP9_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
