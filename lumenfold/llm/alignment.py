@@ -9,6 +9,8 @@ one token, so every step but the first of a group links the token taken with the
 from __future__ import annotations
 
 import hashlib
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,15 +22,19 @@ from .bpe import Cache, batches
 from .common import materialize
 from .token_store import BYTE_LETTERS
 
-#: Aligned segments that a worker keeps, and the longest text of one.
-SEGMENTS = 400_000
+#: Aligned segments that a worker keeps, the longest text of one, and states of the transducer.
+SEGMENTS = 250_000
 LONG = 64
+STATES = 1 << 17
 #: Links are joined to the counts of at most so many id pairs by broadcast: those that hold at least this share of all
 #: (document, pair) rows each. Any other pair has fewer rows than that.
 HOT_PAIRS = 50_000
 
 SPACE = "▁"
 
+#: Marks at which a word of letters ends for both sides, if no piece holds a letter beside one.
+MARKS = ".,;:!?"
+
 
 class Transducer:
     """States are residuals with the side that leads; state 0 is the empty residual."""
@@ -62,8 +68,8 @@ class Transducer:
         self.memo[state][token] = after
         return after
 
-    def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-        """(groups, links) of two id sequences that spell the same bytes, tokens without bytes excluded."""
+    def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[int]]:
+        """(groups, links as A's id << 32 | B's) of two id sequences that spell the same bytes, tokens without bytes excluded."""
         groups, links, i, j, memo, states = [], [], 0, 0, self.memo, self.states
         while i < len(a):
             i0, j0 = i, j
@@ -79,7 +85,7 @@ class Transducer:
                     token, j = b[j], j + 1
                 after = memo[state].get(token)
                 state = self._step(state, token) if after is None else after
-                links.append((a[i - 1], b[j - 1]))
+                links.append(a[i - 1] << 32 | b[j - 1])
             groups.append((a[i0:i], b[j0:j]))
         return groups, links
 
@@ -91,7 +97,12 @@ class Transducer:
 
 def _plain(x: str) -> bool:
     edges = (x[1:2] if x[:1] == "\n" else x[:1], x[-1:])
-    return all(c.isprintable() and not c.isspace() and c != SPACE for c in edges) and "" not in edges
+    return all(c.isprintable() and not c.isspace() for c in edges) and "" not in edges
+
+
+#: Marks the key of a segment that isn't a space and its key.
+ODD = "\x01"
+UNEVEN = re.compile("  | \n|\n[ \n]|^[ \n]|[ \n]\\Z")
 
 
 def segments(text: str) -> list[str]:
@@ -99,21 +110,27 @@ def segments(text: str) -> list[str]:
 
     There both tokenizers end a token: the byte-level pattern begins a pre-token, no piece holds a space after
     another character, and none holds a line end beside others. Anything else stays with its neighbours.
+    Returns keys: see spelled(). The text is not empty.
     """
     cut = text.replace("\n", " \n").split(" ")
-    out, held, plain_before = [], "", True
+    if text.replace("\n", "").isprintable() and not UNEVEN.search(text):
+        return cut
+    out, held, before = [], [], True
     for k, x in enumerate(cut):
-        own = x if k and x[:1] == "\n" else " " + x
-        plain = _plain(x) and not (not k and x[:1] == "\n")
-        if plain and plain_before:
-            if held:
-                out.append(held)
-            held = own
-        else:
-            held += own
-        plain_before = plain
+        plain = _plain(x) and (k > 0 or x[0] != "\n")
+        if plain and before and held:
+            out.append(held)
+            held = []
+        held.append(k)
+        before = plain
     out.append(held)
-    return out
+    own = lambda k: cut[k] if k and cut[k][:1] == "\n" else " " + cut[k]
+    return [cut[x[0]] if len(x) == 1 and _plain(cut[x[0]]) and (x[0] or cut[0][0] != "\n") and cut[x[0]][0] != ODD else ODD + "".join(map(own, x)) for x in out]
+
+
+def spelled(key: str) -> str:
+    """The text of a segment's key."""
+    return key[1:] if key[0] == ODD else key if key[0] == "\n" else " " + key
 
 
 class Aligner:
@@ -121,7 +138,6 @@ class Aligner:
 
     def __init__(self, a_file: bytes, b_file: bytes):
         import json
-        import re
 
         import sentencepiece
         from tokenizers import Tokenizer
@@ -148,16 +164,35 @@ class Aligner:
             rules.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
             and self.mark >= 0 and not any(re.search(rf"[^{SPACE}]{SPACE}|.\n|\n.", p, re.S) for p in pieces) and self.b.normalize("a  b éﬁ") == f"{SPACE}a{SPACE}{SPACE}b{SPACE}éﬁ"
         )
+        #: Aligned marks that may follow a word, one token on either side.
+        self.marks: dict[str, tuple] = {}
+        for mark in MARKS if self.apart and not any(x.isalpha() and y in MARKS for p in pieces for x, y in zip(p, p[1:], strict=False)) else "":
+            a = self.a.encode(mark, add_special_tokens=False).ids
+            if mark in pieces and len(a) == 1:
+                self.marks[mark] = (1, 1, 1, f"{a[0]}|{pieces.index(mark)}", (a[0] << 32 | pieces.index(mark)).to_bytes(8, "little"))
         self.known = Cache(SEGMENTS)
 
-    def _encode(self, segs: list[str]) -> list[tuple]:
+    def _a_ids(self, segs: list[str]) -> list[list[int]]:
+        """A word of Latin letters is one pre-token, which the library merges without its surroundings."""
+        words = [k for k, x in enumerate(segs) if self.apart and x[0] == " " and x[1:].isalpha() and max(x) < "\u0250"]
+        own, out = set(words), [[]] * len(segs)
+        for k in words:
+            x = segs[k][1:]
+            raw = "\u0120" + (x if x.isascii() else "".join([BYTE_LETTERS[b] for b in x.encode()]))
+            out[k] = [t.id for t in self.a.model.tokenize(raw)]
+        rest = [k for k in range(len(segs)) if k not in own]
+        for k, found in zip(rest, self.a.encode_batch_fast([segs[k] for k in rest], add_special_tokens=False) if rest else (), strict=True):
+            out[k] = found.ids
+        return out
+
+    def _encode(self, keys: list[str]) -> list[tuple | None]:
         """(n_a, n_b, n_groups, groups, links as bytes) of each segment; None in place of one that the ids do not spell."""
         a_bytes, b_bytes = self.transducer.tokens
-        a_ids = [x.ids for x in self.a.encode_batch_fast(segs, add_special_tokens=False)]
+        segs = list(map(spelled, keys))
         # the pieces get their space from the library; a segment that begins with a line end must lose it again
         b_ids = self.b.encode([x[1:] if x[0] == " " else x for x in segs], num_threads=1)
         out = []
-        for seg, a, b in zip(segs, a_ids, b_ids, strict=True):
+        for seg, a, b in zip(segs, self._a_ids(segs), b_ids, strict=True):
             raw = seg.encode()
             if seg[0] == "\n":
                 b = b[1:] if b[:1] == [self.mark] else [-1]
@@ -165,20 +200,32 @@ class Aligner:
                 out.append(None)
                 continue
             groups, links = self.transducer.align(a, b)
-            said = ";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups])
-            pairs = np.array(links, np.int64).reshape(-1, 2)
-            out.append((len(a), len(b), len(groups), said, (pairs[:, 0] << 32 | pairs[:, 1]).tobytes()))
-        self.transducer.trim(1 << 20)
+            out.append((len(a), len(b), len(groups), ";".join([f"{x[0]}|{y[0]}" if len(x) == len(y) == 1 else f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups]), array("q", links).tobytes()))
+        self.transducer.trim(STATES)
         return out
 
+    def _add(self, new: set[str], extra: dict) -> None:
+        """Aligns new segments; a word of letters and one mark is the word, then the mark."""
+        known, old = self.known, self.known.old
+        marked = [x for x in new if x[-1] in self.marks and x[:-1].isalpha()]
+        for x in marked:
+            new.discard(x)
+        if marked:
+            new.update([y for x in marked if (y := x[:-1]) not in known and y not in old])
+        fresh = list(new)
+        for x, found in zip(fresh, self._encode(fresh) if fresh else (), strict=True):
+            (known if len(x) <= LONG else extra)[x] = found
+        for x in marked:
+            word, mark = extra[x[:-1]] if x[:-1] in extra else known[x[:-1]], self.marks[x[-1]]
+            both = word and (word[0] + 1, word[1] + 1, word[2] + 1, f"{word[3]};{mark[3]}", word[4] + mark[4])
+            (known if len(x) <= LONG else extra)[x] = both
+
     def of(self, texts: list[str]) -> list[list[tuple] | None]:
         """The aligned segments of each text, or None if it has no tokens."""
-        cut = [(segments(t) if self.apart and SPACE not in t else [" " + t]) if t else [] for t in texts]
+        cut = [(segments(t) if self.apart and SPACE not in t else [f"{ODD} {t}"]) if t else [] for t in texts]
         known, old = self.known, self.known.old
-        new = list({x for row in cut for x in row if x not in known and x not in old})
-        extra = {}
-        for x, found in zip(new, self._encode(new) if new else (), strict=True):
-            (known if len(x) <= LONG else extra)[x] = found
+        extra: dict = {}
+        self._add({x for row in cut for x in row if x not in known and x not in old}, extra)
         out = []
         for row in cut:
             parts = [extra[x] if x in extra else known[x] for x in row] if extra else list(map(known.__getitem__, row))

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 from lumenfold.llm import alignment as A
 
 FILES = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
-ODD = ["", " ", "\n", "  a", "a  b", " lead", "trail ", "a \n b", "\n\nx", "a\tb", "x▁y", "▁", "café ﬁn \U0001f600\U0001f600 你好", "<|endoftext|> is text", "<s> a </s> <0x0A>", "don't we'll 123 4567", "a\r\nb", " b   c", "é ‍", "it's\n'll\n 's", "x" * 300, "é" * 90 + " z\n" + "ab " * 50, "a\x00b \x1c c", "1 2\n3", "...\n...  ..."]
+ODD = ["", " ", "\n", "  a", "a  b", " lead", "trail ", "a \n b", "\n\nx", "a\tb", "x▁y", "▁", "café ﬁn \U0001f600\U0001f600 你好", "<|endoftext|> is text", "<s> a </s> <0x0A>", "don't we'll 123 4567", "a\r\nb", " b   c", "é ‍", "it's\n'll\n 's", "x" * 300, "é" * 90 + " z\n" + "ab " * 50, "a\x00b \x1c c", "1 2\n3", "...\n...  ...", "\x01a", "a \x01b", "\nx", "x\n", "word, Word. éa; x2, 's.", "a,\nb! c"]
 
 
 @functools.cache
@@ -88,8 +88,8 @@ def files():
 
 
 def test_segments_spell_the_text_and_are_cut_where_both_end():
-    for t in ODD:
-        assert "".join(A.segments(t)) == " " + t
+    for t in filter(None, ODD):
+        assert "".join(map(A.spelled, A.segments(t))) == " " + t
 
 
 @settings(max_examples=300, deadline=None)
@@ -106,7 +106,7 @@ def test_segments_align_as_the_whole_text(files, text):
 def test_transducer_steps_are_memoised_and_groups_close_on_empty_residuals():
     t = A.Transducer([b"ab", b"c", b"abc"], [b"a", b"bc", b"abc"])
     groups, links = t.align([0, 1, 2], [0, 1, 2])
-    assert groups == [([0, 1], [0, 1]), ([2], [2])] and links == [(0, 0), (0, 1), (1, 1), (2, 2)]
+    assert groups == [([0, 1], [0, 1]), ([2], [2])] and [divmod(x, 1 << 32) for x in links] == [(0, 0), (0, 1), (1, 1), (2, 2)]
     states = len(t.states)
     assert t.align([0, 1, 0, 1], [0, 1, 0, 1])[0] == [([0, 1], [0, 1])] * 2 and len(t.states) == states
     with pytest.raises(ValueError):
