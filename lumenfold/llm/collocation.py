@@ -27,10 +27,10 @@ from .slots import SlotTable, mix
 TABLE = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
 
 #: Words that a mapper counts before it sends what it has.
-FLUSH = 4_000_000
-CHARS = 4 << 20
+FLUSH = 1_000_000
+CHARS = 2 << 20
 #: Counts a hash block gets: about so many in up to BLOCKS blocks, and so many in more.
-BLOCK, BLOCKS, MOST_BLOCK = 1 << 16, 4096, 1 << 20
+BLOCK, BLOCKS, MOST_BLOCK = 1 << 18, 4096, 1 << 20
 #: The bitmap of frequent phrases of the level below. It fills up as the vocabulary grows, and only lets more pass then.
 BITS = 1 << 24
 #: Parts are broadcast with their counts if there are at most so many; beyond it they are joined.
@@ -71,7 +71,7 @@ class Counter:
         self.rows.append(np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words)))
         self.held += len(words)
 
-    def phrases(self, lang: str, level: int, bitmap: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    def phrases(self, lang: str, level: int, bitmap: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         """(hashes, counts, phrases) of the distinct phrases of ``level`` words whose parts pass the bitmap."""
         ids = np.concatenate(self.rows).astype(np.int64)
         words = list(self.ids)
@@ -80,7 +80,7 @@ class Counter:
             counts = np.bincount(ids, minlength=v)
             counts[0] = 0
             at = np.flatnonzero(counts)
-            return own[at], counts[at], [words[i] for i in at]
+            return own[at], counts[at], pa.array(words, pa.binary()).take(pa.array(at))
         # positions where a part of level - 1 words begins that may be frequent
         n = max(len(ids) - level + 2, 0)
         parts = np.ones(n, bool)
@@ -102,7 +102,7 @@ class Counter:
         for m in range(1, level):
             h = _chain(h, own[ids[at + m]])
         said = pc.binary_join_element_wise(*[names.take(pa.array(ids[at + m])) for m in range(level)], pa.scalar(b" ", pa.binary()))
-        return h, counts, said.to_pylist()
+        return h, counts, said
 
 
 def level_counts(texts: DataFrame, level: int, bitmap: np.ndarray | None, blocks: int) -> DataFrame:
@@ -118,11 +118,11 @@ def level_counts(texts: DataFrame, level: int, bitmap: np.ndarray | None, blocks
                 block = (mix(h, 3) % np.uint64(blocks)).astype(np.int64)
                 order = np.argsort(block, kind="stable")
                 own, starts = np.unique(block[order], return_index=True)
-                h, n, said = h[order].astype("<u8"), n[order].astype("<i8"), [said[i] for i in order]
-                for k in range(0, len(own), 1024):
-                    spans = list(zip(starts[k : k + 1024], [*starts[k + 1 : k + 1025], len(h)], strict=False))
-                    columns = [[lang] * len(spans), own[k : k + 1024].tolist(), [h[a:b].tobytes() for a, b in spans], [n[a:b].tobytes() for a, b in spans], [b"\n".join(said[a:b]) for a, b in spans], [int(n[a:b].sum()) for a, b in spans]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()], strict=True)], names=["lang", "block", "h", "n", "phrases", "total"])
+                h, n, ends = h[order].astype("<u8"), n[order].astype("<i8"), np.append(starts, len(h)).astype(np.int32)
+                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), said.take(pa.array(order))), pa.scalar(b"\n", pa.binary()))
+                totals = np.add.reduceat(n, starts) if len(n) else n
+                pack = lambda x: pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends * np.int32(8)), pa.py_buffer(x)])  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own), pack(h), pack(n), joined, pa.array(totals)], names=["lang", "block", "h", "n", "phrases", "total"])
             counters.clear()
 
         for batch in it:
@@ -143,32 +143,30 @@ def block_sums(packed: DataFrame, least: int) -> DataFrame:
     """(lang, phrase, f, h) with f >= least: mappers' counts of a block summed by the slots of its candidates."""
 
     def run(table: pa.Table) -> pa.Table:
-        lang = table.column("lang")[0].as_py()
+        langs = table.column("lang").to_pylist()
+        names = sorted(set(langs))
         h = np.frombuffer(b"".join(table.column("h").to_pylist()), "<u8")
         n = np.frombuffer(b"".join(table.column("n").to_pylist()), "<i8")
+        lang = np.repeat([names.index(x) for x in langs], [len(x) // 8 for x in table.column("h").to_pylist()])
         said = pa.array(b"\n".join(table.column("phrases").to_pylist()).split(b"\n"), pa.binary())
         keys, first = np.unique(h, return_index=True)
         slots = SlotTable(keys)
         own = slots.slots(h)
-        stored = said.take(pa.array(first[np.argsort(slots.slots(keys))]))
-        same = pc.equal(said, stored.take(pa.array(own))).to_numpy(zero_copy_only=False)
-        f = np.zeros(slots.n, np.int64)
-        np.add.at(f, own[same], n[same])
+        first = first[np.argsort(slots.slots(keys))]
+        stored = said.take(pa.array(first))
+        same = pc.equal(said, stored.take(pa.array(own))).to_numpy(zero_copy_only=False) & (lang == lang[first][own])
+        f = np.bincount(own[same], n[same], slots.n).astype(np.int64)  # exact below 2^53
         keep = np.flatnonzero(f >= least)
-        phrases, counts, hashes = stored.take(pa.array(keep)).to_pylist(), f[keep].tolist(), slots.stored[keep].view(np.int64).tolist()
-        # two phrases of one 64-bit hash: the second is counted by itself
-        odd: dict[bytes, int] = defaultdict(int)
-        for k in np.flatnonzero(~same):
-            odd[said[int(k)].as_py()] += int(n[k])
-        first_h = dict(zip(said.take(pa.array(np.flatnonzero(~same))).to_pylist(), h[~same].view(np.int64).tolist(), strict=True))
-        for phrase, count in odd.items():
-            if count >= least:
-                phrases.append(phrase)
-                counts.append(count)
-                hashes.append(first_h[phrase])
-        return pa.table({"lang": pa.array([lang] * len(phrases), pa.string()), "phrase": pa.array([p.decode() for p in phrases], pa.string()), "f": pa.array(counts, pa.int64()), "h": pa.array(hashes, pa.int64())})
-
-    return packed.groupBy("lang", "block").applyInArrow(run, "lang string, phrase string, f bigint, h bigint")
+        out = list(zip(lang[first][keep].tolist(), stored.take(pa.array(keep)).to_pylist(), f[keep].tolist(), slots.stored[keep].view(np.int64).tolist(), strict=True))
+        # another phrase of a stored one's 64-bit hash is counted by itself
+        odd: dict[tuple, int] = defaultdict(int)
+        for k in np.flatnonzero(~same).tolist():
+            odd[int(lang[k]), said[k].as_py(), int(h[k : k + 1].view(np.int64)[0])] += int(n[k])
+        out += [(x, phrase, count, key) for (x, phrase, key), count in odd.items() if count >= least]
+        columns = [[names[r[0]] for r in out], [r[1].decode() for r in out], [r[2] for r in out], [r[3] for r in out]]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["lang", "phrase", "f", "h"])
+
+    return packed.groupBy("block").applyInArrow(run, "lang string, phrase string, f bigint, h bigint")
 
 
 def bitmap_of(counted: DataFrame) -> np.ndarray:
