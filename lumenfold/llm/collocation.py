@@ -44,6 +44,20 @@ def _hashes(words: list[bytes], lang: str) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
 
 
+def phrase_hashes(langs: list[str], phrases: list[bytes]) -> np.ndarray:
+    """The chained hash of each phrase of words between single spaces."""
+    words, out = [p.split(b" ") for p in phrases], np.zeros(len(phrases), np.uint64)
+    by: dict[str, list[int]] = {}
+    for i, lang in enumerate(langs):
+        by.setdefault(lang, []).append(i)
+    for lang, own in by.items():
+        for m in range(max(len(words[i]) for i in own)):
+            at = [i for i in own if len(words[i]) > m]
+            word = _hashes([words[i][m] for i in at], lang)
+            out[at] = word if not m else _chain(out[at], word)
+    return out
+
+
 def _chain(h: np.ndarray, word: np.ndarray) -> np.ndarray:
     """The hash of a phrase from those of the words before its last and of its last word."""
     return mix(h, 7) ^ mix(word, 11) * np.uint64(3)
@@ -106,7 +120,7 @@ class Counter:
 
 
 def level_counts(texts: DataFrame, level: int, bitmap: np.ndarray | None, blocks: int) -> DataFrame:
-    """(lang, block, h, n, phrases, total): each mapper's counts, packed by hash block; texts: (lang, text)."""
+    """(lang, block, n, phrases, total): each mapper's counts, packed by hash block; texts: (lang, text)."""
     held = texts.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,37 +132,38 @@ def level_counts(texts: DataFrame, level: int, bitmap: np.ndarray | None, blocks
                 block = (mix(h, 3) % np.uint64(blocks)).astype(np.int64)
                 order = np.argsort(block, kind="stable")
                 own, starts = np.unique(block[order], return_index=True)
-                h, n, ends = h[order].astype("<u8"), n[order].astype("<i8"), np.append(starts, len(h)).astype(np.int32)
+                n, ends = n[order], np.append(starts, len(h)).astype(np.int32)
                 joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), said.take(pa.array(order))), pa.scalar(b"\n", pa.binary()))
                 totals = np.add.reduceat(n, starts) if len(n) else n
-                pack = lambda x: pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends * np.int32(8)), pa.py_buffer(x)])  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own), pack(h), pack(n), joined, pa.array(totals)], names=["lang", "block", "h", "n", "phrases", "total"])
+                packed = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends * np.int32(4)), pa.py_buffer(n.astype("<u4"))])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own), packed, joined, pa.array(totals)], names=["lang", "block", "n", "phrases", "total"])
             counters.clear()
 
         for batch in it:
-            by: dict[str, list[str]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by.setdefault(lang, []).append(text)
-            for lang, own in by.items():
-                for group in batches(own, CHARS):
-                    counters.setdefault(lang, Counter()).add(group)
-                    if sum(c.held for c in counters.values()) > FLUSH:
-                        yield from flush()
+            for k in range(0, batch.num_rows, 500):
+                rows, by = batch.slice(k, 500), {}
+                for lang, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+                    by.setdefault(lang, []).append(text)
+                for lang, own in by.items():
+                    for group in batches(own, CHARS):
+                        counters.setdefault(lang, Counter()).add(group)
+                        if sum(c.held for c in counters.values()) > FLUSH:
+                            yield from flush()
         yield from flush()
 
-    return texts.mapInArrow(run, "lang string, block bigint, h binary, n binary, phrases binary, total bigint")
+    return texts.mapInArrow(run, "lang string, block bigint, n binary, phrases binary, total bigint")
 
 
 def block_sums(packed: DataFrame, least: int) -> DataFrame:
     """(lang, phrase, f, h) with f >= least: mappers' counts of a block summed by the slots of its candidates."""
 
     def run(table: pa.Table) -> pa.Table:
-        langs = table.column("lang").to_pylist()
-        names = sorted(set(langs))
-        h = np.frombuffer(b"".join(table.column("h").to_pylist()), "<u8")
-        n = np.frombuffer(b"".join(table.column("n").to_pylist()), "<i8")
-        lang = np.repeat([names.index(x) for x in langs], [len(x) // 8 for x in table.column("h").to_pylist()])
-        said = pa.array(b"\n".join(table.column("phrases").to_pylist()).split(b"\n"), pa.binary())
+        langs, names = table.column("lang").to_pylist(), sorted(set(table.column("lang").to_pylist()))
+        parts = [x.split(b"\n") for x in table.column("phrases").to_pylist()]
+        n = np.frombuffer(b"".join(table.column("n").to_pylist()), "<u4").astype(np.int64)
+        lang = np.repeat([names.index(x) for x in langs], [len(x) for x in parts])
+        h = np.concatenate([_hashes(x, of) for of, x in zip(langs, parts, strict=True)])
+        said = pa.array(itertools.chain.from_iterable(parts), pa.binary())
         keys, first = np.unique(h, return_index=True)
         slots = SlotTable(keys)
         own = slots.slots(h)
@@ -157,13 +172,14 @@ def block_sums(packed: DataFrame, least: int) -> DataFrame:
         same = pc.equal(said, stored.take(pa.array(own))).to_numpy(zero_copy_only=False) & (lang == lang[first][own])
         f = np.bincount(own[same], n[same], slots.n).astype(np.int64)  # exact below 2^53
         keep = np.flatnonzero(f >= least)
-        out = list(zip(lang[first][keep].tolist(), stored.take(pa.array(keep)).to_pylist(), f[keep].tolist(), slots.stored[keep].view(np.int64).tolist(), strict=True))
+        out = list(zip(lang[first][keep].tolist(), stored.take(pa.array(keep)).to_pylist(), f[keep].tolist(), strict=True))
         # another phrase of a stored one's 64-bit hash is counted by itself
         odd: dict[tuple, int] = defaultdict(int)
         for k in np.flatnonzero(~same).tolist():
-            odd[int(lang[k]), said[k].as_py(), int(h[k : k + 1].view(np.int64)[0])] += int(n[k])
-        out += [(x, phrase, count, key) for (x, phrase, key), count in odd.items() if count >= least]
-        columns = [[names[r[0]] for r in out], [r[1].decode() for r in out], [r[2] for r in out], [r[3] for r in out]]
+            odd[int(lang[k]), said[k].as_py()] += int(n[k])
+        out += [(x, phrase, count) for (x, phrase), count in odd.items() if count >= least]
+        own_langs, phrases = [names[r[0]] for r in out], [r[1] for r in out]
+        columns = [own_langs, [p.decode() for p in phrases], [r[2] for r in out], phrase_hashes(own_langs, phrases).view(np.int64)]
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["lang", "phrase", "f", "h"])
 
     return packed.groupBy("block").applyInArrow(run, "lang string, phrase string, f bigint, h bigint")
@@ -212,15 +228,7 @@ def cuts(phrases: DataFrame, parts: DataFrame, *, most_parts: int = PARTS) -> Da
         slots, f, key, odd = state
 
         def read(langs: list[str], parts_of: list[str]) -> np.ndarray:
-            words = [p.encode().split(b" ") for p in parts_of]
-            h = np.zeros(len(words), np.uint64)
-            for lang in set(langs):
-                own = [i for i, x in enumerate(langs) if x == lang]
-                for m in range(max(len(words[i]) for i in own)):
-                    at = [i for i in own if len(words[i]) > m]
-                    word = _hashes([words[i][m] for i in at], lang)
-                    h[at] = word if not m else _chain(h[at], word)
-            at = slots.slots(h)
+            at = slots.slots(phrase_hashes(langs, [p.encode() for p in parts_of]))
             wanted = pa.array([f"{x}\n{p}" for x, p in zip(langs, parts_of, strict=True)], pa.string())
             found = (at >= 0) & pc.equal(key.take(pa.array(np.maximum(at, 0))), wanted).to_numpy(zero_copy_only=False)
             out = f[np.maximum(at, 0)].copy()
