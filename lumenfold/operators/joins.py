@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.operators.ranks import percentiles
 from lumenfold.operators.records import ContractError
 
 #: For each promise the sides whose keys are unique.
@@ -62,7 +63,6 @@ def retention(before: DataFrame, after: DataFrame, key: str, score: str, n: int)
 def quantile_bins(df: DataFrame, value: str, name: str, *, bins: int = 10) -> DataFrame:
     """Adds the bin of each value between the linear quantiles of the column, edges that are equal being one: bins
     are open below and closed above, but for the first, which holds its lower edge. Null values have no bin."""
-    shares = F.array(*[F.lit(k / bins) for k in range(bins + 1)])
-    edges = df.agg(F.array_distinct(F.percentile(value, shares)).alias("__edges"))
+    edges = percentiles(df, value, [k / bins for k in range(bins + 1)], name="__edges").select(F.array_distinct("__edges").alias("__edges"))
     below = F.size(F.filter("__edges", lambda e: e < F.col(value)))
-    return df.crossJoin(F.broadcast(edges)).withColumn(name, F.when(F.col(value).isNotNull(), F.greatest(below, F.lit(1)))).drop("__edges")
+    return df.join(F.broadcast(edges), how="left").withColumn(name, F.when(F.col(value).isNotNull(), F.greatest(below, F.lit(1)))).drop("__edges")

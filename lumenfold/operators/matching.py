@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.operators.ranges import overlapping
+
 #: Words in names of securities that are no operating company's common stock, first match counts.
 EXCLUDED_NAMES = {
     "warrant": r"\b(warrant|warrants|wt|wts)\b",
@@ -119,10 +121,9 @@ def live_call(day: Column, text: Column) -> Column:
 
 
 def reused_names(spans: DataFrame, *, name: str, entity: str, start: str, end: str) -> DataFrame:
-    """(name, entity, others): entities whose span of a name overlaps another entity's span of it. Spans of a
-    name are met by equality of the name."""
-    a, b = spans.select(name, entity, start, end), spans.select(name, F.col(entity).alias("other"), F.col(start).alias("__s"), F.col(end).alias("__e"))
-    hit = a.join(b, name).where((F.col(entity) != F.col("other")) & (F.col(start) <= F.col("__e")) & (F.col("__s") <= F.col(end)))
+    """(name, entity, others): entities whose span of a name overlaps another entity's span of it."""
+    a, b = spans.select(name, entity, start, end), spans.select(F.col(name).alias("__name"), F.col(entity).alias("other"), F.col(start).alias("__s"), F.col(end).alias("__e"))
+    hit = overlapping(a, b, on=[(name, "__name")], left_span=(start, end), right_span=("__s", "__e")).where(F.col(entity) != F.col("other"))
     return hit.groupBy(name, entity).agg(F.array_join(F.transform(F.sort_array(F.collect_set("other")), lambda x: x.cast("string")), ";").alias("others"))
 
 

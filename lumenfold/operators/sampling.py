@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.operators.ranks import positions
+from lumenfold.sources.storage import materialize, small
+
 
 def draw_order(salt: str, *key: str) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(salt), *[F.col(k).cast("string") for k in key]), 256)
@@ -28,9 +31,9 @@ def quotas(df: DataFrame, stratum: str, total: int) -> DataFrame:
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, total: int, *, salt: str) -> DataFrame:
     """A sample of the quotas in hash order, with the design weight size / quota."""
-    q = F.broadcast(quotas(df, stratum, total))
-    placed = df.join(q, stratum).withColumn("place", F.row_number().over(Window.partitionBy(stratum).orderBy(draw_order(salt, key), key)))
-    return placed.where(F.col("place") <= F.col("quota")).withColumn("design_weight", F.col("size") / F.col("quota")).drop("size", "quota")
+    placed = positions(df.withColumn("__draw", draw_order(salt, key)), [stratum], [F.col("__draw").asc(), F.col(key).asc()], "__place")
+    taken = placed.join(small(materialize(quotas(df, stratum, total), "quotas")), stratum).where(F.col("__place") < F.col("quota"))
+    return taken.withColumn("place", (F.col("__place") + 1).cast("int")).withColumn("design_weight", F.col("size") / F.col("quota")).drop("size", "quota", "__draw", "__place", "__place_of")
 
 
 def bernoulli(df: DataFrame, key: str, per_million: int, *, salt: str) -> DataFrame:

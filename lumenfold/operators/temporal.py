@@ -46,11 +46,6 @@ def daily_returns(prices: DataFrame, days: DataFrame, *, key: str, date: str, pr
     return own.select(key, "t", (F.col("p") / before - 1).alias("ret"))
 
 
-def interval_overlap(left: DataFrame, right: DataFrame, *, on: str, starts: tuple[str, str], ends: tuple[str, str]) -> DataFrame:
-    """Pairs of equal key whose closed intervals overlap."""
-    return left.join(right, on).where((F.col(starts[0]) <= F.col(ends[1])) & (F.col(starts[1]) <= F.col(ends[0])))
-
-
 def nearest_after(left: DataFrame, right: DataFrame, *, key: str, at: str, date: str, least: int, most: int, id_col: str) -> DataFrame:
     """For each left row the earliest right date of its key that is least to most days later; one row each."""
     pairs = left.join(right.select(key, F.col(date).alias("__d")).distinct(), key, "left").withColumn("__lag", F.datediff("__d", at))

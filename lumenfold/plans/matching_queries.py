@@ -79,7 +79,7 @@ LIVE = "SELECT o_orderkey % 4 AS kind, (['live', 'replay', 'live_year_implied',
 
 def name_reuse(spark, sf_dir):
     """Suppliers of a part whose shipping spans overlap another supplier's."""
-    spans = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("b"))
+    spans = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.to_date(F.min("l_shipdate")).alias("a"), F.to_date(F.max("l_shipdate")).alias("b"))
     return M.reused_names(spans, name="l_partkey", entity="l_suppkey", start="a", end="b")
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lumenfold.functions import values as V
 from lumenfold.operators import allocation as A
 from lumenfold.operators import inference as I
+from lumenfold.operators import ranges as G
+from lumenfold.operators import ranks as K
 from lumenfold.operators import records as R
 from lumenfold.operators import returns as RT
 from lumenfold.operators import sampling as S
@@ -102,6 +104,16 @@ def sector_ranks(spark, sf_dir):
 RANKS = f"WITH {CALLS} SELECT id, stratum, score, rank() OVER (PARTITION BY stratum ORDER BY score DESC)::BIGINT AS place, count(*) OVER (PARTITION BY stratum)::BIGINT AS place_of FROM calls"
 
 
+def rank_correlations(spark, sf_dir):
+    """Spearman's and Pearson's correlation of score and price by stratum."""
+    c = calls(spark, sf_dir)
+    plain = c.groupBy("stratum").agg(F.round(F.corr("score", "second"), 6).alias("pearson"))
+    return K.spearman(c, "score", "second", by=["stratum"]).join(plain, "stratum").select("stratum", "n", F.round("spearman", 6).alias("spearman"), "pearson")
+
+
+RANK_CORRELATIONS = f"WITH {CALLS}, r AS (SELECT *, rank() OVER (PARTITION BY stratum ORDER BY score) + (count(*) OVER (PARTITION BY stratum, score) - 1) / 2.0 AS x, rank() OVER (PARTITION BY stratum ORDER BY second) + (count(*) OVER (PARTITION BY stratum, second) - 1) / 2.0 AS y FROM calls) SELECT stratum, count(*) AS n, round(corr(x, y), 6) AS spearman, round(corr(score, second), 6) AS pearson FROM r GROUP BY stratum"
+
+
 def zero_apart_bins(spark, sf_dir):
     return A.quantile_bins(calls(spark, sf_dir), "second", "bin").groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg("outcome"), 6).alias("mean"))
 
@@ -146,8 +158,10 @@ PIVOT = "SELECT o_orderpriority, " + ", ".join(f"count(*) FILTER (o_orderstatus
 
 
 def describe_groups(spark, sf_dir):
-    x = "l_extendedprice"
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(F.median(x), 6).alias("median"), F.round(F.element_at(F.percentile(x, F.array(F.lit(0.1), F.lit(0.9))), 1), 6).alias("p10"), F.round(F.element_at(F.percentile(x, F.array(F.lit(0.1), F.lit(0.9))), 2), 6).alias("p90"), F.round(F.stddev_pop(x), 6).alias("sd"), F.count_distinct("l_suppkey").alias("suppliers"), F.round(F.corr("l_quantity", x), 6).alias("corr"), F.round(F.avg((F.col("l_discount") > 0.05).cast("int")), 9).alias("rate"))
+    x, li = "l_extendedprice", table(spark, sf_dir, "lineitem")
+    one = li.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_pop(x), 6).alias("sd"), F.count_distinct("l_suppkey").alias("suppliers"), F.round(F.corr("l_quantity", x), 6).alias("corr"), F.round(F.avg((F.col("l_discount") > 0.05).cast("int")), 9).alias("rate"))
+    cut = K.percentiles(li, x, [0.1, 0.5, 0.9], by=["l_returnflag"], name="p")
+    return one.join(cut, "l_returnflag").select("l_returnflag", "n", "mean", F.round(F.col("p")[1], 6).alias("median"), F.round(F.col("p")[0], 6).alias("p10"), F.round(F.col("p")[2], 6).alias("p90"), "sd", "suppliers", "corr", "rate")
 
 
 DESCRIBE = "SELECT l_returnflag, count(*) AS n, round(avg(l_extendedprice), 6) AS mean, round(median(l_extendedprice), 6) AS median, round(quantile_cont(l_extendedprice, 0.1), 6) AS p10, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90, round(stddev_pop(l_extendedprice), 6) AS sd, count(DISTINCT l_suppkey) AS suppliers, round(corr(l_quantity, l_extendedprice), 6) AS corr, round(avg((l_discount > 0.05)::INT), 9) AS rate FROM lineitem GROUP BY l_returnflag"
@@ -208,15 +222,27 @@ j AS (SELECT p.*, h.since, h.n, h.kind FROM p ASOF LEFT JOIN h ON p.user_id = h.
 
 def listing_overlap(spark, sf_dir):
     """Quarters in which each supplier ships: intervals met with a calendar of quarters."""
-    spans = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.to_date(F.min("l_shipdate")).alias("a"), F.to_date(F.max("l_shipdate")).alias("b")).withColumn("one", F.lit(1))
-    span = table(spark, sf_dir, "lineitem").agg(F.year(F.min("l_shipdate")).alias("lo"), F.year(F.max("l_shipdate")).alias("hi"))
-    quarters = F.broadcast(span.select(F.explode(F.sequence("lo", "hi")).alias("y")).select(F.explode(F.array(*[F.concat(F.col("y").cast("string"), F.lit(f"Q{k}")) for k in (1, 2, 3, 4)])).alias("quarter")).select("quarter", V.quarter_start(F.col("quarter")).alias("qa"), V.quarter_end(F.col("quarter")).alias("qb"), F.lit(1).alias("one")))
-    return T.interval_overlap(spans, quarters, on="one", starts=("a", "qa"), ends=("b", "qb")).groupBy("quarter").agg(F.count("*").alias("listed"))
+    spans = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.to_date(F.min("l_shipdate")).alias("a"), F.to_date(F.max("l_shipdate")).alias("b"))
+    span = spans.agg(F.year(F.min("a")).alias("lo"), F.year(F.max("b")).alias("hi"))
+    quarters = span.select(F.explode(F.sequence("lo", "hi")).alias("y")).select(F.explode(F.array(*[F.concat(F.col("y").cast("string"), F.lit(f"Q{k}")) for k in (1, 2, 3, 4)])).alias("quarter")).select("quarter", V.quarter_start(F.col("quarter")).alias("qa"), V.quarter_end(F.col("quarter")).alias("qb"))
+    return G.overlapping(spans, quarters, on=[], left_span=("a", "b"), right_span=("qa", "qb")).groupBy("quarter").agg(F.count("*").alias("listed"))
 
 
 LISTED = "WITH s AS (SELECT l_suppkey, min(l_shipdate)::DATE AS a, max(l_shipdate)::DATE AS b FROM lineitem GROUP BY 1), q AS (SELECT make_date(y, m, 1) AS qa FROM (SELECT unnest(range(year(min(l_shipdate)), year(max(l_shipdate)) + 1)) AS y FROM lineitem), (VALUES (1), (4), (7), (10)) v(m)) SELECT year(qa) || 'Q' || quarter(qa) AS quarter, count(*) AS listed FROM s JOIN q ON a <= last_day(qa + INTERVAL 2 MONTH) AND qa <= b GROUP BY 1"
 
 
+def filing_windows(spark, sf_dir):
+    """Each customer's quarter with an order, and the customer's orders from 60 days before it to 180 days after it."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"))
+    quarters = o.select(F.col("o_custkey").alias("issuer"), V.quarter_label(F.col("day")).alias("quarter")).distinct()
+    quarters = quarters.withColumns({"opens": F.date_sub(V.quarter_start(F.col("quarter")), 60), "closes": F.date_add(V.quarter_end(F.col("quarter")), 180)})
+    links = G.dates_in_windows(o, quarters, on=[("o_custkey", "issuer")], at="day", span=("opens", "closes"))
+    return links.select("issuer", "quarter", "o_orderkey", F.col("day").cast("string").alias("day"), F.col("opens").cast("string").alias("opens"), F.col("closes").cast("string").alias("closes"))
+
+
+WINDOWS = "WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate::DATE AS day FROM orders), q AS (SELECT DISTINCT o_custkey AS issuer, date_trunc('quarter', day)::DATE AS s FROM o), w AS (SELECT issuer, year(s) || 'Q' || quarter(s) AS quarter, s - 60 AS opens, last_day(s + INTERVAL 2 MONTH) + 180 AS closes FROM q) SELECT issuer, quarter, o_orderkey, day::VARCHAR AS day, opens::DATE::VARCHAR AS opens, closes::DATE::VARCHAR AS closes FROM w JOIN o ON o_custkey = issuer AND day BETWEEN opens AND closes"
+
+
 def nearest_shipment(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("at"))
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.to_date("l_shipdate").alias("d"))
@@ -379,9 +405,9 @@ def precision_by_signal(spark, sf_dir):
 PRECISION = "WITH d AS (SELECT doc_id, lang, CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars < 3000 THEN 'middle' ELSE 'long' END AS size FROM documents), g AS (SELECT lang, size, count(*) AS n, count(*) FILTER (quality = 1) AS good, avg(quality) AS p, sum(quality) AS q FROM d JOIN labels USING (doc_id) GROUP BY ALL) SELECT lang, size, n, good, round(p, 9) AS precision, round(q / sum(n) OVER (PARTITION BY lang), 9) AS share_of_lang FROM g"
 
 _HERE = globals()
-QUERIES = {n: _HERE[n] for n in "winsorized_scores hash_quintiles fractional_cells portfolio_means portfolio_covariance portfolio_contrasts sector_ranks zero_apart_bins gate_funnel exclusion_reasons coverage_rollups status_pivot describe_groups daily_returns next_trading_day event_windows asof_history listing_overlap nearest_shipment content_duplicates chained_dedup canonical_status attempt_history agreed_brand reconciliation table_difference row_invariants mapping_check stratified_draw first_by_hash bernoulli_draw regressions leverage cluster_influence fiscal_dates surrogate_ids precision_by_signal".split()}
+QUERIES = {n: _HERE[n] for n in "rank_correlations filing_windows winsorized_scores hash_quintiles fractional_cells portfolio_means portfolio_covariance portfolio_contrasts sector_ranks zero_apart_bins gate_funnel exclusion_reasons coverage_rollups status_pivot describe_groups daily_returns next_trading_day event_windows asof_history listing_overlap nearest_shipment content_duplicates chained_dedup canonical_status attempt_history agreed_brand reconciliation table_difference row_invariants mapping_check stratified_draw first_by_hash bernoulli_draw regressions leverage cluster_influence fiscal_dates surrogate_ids precision_by_signal".split()}
 ORACLES = {
-    "winsorized_scores": WINSOR, "hash_quintiles": QUINTILES, "fractional_cells": CELLS, "portfolio_means": MEANS, "portfolio_covariance": COVARIANCE, "portfolio_contrasts": CONTRASTS, "sector_ranks": RANKS, "zero_apart_bins": BINS, "gate_funnel": FUNNEL,
+    "rank_correlations": RANK_CORRELATIONS, "filing_windows": WINDOWS, "winsorized_scores": WINSOR, "hash_quintiles": QUINTILES, "fractional_cells": CELLS, "portfolio_means": MEANS, "portfolio_covariance": COVARIANCE, "portfolio_contrasts": CONTRASTS, "sector_ranks": RANKS, "zero_apart_bins": BINS, "gate_funnel": FUNNEL,
     "exclusion_reasons": REASONS, "coverage_rollups": ROLLUPS, "status_pivot": PIVOT, "describe_groups": DESCRIBE, "daily_returns": RETURNS, "next_trading_day": NEXT_DAY, "asof_history": ASOF, "listing_overlap": LISTED, "nearest_shipment": NEAREST,
     "content_duplicates": DUPLICATES, "canonical_status": CANONICAL, "attempt_history": HISTORY, "agreed_brand": AGREED, "reconciliation": RECONCILED, "table_difference": DIFFERENCE, "row_invariants": INVARIANTS, "mapping_check": MAPPING,
     "stratified_draw": DRAW, "first_by_hash": FIRST, "bernoulli_draw": BERNOULLI, "leverage": LEVERAGE, "cluster_influence": INFLUENCE, "fiscal_dates": FISCAL, "surrogate_ids": SURROGATE, "precision_by_signal": PRECISION,

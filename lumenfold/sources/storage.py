@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -18,3 +19,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{top.rstrip('/')}/lumenfold-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: A side is broadcast only if it was counted and has at most this many narrow rows.
+BROADCAST_ROWS = 50_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marks a materialized side for broadcast if its counted rows are within the bound; else leaves it to a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
