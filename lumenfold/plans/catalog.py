@@ -1,6 +1,8 @@
 """Queries of the engine over the shared tables, each with its SQL for DuckDB."""
 
-from lumenfold.plans import join_queries, matching_queries, table_queries, text_queries
+from lumenfold.plans import decision_queries, join_queries, matching_queries, table_queries, text_queries
 
-QUERIES = {**text_queries.QUERIES, **table_queries.QUERIES, **matching_queries.QUERIES, **join_queries.QUERIES}
-ORACLES = {**text_queries.ORACLES, **table_queries.ORACLES, **matching_queries.ORACLES, **join_queries.ORACLES}
+_MODULES = [text_queries, table_queries, matching_queries, join_queries, decision_queries]
+
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
