@@ -106,7 +106,7 @@ def require_valid(judged: DataFrame, passed: str = "accepted") -> DataFrame:
 
 
 def overlaid(base: DataFrame, over: DataFrame, on: str, cells: Mapping[str, Column], *, cleared: Mapping[str, Column] | None = None, sources: str = "cell_sources") -> DataFrame:
-    """``base`` with cells from ``over`` (columns of it and of base, over's under the prefix "d."), one row of over a key.
+    """``base`` with cells from ``over`` (columns of it and of base, over's under the prefix "__d."), one row of over a key.
 
     A row that meets one takes each of ``cells``, and loses the columns of ``cleared`` where their condition holds.
     ``sources`` maps every touched column to "decision", "cleared" or "original". Rows that meet none stay as they are.
@@ -114,9 +114,9 @@ def overlaid(base: DataFrame, over: DataFrame, on: str, cells: Mapping[str, Colu
     """
     if over.groupBy(on).count().where("count > 1").limit(1).count():
         raise ContractError(f"{on} of the decisions is repeated")
-    d = over.select(F.col(on).cast("string").alias("__on"), F.struct(*over.columns).alias("d"))
+    d = over.select(F.col(on).cast("string").alias("__on"), F.struct(*over.columns).alias("__d"))
     met = base.join(d, F.col(on).cast("string") == F.col("__on"), "left").drop("__on")
-    hit, cleared = F.col("d").isNotNull(), cleared or {}
+    hit, cleared = F.col("__d").isNotNull(), cleared or {}
     said, out = [], {}
     for name, cell in cells.items():
         before = F.col(name) if name in base.columns else F.lit(None).cast("string")
@@ -128,7 +128,7 @@ def overlaid(base: DataFrame, over: DataFrame, on: str, cells: Mapping[str, Colu
         out[name] = F.when(gone, empty).otherwise(F.col(name))
         said += [F.lit(name), F.when(gone, F.lit("cleared")).otherwise("original")]
     out[sources] = F.create_map(*said)
-    return met.withColumns(out).drop("d")
+    return met.withColumns(out).drop("__d")
 
 
 def applied_decisions(records: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -139,9 +139,9 @@ def applied_decisions(records: DataFrame, decisions: DataFrame) -> DataFrame:
     """
     missing = {c: F.lit("") for c in ("audit_flags", "source_sha256", "transcript_status", "fiscal_period_label") if c not in decisions.columns}
     over = decisions.withColumns(missing) if missing else decisions
-    of = lambda c: F.coalesce(F.col(f"d.{c}").cast("string"), F.lit(""))
-    release = F.when(F.col("d.status").isin(ACCEPTED), of("release_date")).otherwise("")
-    anew = F.col("d.status") != "screened_existing"
+    of = lambda c: F.coalesce(F.col(f"__d.{c}").cast("string"), F.lit(""))
+    release = F.when(F.col("__d.status").isin(ACCEPTED), of("release_date")).otherwise("")
+    anew = F.col("__d.status") != "screened_existing"
     cells = {
         "provider_quarter_label": of("provider_quarter_label"), "issuer_fiscal_period_label": of("fiscal_period_label"),
         "date_audit_status": of("status"), "date_audit_flags": of("audit_flags"), "date_audit_evidence": of("evidence"), "date_audit_source_url": of("source_url"),
