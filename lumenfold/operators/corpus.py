@@ -38,18 +38,6 @@ def greedy_joins(docs: DataFrame, tokens: str, phrases: DataFrame, *, id_col: st
     return runs.withColumn("place", place).where(F.col("place") % 2 == 1).select(id_col, "position", F.concat_ws("_", "a", "b").alias("phrase"))
 
 
-def cooccurrence(docs: DataFrame, tokens: str, targets: DataFrame, *, window: int = 5, id_col: str = "doc_id") -> DataFrame:
-    """(target, context, value): neighbours within the window weigh 1 / distance. Every token meets its neighbours
-    inside its row, and pairs are summed before the shuffle; the vocabulary (term) is broadcast."""
-    t = F.col(tokens)
-    near = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(window)), lambda d: F.when(F.size(t) > d, F.transform(F.sequence(F.lit(0), F.size(t) - d - 1), lambda i: F.struct(t[i].alias("x"), t[i + d].alias("y"), (F.lit(1.0) / d).alias("w")))).otherwise(F.array().cast("array<struct<x:string,y:string,w:double>>"))))
-    one = docs.select(F.explode(near).alias("p")).select("p.*").groupBy("x", "y").agg(F.sum("w").alias("w"))
-    both = one.select(F.col("x").alias("target"), F.col("y").alias("context"), "w").unionByName(one.select(F.col("y").alias("target"), F.col("x").alias("context"), "w"))
-    words = F.broadcast(targets.select("term"))
-    kept = both.join(words, F.col("target") == F.col("term"), "left_semi").join(words, F.col("context") == F.col("term"), "left_semi")
-    return kept.groupBy("target", "context").agg(F.sum("w").alias("value"))
-
-
 def ppmi(counts: DataFrame, *, smoothing: float = 0.75, shift: float = 1.0) -> DataFrame:
     """(target, context, ppmi) above 0: contexts are smoothed by a power, log(shift) is taken off."""
     rows = counts.groupBy("target").agg(F.sum("value").alias("r"))

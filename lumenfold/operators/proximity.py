@@ -24,12 +24,12 @@ def vocabulary(spark: SparkSession, terms: dict[str, float]) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, tokens: str, vocab: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """(id, term, weight, s, e): every occurrence with its inclusive token positions; overlaps all count. A
-    position carries the words of the longest term from there on, never the whole document."""
+    """(id, term, weight, s, e): every occurrence with its inclusive token positions; overlaps all count. Only a
+    position whose word begins a term leaves its row, with the words of the longest term from there on."""
     words = F.broadcast(vocab.withColumn("first", F.col("words")[0]))
-    longest = F.broadcast(vocab.agg(F.max(F.size("words")).alias("__longest")))  # one row
-    ahead = F.transform(F.col(tokens), lambda _, i: F.struct(i.alias("s"), F.slice(F.col(tokens), i + 1, F.col("__longest")).alias("ahead")))
-    placed = docs.crossJoin(longest).select(F.col(id_col).alias("id"), F.explode(ahead).alias("__p")).select("id", "__p.s", "__p.ahead")
+    ends = F.broadcast(vocab.agg(F.max(F.size("words")).alias("__longest"), F.collect_set(F.col("words")[0]).alias("__firsts")))  # one row
+    ahead = F.transform(F.col(tokens), lambda w, i: F.when(F.array_contains(F.col("__firsts"), w), F.struct(i.alias("s"), F.slice(F.col(tokens), i + 1, F.col("__longest")).alias("ahead"))))
+    placed = docs.crossJoin(ends).select(F.col(id_col).alias("id"), F.explode(F.filter(ahead, lambda x: x.isNotNull())).alias("__p")).select("id", "__p.s", "__p.ahead")
     hit = placed.join(words, F.col("ahead")[0] == F.col("first")).where(F.slice("ahead", F.lit(1), F.size("words")) == F.col("words"))
     return hit.select("id", "term", "weight", "s", (F.col("s") + F.size("words") - 1).alias("e"))
 

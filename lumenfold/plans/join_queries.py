@@ -33,12 +33,13 @@ ONE_TO_MANY = "SELECT o_orderkey AS orderkey, o_orderstatus, l_linenumber FROM o
 
 
 def unmatched_rows(spark, sf_dir):
-    """Customers without an order."""
-    c, o = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), "c_name"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"))
+    """Customers without an urgent order that is finished."""
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'")
+    c, o = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), "c_name"), urgent.select(F.col("o_custkey").alias("custkey"))
     return J.unmatched(c, o, ["custkey"])
 
 
-UNMATCHED = "SELECT c_custkey AS custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)"
+UNMATCHED = "SELECT c_custkey AS custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')"
 
 
 def head_and_tail(spark, sf_dir):

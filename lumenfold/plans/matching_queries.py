@@ -62,7 +62,10 @@ def dates_in_text(spark, sf_dir):
     return o.select("o_orderkey", F.array_join(F.transform(M.text_dates(F.col("t")), lambda x: x.cast("string")), ";").alias("dates"), M.quarter_mention(F.col("t"), F.year("d"), F.quarter("d")).alias("own_quarter"), M.quarter_mention(F.col("t"), F.year("d") + 1, F.quarter("d")).alias("next_year"))
 
 
-DATES = "SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS dates, true AS own_quarter, false AS next_year FROM orders"
+_MONTH = "(?:january|february|march|april|may|june|july|august|september|october|november|december)"
+DATES = rf"""WITH s AS (SELECT o_orderkey, o_orderdate::DATE AS d, 'The call of ' || (CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%B %-d, %Y') WHEN 1 THEN strftime(o_orderdate, '%-d %B %Y') ELSE strftime(o_orderdate, '%Y-%m-%d') END) || ' covered Q' || quarter(o_orderdate) || ' ' || year(o_orderdate) || ' and 31 february 2001.' AS t FROM orders),
+f AS (SELECT o_orderkey, d, t, list_concat(list_transform(regexp_extract_all(lower(t), '\b{_MONTH}\s+\d{{1,2}},?\s+\d{{4}}\b'), lambda x: try_strptime(replace(x, ',', ''), '%B %d %Y')), list_transform(regexp_extract_all(lower(t), '\b\d{{1,2}}\s+{_MONTH}\s+\d{{4}}\b'), lambda x: try_strptime(x, '%d %B %Y')), list_transform(regexp_extract_all(t, '\b\d{{4}}-\d{{2}}-\d{{2}}\b'), lambda x: try_strptime(x, '%Y-%m-%d'))) AS found FROM s)
+SELECT o_orderkey, array_to_string(list_transform(list_filter(found, lambda x: x IS NOT NULL), lambda x: x::DATE::VARCHAR), ';') AS dates, regexp_matches(t, 'Q' || quarter(d) || ' ' || year(d) || '\b') AS own_quarter, regexp_matches(t, 'Q' || quarter(d) || ' ' || (year(d) + 1) || '\b') AS next_year FROM f""".replace("\\\\", "\\")
 
 
 def live_calls(spark, sf_dir):

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text as TX
 from lumenfold.operators import corpus as C
 from lumenfold.operators import proximity as P
+from lumenfold.operators import vectors as VC
+from lumenfold.sources.storage import materialize
 
 SUPPLY = {"of the": 0.8, "in": 0.5, "that": 0.6, "and": 0.3}
 RISK = {"with": 1.0, "and": 1.0, "to the": 1.0}
@@ -169,17 +172,57 @@ GREEDY_SQL = f"""WITH {TOKENS_SQL}, {BIGRAM_SQL.format(40)}, st AS (SELECT doc_i
 pl AS (SELECT *, row_number() OVER (PARTITION BY doc_id, g ORDER BY s) AS p FROM isl) SELECT a || '_' || b AS phrase, count(*) AS joins, count(DISTINCT doc_id) AS docs FROM pl WHERE p % 2 = 1 GROUP BY 1"""
 
 
+#: Occurrences that make a word part of the vocabulary of vectors.
+LEAST_TF = 50
+
+
+def corpus_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scorer's tokens of every document, made once."""
+    return materialize(tokenized(spark, sf_dir).select("tokens"), "tokens")
+
+
 def ppmi(spark, sf_dir):
-    docs = tokenized(spark, sf_dir)
-    frequent = C.term_frequencies(docs, "tokens").orderBy(F.desc("tf"), "term").limit(60)
-    counts = C.cooccurrence(docs, "tokens", frequent, window=3)
-    return C.ppmi(counts).select("target", "context", F.round("ppmi", 6).alias("ppmi"))
+    docs = corpus_tokens(spark, sf_dir)
+    words = VC.vocabulary(docs, "tokens", least=LEAST_TF)
+    values = C.ppmi(VC.term_pairs(docs, "tokens", words))
+    name = lambda c: F.broadcast(words.select(F.col("id").alias(f"{c}_id"), F.col("term").alias(c)))  # noqa: E731  100,000 words at most
+    named = values.withColumnsRenamed({"target": "target_id", "context": "context_id"}).join(name("target"), "target_id").join(name("context"), "context_id")
+    return named.select("target", "context", F.round("ppmi", 6).alias("ppmi"))
+
+
+_PPMI_SQL = f"""{TOKENS_SQL}, top AS (SELECT w FROM pos GROUP BY w HAVING count(*) >= {LEAST_TF}), near AS (SELECT doc_id, s, w FROM pos WHERE w IN (FROM top)),
+one AS (SELECT p.w AS x, q.w AS y, sum(60 // d) AS v FROM (SELECT doc_id, s, w, unnest([1, 2, 3, 4, 5]) AS d FROM near) p JOIN near q ON p.doc_id = q.doc_id AND q.s = p.s + d GROUP BY ALL),
+cnt AS (SELECT x, y, sum(v) / 60.0::DOUBLE AS v FROM (SELECT x, y, v FROM one UNION ALL SELECT y, x, v FROM one) GROUP BY x, y), r AS (SELECT x, sum(v) AS r FROM cnt GROUP BY x), c AS (SELECT y, pow(sum(v), 0.75) AS c FROM cnt GROUP BY y),
+ppmi AS (SELECT x AS target, y AS context, ln(v * (SELECT sum(c) FROM c) / (r * c)) AS ppmi FROM cnt JOIN r USING (x) JOIN c USING (y) WHERE ln(v * (SELECT sum(c) FROM c) / (r * c)) > 0)"""
+PPMI_SQL = f"WITH {_PPMI_SQL} SELECT target, context, round(ppmi, 6) AS ppmi FROM ppmi"
+
+
+def ppmi_svd(spark, sf_dir):
+    """Invariants of the decomposition of the whole vocabulary's PPMI: sizes, energy, orthonormal factors, that the
+    matrix takes each left vector to its right one, and the three leading ones back."""
+    _, matrix, (left, s, right) = VC.term_vectors(corpus_tokens(spark, sf_dir), "tokens", least=LEAST_TF)
+    cells, width = VC.Sparse(matrix), len(s)
+    apart = lambda x, y, n: np.abs(x.beside(y).mapped(lambda _, v: np.abs(v[:, width : width + n] - v[:, :n] * s[:n]).max().reshape(1, 1), 1).r_factor()).max()
+    to_right, to_left = apart(right, cells.times(left, transposed=True), width), apart(left, cells.times(right), 3)
+    found = {
+        "values": float(width), "left_orthonormal": float(np.abs(np.linalg.svd(left.r_factor())[1] - 1).max() < 1e-9), "right_orthonormal": float(np.abs(np.linalg.svd(right.r_factor())[1] - 1).max() < 1e-9),
+        "falling": float((np.diff(s) <= 1e-12).all()), "maps_left_to_right": float(to_right < 1e-9 * s[0]), "leading_map_back": float(to_left < 1e-6 * s[0]),
+    }
+    sums = matrix.agg(F.count_distinct("target").cast("double").alias("terms"), F.count("*").cast("double").alias("nonzeros"), F.round(F.sum(F.col("ppmi") * F.col("ppmi")), 4).alias("energy"))
+    rows = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(v).alias("value")) for n, v in found.items()], *[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in ("terms", "nonzeros", "energy")], F.struct(F.lit("energy_kept_at_most_all").alias("name"), (F.lit(float((s * s).sum())) <= F.col("energy") + 1e-3).cast("double").alias("value")))
+    return sums.select(F.explode(rows).alias("x")).select("x.name", "x.value")
+
+
+SVD_SQL = f"""WITH {_PPMI_SQL}, t AS (SELECT count(DISTINCT target)::DOUBLE AS terms, count(*)::DOUBLE AS nonzeros, round(sum(ppmi * ppmi), 4) AS energy FROM ppmi)
+SELECT unnest(['terms', 'nonzeros', 'energy', 'values', 'left_orthonormal', 'right_orthonormal', 'falling', 'maps_left_to_right', 'leading_map_back', 'energy_kept_at_most_all']) AS name, unnest([terms, nonzeros, energy, least(50, terms), 1, 1, 1, 1, 1, 1])::DOUBLE AS value FROM t"""
 
 
-PPMI_SQL = f"""WITH {TOKENS_SQL}, top AS (SELECT w FROM pos GROUP BY w ORDER BY count(*) DESC, w LIMIT 60),
-one AS (SELECT p.w AS x, q.w AS y, 1.0::DOUBLE / (q.s - p.s) AS v FROM pos p JOIN pos q ON p.doc_id = q.doc_id AND q.s BETWEEN p.s + 1 AND p.s + 3 WHERE p.w IN (FROM top) AND q.w IN (FROM top)),
-cnt AS (SELECT x, y, sum(v) AS v FROM (SELECT x, y, v FROM one UNION ALL SELECT y, x, v FROM one) GROUP BY x, y), r AS (SELECT x, sum(v) AS r FROM cnt GROUP BY x), c AS (SELECT y, pow(sum(v), 0.75) AS c FROM cnt GROUP BY y)
-SELECT x AS target, y AS context, round(ln(v * (SELECT sum(c) FROM c) / (r * c)), 6) AS ppmi FROM cnt JOIN r USING (x) JOIN c USING (y) WHERE ln(v * (SELECT sum(c) FROM c) / (r * c)) > 0"""
+def term_neighbours(spark, sf_dir):
+    """The five nearest terms of each of the 100 most frequent terms by the cosine of their vectors."""
+    vectors = materialize(VC.term_vectors(corpus_tokens(spark, sf_dir), "tokens", least=LEAST_TF)[0], "vectors")
+    near = C.expansion(vectors, vectors.where("id < 100"), id_col="id", vector_col="vector", k=5)
+    name = lambda c, new: F.broadcast(vectors.select(F.col("id").alias(c), F.col("term").alias(new)))  # noqa: E731  100,000 words at most
+    return near.join(name("seed", "term"), "seed").join(name("id", "neighbour"), "id").select("term", "rank", "neighbour", "similarity")
 
 
 def knn_expansion(spark, sf_dir):
@@ -245,11 +288,11 @@ KWIC_SQL = f"WITH {OCC_SQL}, o AS (SELECT doc_id, term, s, e FROM sup QUALIFY ro
 
 QUERIES = {
     "proximity_scores": proximity_scores, "term_contributions": term_contributions, "identical_spans": identical_spans, "nearest_spans": nearest_spans, "window_probes": window_probes, "zero_causes": zero_causes,
-    "text_integrity": text_integrity, "tokenizers": tokenizers, "term_frequencies": term_frequencies, "phrase_scores": phrase_scores, "greedy_phrases": greedy_phrases, "ppmi": ppmi, "knn_expansion": knn_expansion,
+    "text_integrity": text_integrity, "tokenizers": tokenizers, "term_frequencies": term_frequencies, "phrase_scores": phrase_scores, "greedy_phrases": greedy_phrases, "ppmi": ppmi, "ppmi_svd": ppmi_svd, "term_neighbours": term_neighbours, "knn_expansion": knn_expansion,
     "expansion_consolidated": expansion_consolidated, "vocabulary_overlap": vocabulary_overlap, "segments": segments, "page_text": page_text, "key_in_context": key_in_context,
 }
 ORACLES = {
     "proximity_scores": PROXIMITY_SQL, "term_contributions": CONTRIBUTIONS_SQL, "identical_spans": IDENTICAL_SQL, "nearest_spans": NEAREST_SQL, "window_probes": PROBES_SQL, "zero_causes": ZERO_SQL,
-    "text_integrity": INTEGRITY_SQL, "tokenizers": TOKENIZERS_SQL, "term_frequencies": TF_SQL, "phrase_scores": PHRASES_SQL, "greedy_phrases": GREEDY_SQL, "ppmi": PPMI_SQL, "knn_expansion": KNN_SQL,
+    "text_integrity": INTEGRITY_SQL, "tokenizers": TOKENIZERS_SQL, "term_frequencies": TF_SQL, "phrase_scores": PHRASES_SQL, "greedy_phrases": GREEDY_SQL, "ppmi": PPMI_SQL, "ppmi_svd": SVD_SQL, "knn_expansion": KNN_SQL,
     "expansion_consolidated": CONSOLIDATED_SQL, "vocabulary_overlap": OVERLAP_SQL, "segments": SEGMENTS_SQL, "page_text": PAGE_SQL, "key_in_context": KWIC_SQL,
 }
