@@ -29,8 +29,9 @@ TABLE = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
 #: Words that a mapper counts before it sends what it has.
 FLUSH = 1_000_000
 CHARS = 2 << 20
-#: Counts a hash block gets: about so many in up to BLOCKS blocks, and so many in more.
-BLOCK, BLOCKS, MOST_BLOCK = 1 << 18, 4096, 1 << 20
+#: Hash blocks for so many words each, at most BLOCKS of them unless a block had over MOST_BLOCK words then. A mapper
+#: sends a row a block, and never more rows than it has distinct phrases.
+BLOCK, BLOCKS, MOST_BLOCK = 1 << 12, 256, 1 << 20
 #: The bitmap of frequent phrases of the level below. It fills up as the vocabulary grows, and only lets more pass then.
 BITS = 1 << 24
 #: Parts are broadcast with their counts if there are at most so many; beyond it they are joined.
