@@ -331,6 +331,49 @@ DRAW = f"""WITH {CALLS}, z AS (SELECT stratum, count(*) AS size FROM calls GROUP
 q AS (SELECT stratum, size, f + (r <= l)::INT AS quota FROM b), p AS (SELECT id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY sha256('pilot|' || id), id) AS place FROM calls) SELECT stratum, id, place::BIGINT AS place, round(size / quota, 9) AS design_weight FROM p JOIN q USING (stratum) WHERE place <= quota"""
 
 
+def reservoir_draw(spark, sf_dir):
+    """Fifty lines of each return flag by hash, with how many the flag has."""
+    li = table(spark, sf_dir, "lineitem").select("l_returnflag", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line"))
+    out = S.reservoir(li, ["l_returnflag"], "line", 50, salt="pool")
+    return out.select("l_returnflag", "line", F.col("place").cast("bigint").alias("place"), "seen")
+
+
+RESERVOIR = "SELECT l_returnflag, line, row_number() OVER (PARTITION BY l_returnflag ORDER BY sha256('pool|' || line), line) AS place, count(*) OVER (PARTITION BY l_returnflag) AS seen FROM (SELECT l_returnflag, l_orderkey || '-' || l_linenumber AS line FROM lineitem) QUALIFY place <= 50"
+
+
+def balanced_years(spark, sf_dir):
+    """Orders, two in five of all, as evenly over the years as these allow: years that have fewer give all."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"))
+    return S.balanced_sample(o, "year", "o_orderkey", o.count() * 2 // 5, salt="even")
+
+
+BALANCED = """WITH RECURSIVE o AS (SELECT o_orderkey, year(o_orderdate)::INT AS year FROM orders), n AS (SELECT count(*) * 2 // 5 AS total FROM o), s AS (SELECT year, count(*) AS size FROM o GROUP BY year),
+fill(round, level, spare) AS (SELECT 0, 0::BIGINT, (SELECT total FROM n) UNION ALL SELECT round + 1, level + greatest(spare // (SELECT count(*) FROM s WHERE size > level), 1), (SELECT total FROM n) - (SELECT sum(least(size, level + greatest(spare // (SELECT count(*) FROM s WHERE size > level), 1))) FROM s)::BIGINT FROM fill WHERE spare >= (SELECT count(*) FROM s WHERE size > level) AND round < 1000),
+f AS (SELECT * FROM fill ORDER BY round DESC LIMIT 1), q AS (SELECT year, least(size, level) + CASE WHEN size > level AND row_number() OVER (PARTITION BY size > level ORDER BY year) <= spare THEN 1 ELSE 0 END AS quota FROM s, f)
+SELECT o_orderkey, year, quota::BIGINT AS quota, row_number() OVER (PARTITION BY year ORDER BY sha256('even|' || o_orderkey), o_orderkey) AS place FROM o JOIN q USING (year) QUALIFY place <= quota"""
+
+#: Buckets of parts by words of their type, the first that fits.
+KINDS = {"rings": ["RING"], "sized": ["small", "MEDIUM", "Large"], "offers": ["promo", "Economy"]}
+
+
+def bucket_quotas(spark, sf_dir):
+    """The first forty parts of each kind."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_name")
+    return S.filled_buckets(p, S.keyword_bucket(["p_type", "p_name"], KINDS), "p_partkey", 40).select("p_partkey", "bucket", F.col("place").cast("bigint").alias("place"))
+
+
+_KIND = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(t, '{w.lower()}')" for w in words) + f" THEN '{name}'" for name, words in KINDS.items()) + " END"
+BUCKETS = f"SELECT p_partkey, bucket, row_number() OVER (PARTITION BY bucket ORDER BY p_partkey) AS place FROM (SELECT p_partkey, {_KIND} AS bucket FROM (SELECT p_partkey, lower(p_type || ' ' || p_name) AS t FROM part)) WHERE bucket IS NOT NULL QUALIFY place <= 40"
+
+
+def size_proxies(spark, sf_dir):
+    """Of each segment the customers nearest to the ranks 0, 10, 100 and 1000 by balance."""
+    return S.nearest_ranks(table(spark, sf_dir, "customer"), "c_mktsegment", [-F.col("c_acctbal"), F.col("c_custkey")], "c_custkey", [0, 10, 100, 1000])
+
+
+PROXIES = "WITH r AS (SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) - 1 AS rank FROM customer) SELECT c_mktsegment, target::INT AS target, min(rank) AS rank, arg_min(c_custkey, (abs(rank - target), rank)) AS c_custkey FROM (SELECT *, abs(rank - target) AS gap, min(abs(rank - target)) OVER (PARTITION BY c_mktsegment, target) AS least FROM r, (VALUES (0), (10), (100), (1000)) t(target)) WHERE gap = least GROUP BY c_mktsegment, target"
+
+
 def first_by_hash(spark, sf_dir):
     return S.first_per_stratum(table(spark, sf_dir, "customer"), ["c_mktsegment"], "c_custkey", 3, salt="first").select("c_mktsegment", "c_custkey", F.col("place").cast("bigint").alias("place"))
 
@@ -405,9 +448,9 @@ def precision_by_signal(spark, sf_dir):
 PRECISION = "WITH d AS (SELECT doc_id, lang, CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars < 3000 THEN 'middle' ELSE 'long' END AS size FROM documents), g AS (SELECT lang, size, count(*) AS n, count(*) FILTER (quality = 1) AS good, avg(quality) AS p, sum(quality) AS q FROM d JOIN labels USING (doc_id) GROUP BY ALL) SELECT lang, size, n, good, round(p, 9) AS precision, round(q / sum(n) OVER (PARTITION BY lang), 9) AS share_of_lang FROM g"
 
 _HERE = globals()
-QUERIES = {n: _HERE[n] for n in "rank_correlations filing_windows winsorized_scores hash_quintiles fractional_cells portfolio_means portfolio_covariance portfolio_contrasts sector_ranks zero_apart_bins gate_funnel exclusion_reasons coverage_rollups status_pivot describe_groups daily_returns next_trading_day event_windows asof_history listing_overlap nearest_shipment content_duplicates chained_dedup canonical_status attempt_history agreed_brand reconciliation table_difference row_invariants mapping_check stratified_draw first_by_hash bernoulli_draw regressions leverage cluster_influence fiscal_dates surrogate_ids precision_by_signal".split()}
+QUERIES = {n: _HERE[n] for n in "reservoir_draw balanced_years bucket_quotas size_proxies rank_correlations filing_windows winsorized_scores hash_quintiles fractional_cells portfolio_means portfolio_covariance portfolio_contrasts sector_ranks zero_apart_bins gate_funnel exclusion_reasons coverage_rollups status_pivot describe_groups daily_returns next_trading_day event_windows asof_history listing_overlap nearest_shipment content_duplicates chained_dedup canonical_status attempt_history agreed_brand reconciliation table_difference row_invariants mapping_check stratified_draw first_by_hash bernoulli_draw regressions leverage cluster_influence fiscal_dates surrogate_ids precision_by_signal".split()}
 ORACLES = {
-    "rank_correlations": RANK_CORRELATIONS, "filing_windows": WINDOWS, "winsorized_scores": WINSOR, "hash_quintiles": QUINTILES, "fractional_cells": CELLS, "portfolio_means": MEANS, "portfolio_covariance": COVARIANCE, "portfolio_contrasts": CONTRASTS, "sector_ranks": RANKS, "zero_apart_bins": BINS, "gate_funnel": FUNNEL,
+    "reservoir_draw": RESERVOIR, "balanced_years": BALANCED, "bucket_quotas": BUCKETS, "size_proxies": PROXIES, "rank_correlations": RANK_CORRELATIONS, "filing_windows": WINDOWS, "winsorized_scores": WINSOR, "hash_quintiles": QUINTILES, "fractional_cells": CELLS, "portfolio_means": MEANS, "portfolio_covariance": COVARIANCE, "portfolio_contrasts": CONTRASTS, "sector_ranks": RANKS, "zero_apart_bins": BINS, "gate_funnel": FUNNEL,
     "exclusion_reasons": REASONS, "coverage_rollups": ROLLUPS, "status_pivot": PIVOT, "describe_groups": DESCRIBE, "daily_returns": RETURNS, "next_trading_day": NEXT_DAY, "asof_history": ASOF, "listing_overlap": LISTED, "nearest_shipment": NEAREST,
     "content_duplicates": DUPLICATES, "canonical_status": CANONICAL, "attempt_history": HISTORY, "agreed_brand": AGREED, "reconciliation": RECONCILED, "table_difference": DIFFERENCE, "row_invariants": INVARIANTS, "mapping_check": MAPPING,
     "stratified_draw": DRAW, "first_by_hash": FIRST, "bernoulli_draw": BERNOULLI, "leverage": LEVERAGE, "cluster_influence": INFLUENCE, "fiscal_dates": FISCAL, "surrogate_ids": SURROGATE, "precision_by_signal": PRECISION,
