@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.sources.storage import materialize, small
+
+#: Sums of so many terms, a number each, are broadcast; with more of them the joins shuffle.
+MOST_TERMS = 100_000
+
 
 def term_frequencies(docs: DataFrame, tokens: str, *, id_col: str = "doc_id", least_docs: int = 1) -> DataFrame:
     """(term, tf, df): counted per document first, so the shuffle holds a row for each term of a document."""
@@ -40,10 +45,10 @@ def greedy_joins(docs: DataFrame, tokens: str, phrases: DataFrame, *, id_col: st
 
 def ppmi(counts: DataFrame, *, smoothing: float = 0.75, shift: float = 1.0) -> DataFrame:
     """(target, context, ppmi) above 0: contexts are smoothed by a power, log(shift) is taken off."""
-    rows = counts.groupBy("target").agg(F.sum("value").alias("r"))
-    cols = counts.groupBy("context").agg(F.pow(F.sum("value"), F.lit(smoothing)).alias("c"))
+    rows = materialize(counts.groupBy("target").agg(F.sum("value").alias("r")), "target-sums")
+    cols = materialize(counts.groupBy("context").agg(F.pow(F.sum("value"), F.lit(smoothing)).alias("c")), "context-sums")
     total = cols.agg(F.sum("c").alias("t"))
-    joined = counts.join(rows, "target").join(cols, "context").crossJoin(F.broadcast(total))
+    joined = counts.join(small(rows, MOST_TERMS), "target").join(small(cols, MOST_TERMS), "context").crossJoin(F.broadcast(total))
     value = F.log(F.col("value") * F.col("t") / (F.col("r") * F.col("c"))) - F.log(F.lit(shift))
     return joined.select("target", "context", value.alias("ppmi")).where(F.col("ppmi") > 0)
 
