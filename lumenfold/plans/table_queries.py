@@ -14,6 +14,7 @@ from lumenfold.operators import records as R
 from lumenfold.operators import returns as RT
 from lumenfold.operators import sampling as S
 from lumenfold.operators import temporal as T
+from lumenfold.sources.storage import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -196,16 +197,59 @@ NEXT_DAY = "WITH days AS (SELECT date, (row_number() OVER (ORDER BY date) - 1)::
 
 
 def event_windows(spark, sf_dir):
-    """Event studies of the largest orders' days on a brand's mean price; factors are made from the calendar."""
-    p = prices(spark, sf_dir)
-    days = T.calendar(p, "date")
-    ret = T.daily_returns(p, days, key="brand", date="date", price="price")
+    """The event study of every order's day on the mean price of its customer's segment. Factors are made from the
+    calendar, without momentum on every 997th day."""
+    o, c = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day")), table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    e = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("order_id"), "segment", "day")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.to_date("l_shipdate").alias("date"), "l_extendedprice", "l_quantity").where("date is not null")
+    p = li.join(e, F.col("l_orderkey") == F.col("order_id")).groupBy("segment", "date").agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("price"))
+    days = materialize(T.calendar(p, "date"), "calendar")
+    ret = T.daily_returns(p, days, key="segment", date="date", price="price")
     wave = lambda a, b: F.sin(F.col("t") * a) * b
-    factors = days.select("t", wave(0.7, 0.01).alias("mkt_rf"), wave(1.3, 0.008).alias("smb"), wave(2.1, 0.006).alias("hml"), wave(2.9, 0.005).alias("mom"), F.lit(0.0001).alias("rf"))
-    brands = p.groupBy("brand").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "brand").limit(5).select("brand")
-    e = table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(40).select(F.col("o_orderkey").alias("event_id"), F.to_date("o_orderdate").alias("day"))
-    placed = T.asof_forward(e, days, at="day").where("t >= 210").crossJoin(F.broadcast(brands)).withColumn("event_id", F.col("event_id") * 1000 + F.regexp_extract("brand", r"(\d+)$", 1).cast("bigint"))
-    return RT.event_study(RT.event_panel(placed, ret, factors, key="brand")).select("event_id", "status", "n_obs", "matrix_rank", F.round("alpha", 6).alias("alpha"), F.round("car_0_1", 6).alias("car_0_1"), F.round("car_2_60", 6).alias("car_2_60"))
+    momentum = F.when(F.col("t") % 997 != 500, wave(2.9, 0.005))
+    factors = days.select("t", wave(0.7, 0.01).alias("mkt_rf"), wave(1.3, 0.008).alias("smb"), wave(2.1, 0.006).alias("hml"), momentum.alias("mom"), F.lit(0.0001).alias("rf"))
+    out = RT.event_study(T.asof_forward(e, days, at="day"), ret, factors, days, key="segment", at="day")
+    text = [F.col(c).cast("string").alias(c) for c in ("event_trading_date", "estimation_start", "estimation_end")]
+    fit = [F.round(c, 4).alias(c) for c in ("alpha", "b_mkt", "b_smb", "b_hml", "b_mom", "rmse", "r2", "car_0_1", "car_2_60")]
+    return out.select("order_id", "segment", "status", *[F.col(c).cast("bigint").alias(c) for c in ("n_obs", "n_missing_prices", "n_missing_factors", "day_0_lag", "car_0_1_observations", "car_2_60_observations")], *text, "car_0_1_status", "car_2_60_status", "car_0_1_missing_dates", *fit)
+
+
+def _study_sql() -> str:
+    """Normal equations of each (segment, day) by joins and sums, solved by Gauss-Jordan elimination, a CTE a step."""
+    xs, n = [f"x{j}" for j in range(5)], 5
+    est, good = "u BETWEEN t - 209 AND t - 10", "y IS NOT NULL"
+    sums = [f"sum(x{i} * x{j}) FILTER ({est} AND {good}) AS m{i}{j}" for i in range(n) for j in range(n)] + [f"sum(x{i} * y) FILTER ({est} AND {good}) AS m{i}5" for i in range(n)]
+    sums += [f"sum(y * y) FILTER ({est} AND {good}) AS yy", f"sum(y) FILTER ({est} AND {good}) AS sy", *[f"sum(x{i} * y) FILTER ({est} AND {good}) AS q{i}" for i in range(n)]]
+    for name, a, b in (("a", 0, 1), ("b", 2, 60)):
+        at = f"u BETWEEN t + {a} AND t + {b}"
+        sums += [f"count(y) FILTER ({at}) AS n{name}", f"sum(y) FILTER ({at} AND {good}) AS s{name}", *[f"sum({x}) FILTER ({at} AND {good}) AS {name}{x}" for x in xs]]
+    steps, last = [], "sums"
+    for k in range(n):
+        rows = [f"m{i}{j} / m{k}{k} AS m{i}{j}" if i == k else f"m{i}{j} - m{i}{k} * m{k}{j} / m{k}{k} AS m{i}{j}" for i in range(n) for j in range(n + 1)]
+        steps.append(f"step{k} AS (SELECT * REPLACE ({', '.join(rows)}) FROM {last})")
+        last = f"step{k}"
+    beta = "".join(f" - m{i}5 * q{i}" for i in range(n))
+    car = lambda c: f"s{c}" + "".join(f" - m{i}5 * {c}x{i}" for i in range(n))
+    names = ["alpha", "b_mkt", "b_smb", "b_hml", "b_mom"]
+    return f"""WITH e AS (SELECT o_orderkey AS order_id, c_mktsegment AS segment, o_orderdate::DATE AS day FROM orders JOIN customer ON o_custkey = c_custkey),
+prices AS (SELECT segment, l_shipdate::DATE AS date, sum(l_extendedprice) / sum(l_quantity) AS price FROM lineitem JOIN e ON l_orderkey = order_id WHERE l_shipdate IS NOT NULL GROUP BY ALL), days AS (SELECT date, (row_number() OVER (ORDER BY date) - 1)::INT AS t FROM (SELECT DISTINCT date FROM prices)),
+r AS (SELECT segment, t, price, lag(price) OVER w AS p, lag(t) OVER w AS v FROM prices JOIN days USING (date) WINDOW w AS (PARTITION BY segment ORDER BY t)), ret AS (SELECT segment, t, CASE WHEN v = t - 1 AND p > 0 AND price > 0 THEN price / p - 1 END AS ret FROM r),
+f AS (SELECT t AS u, date, 1.0::DOUBLE AS x0, sin(t * 0.7) * 0.01 AS x1, sin(t * 1.3) * 0.008 AS x2, sin(t * 2.1) * 0.006 AS x3, CASE WHEN t % 997 <> 500 THEN sin(t * 2.9) * 0.005 END AS x4, 0.0001::DOUBLE AS rf FROM days),
+placed AS (SELECT e.*, d.t, d.date FROM e ASOF LEFT JOIN days d ON d.date >= e.day),
+k AS (SELECT DISTINCT segment, t FROM placed WHERE t >= 210), span AS (SELECT segment, t, t + unnest(generate_series(-209, 60)) AS w FROM k),
+g AS (SELECT span.segment, span.t, u, f.date, {', '.join(xs)}, ret.ret AS ret, CASE WHEN x4 IS NOT NULL THEN ret.ret - rf END AS y FROM span JOIN f ON u = w LEFT JOIN ret ON ret.segment = span.segment AND ret.t = u),
+sums AS (SELECT segment, t, count(y) FILTER ({est}) AS n_obs, count(*) FILTER ({est} AND ret IS NULL) AS n_prices, count(*) FILTER ({est} AND x4 IS NULL) AS n_factors, string_agg(date::VARCHAR, ';' ORDER BY u) FILTER (u BETWEEN t AND t + 1 AND y IS NULL) AS gaps, {', '.join(sums)} FROM g GROUP BY segment, t),
+{', '.join(steps)},
+fit AS (SELECT segment, t, n_obs, n_prices, n_factors, gaps, na, nb, n_obs = 200 AS ok, {', '.join(f'round(m{i}5, 4) AS {c}' for i, c in enumerate(names))}, round(sqrt(greatest(yy{beta}, 0) / 195), 4) AS rmse, round(1 - greatest(yy{beta}, 0) / (yy - sy * sy / 200), 4) AS r2, round({car('a')}, 4) AS car_a, round({car('b')}, 4) AS car_b FROM {last}),
+top AS (SELECT max(t) AS top FROM days)
+SELECT order_id, segment, CASE WHEN t IS NULL OR t < 210 THEN 'insufficient_factor_calendar' WHEN ok THEN 'ok' ELSE 'missing_estimation_prices_or_factors' END AS status, n_obs, n_prices AS n_missing_prices, n_factors AS n_missing_factors, CASE WHEN t >= 210 THEN date_diff('day', day, placed.date) END AS day_0_lag,
+CASE WHEN ok THEN na END AS car_0_1_observations, CASE WHEN ok THEN nb END AS car_2_60_observations, CASE WHEN t >= 210 THEN placed.date::VARCHAR END AS event_trading_date, (SELECT d.date::VARCHAR FROM days d WHERE placed.t >= 210 AND d.t = placed.t - 209) AS estimation_start, (SELECT d.date::VARCHAR FROM days d WHERE placed.t >= 210 AND d.t = placed.t - 10) AS estimation_end,
+CASE WHEN ok IS DISTINCT FROM true THEN 'model_unavailable' WHEN na = 2 THEN 'ok' ELSE 'missing_event_prices_or_factors' END AS car_0_1_status, CASE WHEN ok IS DISTINCT FROM true THEN 'model_unavailable' WHEN nb = 59 THEN 'ok' ELSE 'missing_event_prices_or_factors' END AS car_2_60_status,
+CASE WHEN ok THEN concat_ws(';', gaps, CASE WHEN t > top THEN 'day_0_outside_factor_calendar' END, CASE WHEN t + 1 > top THEN 'day_1_outside_factor_calendar' END) END AS car_0_1_missing_dates,
+{', '.join(f'CASE WHEN ok THEN {c} END AS {c}' for c in [*names, 'rmse', 'r2'])}, CASE WHEN ok AND na = 2 THEN car_a END AS car_0_1, CASE WHEN ok AND nb = 59 THEN car_b END AS car_2_60 FROM placed LEFT JOIN fit USING (segment, t), top"""
+
+
+STUDY = _study_sql()
 
 
 def asof_history(spark, sf_dir):
@@ -451,7 +495,7 @@ _HERE = globals()
 QUERIES = {n: _HERE[n] for n in "reservoir_draw balanced_years bucket_quotas size_proxies rank_correlations filing_windows winsorized_scores hash_quintiles fractional_cells portfolio_means portfolio_covariance portfolio_contrasts sector_ranks zero_apart_bins gate_funnel exclusion_reasons coverage_rollups status_pivot describe_groups daily_returns next_trading_day event_windows asof_history listing_overlap nearest_shipment content_duplicates chained_dedup canonical_status attempt_history agreed_brand reconciliation table_difference row_invariants mapping_check stratified_draw first_by_hash bernoulli_draw regressions leverage cluster_influence fiscal_dates surrogate_ids precision_by_signal".split()}
 ORACLES = {
     "reservoir_draw": RESERVOIR, "balanced_years": BALANCED, "bucket_quotas": BUCKETS, "size_proxies": PROXIES, "rank_correlations": RANK_CORRELATIONS, "filing_windows": WINDOWS, "winsorized_scores": WINSOR, "hash_quintiles": QUINTILES, "fractional_cells": CELLS, "portfolio_means": MEANS, "portfolio_covariance": COVARIANCE, "portfolio_contrasts": CONTRASTS, "sector_ranks": RANKS, "zero_apart_bins": BINS, "gate_funnel": FUNNEL,
-    "exclusion_reasons": REASONS, "coverage_rollups": ROLLUPS, "status_pivot": PIVOT, "describe_groups": DESCRIBE, "daily_returns": RETURNS, "next_trading_day": NEXT_DAY, "asof_history": ASOF, "listing_overlap": LISTED, "nearest_shipment": NEAREST,
+    "exclusion_reasons": REASONS, "coverage_rollups": ROLLUPS, "status_pivot": PIVOT, "describe_groups": DESCRIBE, "daily_returns": RETURNS, "event_windows": STUDY, "next_trading_day": NEXT_DAY, "asof_history": ASOF, "listing_overlap": LISTED, "nearest_shipment": NEAREST,
     "content_duplicates": DUPLICATES, "canonical_status": CANONICAL, "attempt_history": HISTORY, "agreed_brand": AGREED, "reconciliation": RECONCILED, "table_difference": DIFFERENCE, "row_invariants": INVARIANTS, "mapping_check": MAPPING,
     "stratified_draw": DRAW, "first_by_hash": FIRST, "bernoulli_draw": BERNOULLI, "leverage": LEVERAGE, "cluster_influence": INFLUENCE, "fiscal_dates": FISCAL, "surrogate_ids": SURROGATE, "precision_by_signal": PRECISION,
 }

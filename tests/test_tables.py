@@ -127,7 +127,7 @@ def market(spark, drop=None, gap=None):
     events = T.asof_forward(spark.createDataFrame([(1, "x", days[i].date())], "event_id long, k string, day date"), cal, at="day")
     factors = spark.createDataFrame(f).withColumn("mom", F.when(~F.isnan("mom"), F.col("mom")))
     ret = T.daily_returns(spark.createDataFrame(p), cal, key="k", date="date", price="price")
-    return RT.event_study(RT.event_panel(events, ret, factors, key="k")).first()
+    return RT.event_study(events, ret, factors, cal, key="k", at="day").first()
 
 
 def test_event_study_recovers_the_bump(spark):
@@ -140,6 +140,52 @@ def test_event_study_recovers_the_bump(spark):
     assert r.car_0_1 == pytest.approx(0.005, abs=1e-12) and r.car_2_60 is None
 
 
+def test_event_study_statuses_equal_least_squares(spark):
+    """Nulls, an end of the calendar, gaps, repeated events and clashing names, against numpy one by one."""
+    rng, n = np.random.default_rng(7), 330
+    days = pd.bdate_range("2010-01-01", periods=n)
+    f = pd.DataFrame(rng.normal(0, 0.01, (n, 4)), columns=RT.FACTORS).assign(rf=0.0001, t=range(n))
+    f.loc[320, "mom"] = np.nan
+    ret = {"a": rng.normal(0, 0.02, n), "b": rng.normal(0, 0.02, n)}
+    ret["b"][150] = np.nan
+    rows = [(k, t, None if np.isnan(v) else float(v)) for k, r in ret.items() for t, v in enumerate(r)]
+    cal = T.calendar(spark.createDataFrame(pd.DataFrame({"date": days.date})), "date")
+    wanted = [("a", 215), ("a", 250), ("a", 250), ("a", 300), ("a", 329), ("b", 250), ("c", 250), (None, 250), ("a", 100), ("a", None)]
+    events = [(i, k, None if t is None else days[t].date(), t, "own") for i, (k, t) in enumerate(wanted)] + [(99, "a", dt.date(2030, 1, 1), None, "own")]
+    events = spark.createDataFrame(events, "event_id long, k string, day date, t int, rank string")
+    out = RT.event_study(events, spark.createDataFrame(rows, "k string, t int, ret double"), spark.createDataFrame(f), cal, key="k", at="day")
+    got = {r.event_id: r for r in out.collect()}
+    assert len(got) == 11 and got[99].status == "insufficient_factor_calendar" and {r["rank"] for r in got.values()} == {"own"}
+    x, whole = np.column_stack([np.ones(n), f[RT.FACTORS]]), np.isfinite(f["mom"].to_numpy())
+    for i, (k, t) in enumerate(wanted):
+        r = got[i]
+        if t is None or t < 210:
+            assert r.status == ("unconfirmed_call_date" if t is None else "insufficient_factor_calendar") and r.n_obs is None
+            continue
+        y = (ret.get(k, np.full(n, np.nan)) - 0.0001)[: n]
+        est = slice(t - 209, t - 9)
+        good = np.isfinite(y) & whole
+        assert r.n_obs == good[est].sum() and r.n_missing_prices == (~np.isfinite(y[est])).sum()
+        if not good[est].all():
+            assert r.status == "missing_estimation_prices_or_factors" and r.car_0_1_status == "model_unavailable"
+            assert r.missing_estimation_dates == ";".join(str(days[j].date()) for j in range(t - 209, t - 9) if not good[j])
+            continue
+        beta, left, _, sizes = np.linalg.lstsq(x[est], y[est], rcond=None)
+        assert r.status == "ok" and r.condition == pytest.approx(sizes[0] / sizes[-1]) and r.rmse == pytest.approx(np.sqrt(left[0] / 195))
+        assert [r[c] for c in RT.COEFFICIENTS] == pytest.approx(list(beta), abs=1e-10)
+        for name, (a, b) in RT.AFTER.items():
+            missing = [f"day_{j}_outside_factor_calendar" if t + j >= n else str(days[t + j].date()) for j in range(a, b + 1) if t + j >= n or not good[t + j]]
+            assert sorted(r[f"{name}_missing_dates"].split(";")) == sorted(missing or [""])
+            assert r[f"{name}_observations"] == b - a + 1 - len(missing)
+            if missing:
+                assert r[name] is None and r[f"{name}_status"] == "missing_event_prices_or_factors"
+            else:
+                assert r[name] == pytest.approx((y - x @ beta)[t + a : t + b + 1].sum(), abs=1e-10)
+    flat = spark.createDataFrame(f.assign(mom=f["smb"]))
+    assert RT.event_study(events.where("event_id = 1"), spark.createDataFrame(rows, "k string, t int, ret double"), flat, cal, key="k", at="day").first().status == "rank_deficient"
+    assert RT.event_study(events.limit(0), spark.createDataFrame(rows, "k string, t int, ret double"), flat, cal, key="k", at="day").count() == 0
+
+
 def test_asof_with_conflicts(spark):
     day = lambda d: dt.date(2020, 1, d)
     history = spark.createDataFrame([("a", day(1), "x"), ("a", day(5), "y"), ("a", day(5), "z"), ("a", day(9), "w")], "k string, since date, v string")
