@@ -7,9 +7,11 @@ band predicate decides.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenfold.sources.storage import materialize, small
+
 WINDOW = 10
 
 
@@ -98,3 +100,32 @@ def nearest_distance(left: DataFrame, right: DataFrame) -> DataFrame:
     order = Window.partitionBy("id").orderBy("s", "e", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     other = F.when(F.col("side") == 0, F.max(F.when(F.col("side") == 1, F.col("e"))).over(order)).otherwise(F.max(F.when(F.col("side") == 0, F.col("e"))).over(order))
     return both.withColumn("gap", F.when(other.isNotNull(), F.greatest(F.col("s") - other, F.lit(0)))).groupBy("id").agg(F.min("gap").alias("distance"))
+
+
+def family_impact(pairs: DataFrame, families: DataFrame) -> DataFrame:
+    """(family, terms, docs, n_pairs, weight, nonzero, became_zero, nonzero_without, weight_without): what is left of
+    the documents' pairs without the terms of each family.
+
+    ``pairs`` are (id, term, weight) rows, ``families`` (family, term); families may share terms, and one without pairs
+    takes nothing away. Null families and terms are ignored, repeated rows of families count once; without pairs all
+    counts are 0. Pairs are summed by document and term before they move, then lie by document for both totals.
+    """
+    family = families.where("family is not null and term is not null").distinct()
+    per = pairs.groupBy("id", "term").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).repartition("id")
+    per = materialize(per, "terms")
+    total = per.groupBy("id").agg(F.sum("n").alias("n"))
+    both = per.select(F.col("id").alias("__id"), "term", F.col("n").alias("m"), "w").join(small(family), "term").groupBy("__id", "family").agg(F.sum("m").alias("m"), F.sum("w").alias("w"))
+    hit = both.join(total, F.col("__id") == F.col("id")).groupBy(F.col("family").alias("__f")).agg(F.count("*").alias("docs"), F.sum("m").alias("n_pairs"), F.sum("w").alias("weight"), F.count_if(F.col("m") == F.col("n")).alias("became_zero"))
+    everything = per.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("__w")).crossJoin(total.agg(F.count("*").alias("nonzero")))  # one row
+    names = family.groupBy("family").agg(F.count("*").alias("terms"))
+    out = names.join(hit, F.col("family") == F.col("__f"), "left").crossJoin(F.broadcast(everything))
+    zero = lambda c, v=0: F.coalesce(c, F.lit(v))
+    return out.select("family", "terms", *[zero(c).alias(c) for c in ("docs", "n_pairs")], zero("weight", 0.0).alias("weight"), "nonzero", zero("became_zero").alias("became_zero"), (F.col("nonzero") - zero("became_zero")).alias("nonzero_without"), (F.col("__w") - zero("weight", 0.0)).alias("weight_without"))
+
+
+def top_terms(pairs: DataFrame, k: int) -> DataFrame:
+    """(id, rank, term, n, weight): the k terms of each document with the largest weight, ties to more pairs, then to
+    the smaller term; weights are rounded to nine places, so that no order of sums decides. A document has at most a row for each term of the vocabulary; the limit works before the shuffle too."""
+    per = pairs.groupBy("id", "term").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 9).alias("weight"))
+    order = Window.partitionBy("id").orderBy(F.desc("weight"), F.desc("n"), "term")
+    return per.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("id", "rank", "term", "n", "weight")

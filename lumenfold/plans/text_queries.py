@@ -75,6 +75,34 @@ CONTRIBUTIONS_SQL = f"""WITH {OCC_SQL}, {PAIRS_SQL}, per AS (SELECT term, count(
 SELECT term, n_pairs, round(w, 6) AS weight, docs, round(w / a, 6) AS share, round(a - w, 6) AS without FROM per, total"""
 
 
+FAMILIES = [("of_and_in", "of the"), ("of_and_in", "in"), ("joining", "that"), ("joining", "and"), ("short", "in"), ("short", "and"), ("unseen", "zebra crossing")]
+
+
+def _risk_pairs(spark, sf_dir):
+    docs = tokenized(spark, sf_dir)
+    return P.near_pairs(P.occurrences(docs, "tokens", _vocab(spark, SUPPLY)), P.occurrences(docs, "tokens", _vocab(spark, RISK)))
+
+
+def family_impact(spark, sf_dir):
+    """What is left of the documents' risk pairs without each family of supply terms."""
+    out = P.family_impact(_risk_pairs(spark, sf_dir), spark.createDataFrame(FAMILIES, "family string, term string"))
+    return out.select("family", "terms", "docs", "n_pairs", F.round("weight", 6).alias("weight"), "nonzero", "became_zero", "nonzero_without", F.round("weight_without", 6).alias("weight_without"))
+
+
+FAMILY_SQL = f"""WITH {OCC_SQL}, {PAIRS_SQL}, fam(family, term) AS (VALUES {', '.join(map(str, FAMILIES))}), per AS (SELECT doc_id, count(*) AS n FROM pairs GROUP BY doc_id),
+hit AS (SELECT family, doc_id, count(*) AS m, sum(weight) AS w FROM pairs JOIN fam USING (term) GROUP BY ALL), sums AS (SELECT family, count(*) AS docs, sum(m) AS m, sum(w) AS w, count(*) FILTER (m = n) AS zero FROM hit JOIN per USING (doc_id) GROUP BY family),
+names AS (SELECT family, count(*) AS terms FROM fam GROUP BY family), whole AS (SELECT (SELECT count(*) FROM per) AS nonzero, (SELECT coalesce(sum(weight), 0) FROM pairs) AS a)
+SELECT family, terms, coalesce(docs, 0) AS docs, coalesce(m, 0)::BIGINT AS n_pairs, round(coalesce(w, 0), 6) AS weight, nonzero, coalesce(zero, 0) AS became_zero, nonzero - coalesce(zero, 0) AS nonzero_without, round(a - coalesce(w, 0), 6) AS weight_without FROM names LEFT JOIN sums USING (family), whole"""
+
+
+def top_terms(spark, sf_dir):
+    """The two supply terms of each document with the largest weight in its risk pairs."""
+    return P.top_terms(_risk_pairs(spark, sf_dir), 2).select(F.col("id").alias("doc_id"), "rank", "term", "n", F.round("weight", 6).alias("weight"))
+
+
+TOP_SQL = f"WITH {OCC_SQL}, {PAIRS_SQL}, per AS (SELECT doc_id, term, count(*) AS n, round(sum(weight), 6) AS weight FROM pairs GROUP BY ALL) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, n DESC, term)::INT AS rank, term, n, weight FROM per QUALIFY rank <= 2"
+
+
 def identical_spans(spark, sf_dir):
     """Terms of both vocabularies that pair with themselves."""
     docs = tokenized(spark, sf_dir)
@@ -289,10 +317,10 @@ KWIC_SQL = f"WITH {OCC_SQL}, o AS (SELECT doc_id, term, s, e FROM sup QUALIFY ro
 QUERIES = {
     "proximity_scores": proximity_scores, "term_contributions": term_contributions, "identical_spans": identical_spans, "nearest_spans": nearest_spans, "window_probes": window_probes, "zero_causes": zero_causes,
     "text_integrity": text_integrity, "tokenizers": tokenizers, "term_frequencies": term_frequencies, "phrase_scores": phrase_scores, "greedy_phrases": greedy_phrases, "ppmi": ppmi, "ppmi_svd": ppmi_svd, "term_neighbours": term_neighbours, "knn_expansion": knn_expansion,
-    "expansion_consolidated": expansion_consolidated, "vocabulary_overlap": vocabulary_overlap, "segments": segments, "page_text": page_text, "key_in_context": key_in_context,
+    "expansion_consolidated": expansion_consolidated, "vocabulary_overlap": vocabulary_overlap, "segments": segments, "page_text": page_text, "key_in_context": key_in_context, "family_impact": family_impact, "top_terms": top_terms,
 }
 ORACLES = {
     "proximity_scores": PROXIMITY_SQL, "term_contributions": CONTRIBUTIONS_SQL, "identical_spans": IDENTICAL_SQL, "nearest_spans": NEAREST_SQL, "window_probes": PROBES_SQL, "zero_causes": ZERO_SQL,
     "text_integrity": INTEGRITY_SQL, "tokenizers": TOKENIZERS_SQL, "term_frequencies": TF_SQL, "phrase_scores": PHRASES_SQL, "greedy_phrases": GREEDY_SQL, "ppmi": PPMI_SQL, "ppmi_svd": SVD_SQL, "knn_expansion": KNN_SQL,
-    "expansion_consolidated": CONSOLIDATED_SQL, "vocabulary_overlap": OVERLAP_SQL, "segments": SEGMENTS_SQL, "page_text": PAGE_SQL, "key_in_context": KWIC_SQL,
+    "expansion_consolidated": CONSOLIDATED_SQL, "vocabulary_overlap": OVERLAP_SQL, "segments": SEGMENTS_SQL, "page_text": PAGE_SQL, "key_in_context": KWIC_SQL, "family_impact": FAMILY_SQL, "top_terms": TOP_SQL,
 }
