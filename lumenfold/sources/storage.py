@@ -4,21 +4,25 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes the rows to spark.checkpoint.dir (in local mode to a folder of our own, if unset) and reads them."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, tag: str) -> str:
+    """A new path under spark.checkpoint.dir (in local mode under a folder of our own, if unset)."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         top = "file:///tmp/checkpoints"
-    path = f"{top.rstrip('/')}/lumenfold-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/lumenfold-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Writes the rows to a shared folder and reads them."""
+    path = shared_folder(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: A side is broadcast only if it was counted and has at most this many narrow rows.
