@@ -323,11 +323,12 @@ class Splitter:
         return out
 
 
-def batches(texts: Iterable[str | None], chars: int = CHARS) -> Iterator[list[str]]:
-    """Groups of texts of about so many characters; a longer text is a group of its own."""
+def batches(texts: Iterable[str | None] | pa.Array, chars: int = CHARS) -> Iterator[list[str]]:
+    """Groups of texts of about so many characters; a longer text is a group of its own. Of an Arrow array one group
+    at a time becomes Python strings."""
     group, held = [], 0
     for t in texts:
-        t = t or ""
+        t = (t.as_py() if isinstance(t, pa.Scalar) else t) or ""
         if group and held + len(t) > chars:
             yield group
             group, held = [], 0
@@ -368,19 +369,20 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: st
         decimal, token = [str(i) for i in range(len(ranks.tokens))], ranks.tokens
         sha = hashlib.sha256
         for batch in it:
-            n, digest, back, all_ids = [], [], [], []
-            for group in batches(batch.column(len(names)).to_pylist()):
-                for raw in split.ids(group):
+            at = 0
+            for group in batches(batch.column(len(names))):
+                n, digest, back, raws = [], [], [], split.ids(group)
+                for raw in raws:
                     row = np.frombuffer(raw, "<u4").tolist()
                     n.append(len(row))
                     digest.append(sha(" ".join(map(decimal.__getitem__, row)).encode()).hexdigest())
                     back.append(sha(b"".join(map(token.__getitem__, row))).hexdigest())
-                    if ids:
-                        all_ids.append(row)
-            columns = [*batch.columns[: len(names)], pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())]
-            if ids:
-                columns.append(pa.array(all_ids, pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_tokens", "ids_sha256", "decoded_sha256", *(["token_ids"] if ids else [])])
+                own = batch.slice(at, len(group))  # rows leave as soon as they are encoded, ids as packed as they are
+                columns = [*own.columns[: len(names)], pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())]
+                if ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.frombuffer(b"".join(raws), "<i4"))))
+                at += len(group)
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_tokens", "ids_sha256", "decoded_sha256", *(["token_ids"] if ids else [])])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     return source.mapInArrow(run, f"{kinds}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", token_ids array<int>" if ids else ""))

@@ -51,3 +51,22 @@ def test_whole_table_equals_tiktoken(spark, sf, reference):
         ids = reference.encode_ordinary(texts[r.doc_id])
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_rows_leave_by_groups_of_texts(spark, reference, monkeypatch):
+    """A batch of many texts is encoded, and leaves, a few at a time; ids as arrays, in the rows' order."""
+    import pyarrow as pa
+    from lumenfold.llm import bpe
+
+    rng = random.Random(8)
+    texts = [None if k % 7 == 0 else " ".join(rng.choice(["alpha", "b9", "\n", "漢字"]) for _ in range(rng.randint(0, 40))) for k in range(60)]
+    monkeypatch.setattr(bpe, "batches", lambda texts, real=bpe.batches: real(texts, 300))
+    docs = spark.createDataFrame([(k, t, f"s{k}") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    taken = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: taken.append(run) or self)
+    bpe_round_trip(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, keep=["source"], ids=True)
+    whole = pa.RecordBatch.from_pydict({"doc_id": list(range(60)), "source": [f"s{k}" for k in range(60)], "__text": [t or "" for t in texts]})
+    out = list(taken[0](iter([whole])))
+    assert len(out) > 5 and max(b.num_rows for b in out) < 60
+    rows = pa.Table.from_batches(out).to_pylist()
+    assert [(r["doc_id"], r["source"], r["token_ids"], r["n_tokens"]) for r in rows] == [(k, f"s{k}", e := reference.encode_ordinary(t or ""), len(e)) for k, t in enumerate(texts)]
