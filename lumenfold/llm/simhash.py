@@ -25,6 +25,8 @@ from .components import connected_components
 from .minhash import SEED, SHINGLE, SIMILARITY, SKETCH_BITS, SKETCH_RADIUS, multipliers, signature, tuned_bands
 
 BITS = 64
+#: Bits in which linked fingerprints may differ.
+RADIUS = 4
 #: Rows of one key that a task compares; larger keys are dealt out by pairs of chunks of this many rows.
 KEY_ROWS = 4096
 #: Links that a task holds before it reduces them to a forest.
@@ -264,7 +266,7 @@ def compared(rows: DataFrame, sizes: DataFrame, radius: int) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint, distance bigint")
 
 
-def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, distinct: bool = False) -> DataFrame:
+def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = RADIUS, distinct: bool = False) -> DataFrame:
     """(id_col, fingerprint, component_id) of every row: fingerprints at most ``radius`` bits apart are linked,
     and component_id is the smallest id reachable. Whole texts; null and empty ones have fingerprint zero,
     which is linked like any other. Exact copies and repeated rows meet at their fingerprint; null ids are
@@ -404,13 +406,21 @@ def verified_groups(sets: DataFrame, radius: int, similarity: float) -> DataFram
     return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "a bigint, b bigint")
 
 
+def fingerprint_links(nodes: DataFrame, radius: int) -> DataFrame:
+    """nodes (node, sim; materialized) -> links (a, b, distance) that span the components of fingerprints at most
+    ``radius`` bits apart. Nodes of one fingerprint are linked to the least of them, which stands for all."""
+    heads = materialize(nodes.groupBy("sim").agg(F.min("node").alias("head")), "fingerprints")
+    equal = nodes.join(heads, "sim").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"), F.lit(0).cast("bigint").alias("distance"))
+    return links_within(heads.select(F.col("head").alias("node"), F.col("sim").alias("fp")), radius).unionByName(equal)
+
+
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near duplicates: the one of the smallest id (a null id is the
     last), and of equal ids the one of the smallest text hash.
 
-    Equal texts are one node. Candidates are texts that share a MinHash band of their five-word shingles, as
-    SimHash distances depend on the kind of edit: bands find 0.999 of the pairs at SIMILARITY whether edits are scattered
-    or a block. Groups are the components of candidates with close sketches, and all close pairs of a group are
+    Equal texts are one node. Candidates are texts whose SimHash fingerprints of their five-word shingles are within
+    RADIUS bits, by the same parts and probes as in simhash_components. Pairs at SIMILARITY are some ten bits apart, so
+    texts that share a MinHash band of those shingles are candidates too: bands find 0.999 of them. Groups are the components of candidates with close sketches, and all close pairs of a group are
     verified before any is dropped: a link needs a Jaccard similarity of SIMILARITY of the shingles. Texts without a word are equal to each other. A null text counts as
     empty. Columns stay as they are; an empty table gives no rows.
     """
@@ -426,13 +436,15 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
         for batch in it:
             hashes = [word_hashes(t, SHINGLE, True) for t in batch.column(2).to_pylist()]
             keys, sketches = zip(*[signature(h, bands, per_band, a, b) if len(h) else ([], 0) for h in hashes], strict=True) if hashes else ([], [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.int64()), pa.array([len(h) == 0 for h in hashes], pa.bool_())], names=["id", "node", "bands", "fp", "empty"])
+            sims = pa.array(map(fingerprint, hashes), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.int64()), sims, pa.array([len(h) == 0 for h in hashes], pa.bool_())], names=["id", "node", "bands", "fp", "sim", "empty"])
 
-    rows = source.mapInArrow(run, f"id {id_kind}, node bigint, bands array<bigint>, fp bigint, empty boolean")
+    rows = source.mapInArrow(run, f"id {id_kind}, node bigint, bands array<bigint>, fp bigint, sim bigint, empty boolean")
     rows = materialize(rows.withColumn("node", F.when(F.col("empty"), F.lit(0).cast("bigint")).otherwise(F.col("node"))), "rows")
-    nodes = materialize(rows.groupBy("node").agg(F.first(F.struct("bands", "fp")).alias("x"), F.min("id").alias("least")).select("node", "x.*", "least"), "nodes")
+    nodes = materialize(rows.groupBy("node").agg(F.first(F.struct("bands", "fp", "sim")).alias("x"), F.min("id").alias("least")).select("node", "x.*", "least"), "nodes")
     keyed = nodes.select(F.explode("bands").alias("key"), "node", "fp", F.lit(0).alias("role"))
-    links = materialize(compared(keyed, keyed.groupBy("key").agg(F.count("*").alias("near")), SKETCH_RADIUS), "links")
+    near = fingerprint_links(nodes.where(F.size("bands") > 0).select("node", "sim"), RADIUS)
+    links = materialize(near.unionByName(compared(keyed, keyed.groupBy("key").agg(F.count("*").alias("near")), SKETCH_RADIUS)), "links")
     # the forest keeps the components of all candidates whole, so every candidate pair is inside one group
     ends = materialize(connected_components(links).withColumnRenamed("component", "grp").join(nodes.select("node", "fp"), "node"), "ends")
     # one copy of each text, the one of the least id; on both columns, so that copies do not meet in one task

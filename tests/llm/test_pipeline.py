@@ -189,3 +189,37 @@ def test_run_against_brute_force(spark, sf):
     encode = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     for r in got:
         assert r.token_ids == encode(texts[r.doc_id] or "") and r.n_tokens == len(r.token_ids)
+
+
+def test_fingerprints_alone_find_close_copies(spark, monkeypatch):
+    """Close copies are candidates by their SimHash links, also where no MinHash band is shared."""
+    rng, rows = random.Random(31), [(900, None), (901, " "), (902, "tiny"), (903, "TINY")]
+    for k in range(80):
+        w = say(rng, 400).split()
+        near = list(w)
+        near[rng.randrange(400)] = "edited"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(near).upper())]
+    hashes = [S.word_hashes(t or "", 5, True) for _, t in rows]
+    close = sum(((S.fingerprint(a) ^ S.fingerprint(b)) & (2**64 - 1)).bit_count() <= S.RADIUS for a, b in zip(hashes[4::2], hashes[5::2], strict=True))
+    assert close > 50
+    monkeypatch.setattr(S, "signature", lambda h, bands, rows, a, b: ([hash(h.tobytes())], 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert S.drop_near_duplicates(docs).count() == 2 + 160 - close
+
+
+def test_fingerprint_links_equal_brute_force(spark):
+    rng, sims = random.Random(5), []
+    for _ in range(30):
+        centre = rng.getrandbits(63)
+        sims += [centre, centre, centre ^ (1 << rng.randrange(63)), centre ^ (1 << rng.randrange(63)) ^ 7]
+    nodes = spark.createDataFrame([(1000 + k, x) for k, x in enumerate(sims)], "node long, sim long")
+    group = list(range(len(sims)))
+
+    def join(a, b):
+        old, new = group[a], group[b]
+        group[:] = [new if g == old else g for g in group]
+
+    for r in S.fingerprint_links(nodes, 4).collect():
+        assert (sims[r.a - 1000] ^ sims[r.b - 1000]).bit_count() <= 4
+        join(r.a - 1000, r.b - 1000)
+    assert all(group[a] == group[b] for a in range(len(sims)) for b in range(a) if (sims[a] ^ sims[b]).bit_count() <= 4)
