@@ -2,7 +2,8 @@
 
 Chunks of the corpus are dealt to shards of about as many tokens each. In a round every shard starts from the same vectors and
 trains on its own chunks alone; what it moved a word by is averaged over shards, weighted by how often each met the word, in
-groups of 64 shards at a time. The vectors are bounded by the vocabulary's parameter and are all that is broadcast.
+groups of 64 at a time; a round writes at most 256 sums, however many shards there are. The vectors are bounded by the
+vocabulary's parameter and are all that is broadcast.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ CHUNK, HELD, STEP = 1000, 20_000, 512
 SHARED = 16
 #: Words of a block of the vectors, shards that are summed at a time, and bytes that may be broadcast.
 WORDS, FAN, MOST_BYTES = 512, 64, 256 << 20
+#: Sums of moves that a round writes at most; with more shards a task sums those of several before it writes them.
+SUMS = 256
 
 
 @dataclass(frozen=True)
@@ -66,6 +69,7 @@ def alias_table(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _chunks(docs: DataFrame, tokens: str, id_col: str, words: DataFrame) -> DataFrame:
     """(key, n, ids): known words of every document in order, a chunk of 1,000 a row; other words leave no gap."""
+    narrow = words.count() <= 1 << 15
     known = docs.sparkSession.sparkContext.broadcast(pa.array([r.term for r in words.orderBy("id").select("term").collect()], pa.string()))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,10 +85,10 @@ def _chunks(docs: DataFrame, tokens: str, id_col: str, words: DataFrame) -> Data
                     places.append(at // CHUNK)
                     lists.append(ids[at : at + CHUNK])
             if lists:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(places, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], ["key", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(places, pa.int32()), pa.array(lists, pa.list_(pa.int16() if narrow else pa.int32()))], ["key", "n", "ids"])
 
     typed = docs.select(F.col(id_col).cast("string").alias("key"), F.col(tokens).cast("array<string>").alias("t"))
-    return materialize(typed.mapInArrow(run, "key string, n int, ids array<int>"), "chunks")
+    return materialize(typed.mapInArrow(run, f"key string, n int, ids array<{'smallint' if narrow else 'int'}>"), "chunks")
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -164,32 +168,40 @@ def _round(chunks: DataFrame, shards: int, t: Training, number: int, v: np.ndarr
     keep = np.minimum(1, np.sqrt(t.sample / share) + t.sample / share) if t.sample else np.ones(len(counts))
     sent = sc.broadcast((v, keep, *alias_table(counts**t.exponent)))
 
-    def blocks(shard: int, model: _Shard) -> Iterator[pa.RecordBatch]:
+    per = -(-shards // SUMS)
+
+    def moves(model: _Shard, total: np.ndarray | None) -> np.ndarray:
         model.train()
-        moved = model.moved()
+        return model.moved() if total is None else total + model.moved()
+
+    def blocks(group: int, moved: np.ndarray) -> Iterator[pa.RecordBatch]:
         for at in range(0, moved.shape[1], WORDS):
             if moved[:, at : at + WORDS, 0].any():
-                yield pa.RecordBatch.from_arrays([pa.array([at // WORDS]), pa.array([shard]), pa.array([moved[:, at : at + WORDS].tobytes()], pa.binary())], ["block", "shard", "moved"])
+                yield pa.RecordBatch.from_arrays([pa.array([at // WORDS]), pa.array([group]), pa.array([moved[:, at : at + WORDS].tobytes()], pa.binary())], ["block", "shard", "moved"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, model = None, None
+        at, model, total = None, None, None
         for batch in it:
             for shard, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if shard != at:
                     if model:
-                        yield from blocks(at, model)
+                        total = moves(model, total)
+                        if shard // per != at // per:
+                            yield from blocks(at // per, total)
+                            total = None
                     at, model = shard, _Shard(t, *sent.value, rate, np.random.default_rng([t.seed, number, shard]))
-                model.add(ids.values.to_numpy())
+                model.add(ids.values.to_numpy().astype(np.int32))
         if model:
-            yield from blocks(at, model)
+            yield from blocks(at // per, moves(model, total))
 
     def summed(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table["shard"].to_pylist(), table["moved"].to_pylist()))
         total = np.sum([np.frombuffer(b) for _, b in rows], 0)
         return pa.table({"block": table["block"][:1].cast(pa.int64()), "shard": pa.array([rows[0][0] // FAN]), "moved": pa.array([total.tobytes()], pa.binary())})
 
-    dealt = chunks.select("shard", "ids", "key", "n").repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "key", "n", "ids")
-    parts, left, schema = materialize(dealt.select("shard", "ids").mapInArrow(run, "block long, shard long, moved binary"), "moved"), shards, "block long, shard long, moved binary"
+    groups = -(-shards // per)
+    dealt = chunks.select("shard", "ids", "key", "n").repartitionById(groups, F.expr(f"shard div {per}").cast("int")).sortWithinPartitions("shard", "key", "n", "ids")
+    parts, left, schema = materialize(dealt.select("shard", "ids").mapInArrow(run, "block long, shard long, moved binary"), "moved"), groups, "block long, shard long, moved binary"
     while True:
         parts, left = parts.groupBy("block", F.floor(F.col("shard") / FAN)).applyInArrow(summed, schema), -(-left // FAN)
         if left == 1:

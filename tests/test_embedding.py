@@ -86,3 +86,24 @@ def test_seeded_terms_pin_their_seeds(spark):
     got = {r.term: (r.max_cosine, r.nearest_seed, r.seed_rank, r.matches) for r in M.seeded_terms(v, seeds, mode="phrase_fallback", k=2).collect()}
     # a: c 0.8, a_b 0.6; c: a_b 0.96, a 0.8; a b (0.6, 0.8): c 0.96, z 0.0
     assert got == {"a": (1.0, "a", 0, 2), "c": (1.0, "c", 0, 3), "z": (0.0, "a b", 2, 1)}
+
+
+def test_few_sums_are_written_however_many_shards(spark, monkeypatch):
+    """A task sums the moves of several shards before they are written; the vectors stay what they were."""
+    t, written, real = M.Training(dim=4, rounds=1, shard_tokens=200), [], M.materialize
+
+    def kept(df, tag):
+        out = real(df, tag)
+        if tag == "moved":
+            written.append(out.select("shard").distinct().count())
+        return out
+
+    monkeypatch.setattr(M, "materialize", kept)
+    run = lambda: {r.term: r.vector for r in M.trained_vectors(corpus(spark, 300), "tokens", id_col="doc_id", least=2, training=t).collect()}
+    whole = run()
+    assert 8 < written[0] <= 256
+    monkeypatch.setattr(M, "SUMS", 4, raising=False)
+    written.clear()
+    few = run()
+    assert 1 <= written[0] <= 4 and whole.keys() == few.keys()
+    assert all(np.allclose(whole[k], few[k], atol=1e-6) for k in whole)
