@@ -4,6 +4,7 @@ import pytest
 from lumenfold.functions import text as TX
 from lumenfold.operators import corpus as C
 from lumenfold.operators import proximity as P
+from lumenfold.sources.storage import materialize
 from pyspark.sql import functions as F
 
 
@@ -151,3 +152,31 @@ def test_segments_equal_their_sql(spark, tmp_path):
     got = Q.segments(spark, str(tmp_path))
     wanted = con.sql(Q.ORACLES["segments"])
     assert got.columns == wanted.columns and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, wanted.fetchall()))
+
+
+def test_joined_phrases_equal_rows_of_all_joins(spark, monkeypatch):
+    """Counts in the row equal those over all positions: repeated and null ids, nulls, runs, rows of few tokens, flushes.
+    Only ids are shuffled by document, no positions."""
+    rng = random.Random(3)
+    lists = [[rng.choice("abcde") for _ in range(rng.randint(0, 30))] for _ in range(60)] + [None, ["a"], ["a", None, "b", "a", "b"], ["a"] * 9]
+    lists[1:20:2] = [["a"]] * 10  # rows that share an id: their places don't meet
+    ids = [None if k % 20 == 3 else k // 2 if k < 20 else k for k in range(len(lists))]
+    df = spark.createDataFrame(list(zip(ids, lists, strict=True)), "doc_id long, tokens array<string>").repartition(3)
+    alone = df.where("doc_id > 20").where("doc_id % 20 <> 3")
+    for docs in (alone, alone.limit(0)):
+        for pairs, docs_held in ((C.PAIRS, C.DOCS), (3, 7)):
+            monkeypatch.setattr(C, "PAIRS", pairs)
+            monkeypatch.setattr(C, "DOCS", docs_held)
+            plain = C.bigram_counts(docs, "tokens").where("n >= 8 and a is not null and b is not null")
+            assert sorted(C.frequent_bigrams(docs, "tokens", least=8).collect()) == sorted(plain.collect())
+    phrases = materialize(C.frequent_bigrams(df, "tokens", least=20), "some")
+    for docs in (alone, df.where("doc_id is not null")):
+        slow = C.greedy_joins(docs, "tokens", phrases).groupBy("phrase").agg(F.count("*").alias("joins"), F.count_distinct("doc_id").alias("docs"))
+        wanted = sorted(slow.collect())
+        assert sorted(C.joined_phrases(docs, "tokens", phrases).collect()) == wanted and len(wanted) > 3
+    with monkeypatch.context() as m:
+        m.setattr(C, "greedy_joins", None)
+        assert C.joined_phrases(alone, "tokens", phrases).count() > 3
+    for name in ("MOST_WORDS", "MOST_PHRASES"):
+        monkeypatch.setattr(C, name, 1)
+    assert sorted(C.joined_phrases(alone, "tokens", C.frequent_bigrams(df, "tokens", least=20)).collect()) == sorted(C.greedy_joins(alone, "tokens", phrases).groupBy("phrase").agg(F.count("*").alias("joins"), F.count_distinct("doc_id").alias("docs")).collect())
