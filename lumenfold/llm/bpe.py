@@ -11,11 +11,11 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
-from itertools import chain, compress, islice
-from operator import not_
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -221,10 +221,10 @@ class Splitter:
     other run of chunks goes through the pattern with the chunks beside it.
     """
 
-    def __init__(self, pattern: str, encode):
+    def __init__(self, pattern: str, encode, cache: int = CACHE):
         self.find, self.encode, self.known = regex.compile(pattern).findall, encode, pattern == KNOWN_PATTERN
         self.marks: dict[str, bytes] = {}
-        self.words, self.first, self.later = Cache(CACHE // 6), Cache(CACHE // 16), Cache(CACHE)
+        self.words, self.first, self.later = Cache(CACHE // 6), Cache(CACHE // 16), Cache(cache)
 
     def cut(self, text: str) -> list[str]:
         """The pre-tokens. One word of letters, with or without a space or line end before and a mark after, is plain."""
@@ -269,20 +269,21 @@ class Splitter:
     def ids(self, texts: list[str]) -> list[bytes]:
         if not self.known:
             return self._whole(texts)
-        split = [x.replace("\n", " \n").split(" ") for x in texts]
+        keys, codes, at = chunks(texts)
         later, old, first = self.later, self.later.old, self.first
-        rows, gaps, new = [], [], set()
-        for x in split:
-            row = list(map(later.get, x))
-            gap = list(compress(range(1, len(x)), map(not_, islice(row, 1, None))))
-            new.update([x[i] for i in gap])
-            rows.append(row)
-            gaps.append(gap)
+        heads = [keys[k] for k in codes[at[:-1]].tolist()]
+        follows = np.ones(len(codes), bool)
+        follows[at[:-1]] = False
+        used = np.zeros(len(keys), bool)
+        used[codes[follows]] = True
+        found = list(map(later.get, keys))
+        gaps = [k for k in np.flatnonzero(used).tolist() if found[k] is None]
+        missed = list(map(keys.__getitem__, gaps))
+        kept = list(map(old.get, missed)) if old else [None] * len(missed)
+        later.update([(x, ids) for x, ids in zip(missed, kept, strict=True) if ids is not None])
         cores, marked, fresh = set(), [], []
-        for x in new:
-            if (ids := old.get(x)) is not None:
-                later[x] = ids
-            elif x.isalpha():
+        for x in [x for x, ids in zip(missed, kept, strict=True) if ids is None]:
+            if x.isalpha():
                 cores.add(x)
             elif x[-1:] in MARKS and x[:-1].isalpha():
                 marked.append(x)
@@ -290,30 +291,40 @@ class Splitter:
                 fresh.append(x)
         self._words(cores, marked)
         later.update(zip(fresh, self._whole([x if x[0] == "\n" else " " + x for x in fresh]), strict=True))
-        starts = [x for x in {x[0] for x in split} if x not in first and x not in first.old and self._plain(x) and x[0] != "\n"]
+        starts = [x for x in set(heads) if x not in first and x not in first.old and self._plain(x) and x[0] != "\n"]
         first.update(zip(starts, self._whole(starts), strict=True))
-        segments, holes = [], []
-        for x, row, gap in zip(split, rows, gaps, strict=True):
-            row[0] = first.get(x[0]) or first.old.get(x[0])
-            odd = [] if row[0] is not None else [0]
-            for k in gap:
-                row[k] = later.get(x[k])
-                if row[k] is None:
-                    odd.append(k)
-            # what is not plain goes through the pattern with its neighbours; beyond them every boundary holds
-            n = 0
-            while n < len(odd):
-                lo, hi, n = max(0, odd[n] - 1), odd[n] + 1, n + 1
-                while n < len(odd) and odd[n] - 1 <= hi:
-                    hi, n = odd[n] + 1, n + 1
-                part = [y if y[:1] == "\n" else " " + y for y in x[lo : hi + 1]]
-                if not lo:
-                    part[0] = x[0]
-                segments.append("".join(part))
-                holes.append((row, lo, len(part)))
-        for (row, lo, n), ids in zip(holes, self._whole(segments), strict=True):
-            row[lo : lo + n] = [ids] + [b""] * (n - 1)
-        out = [b"".join(row) for row in rows]
+        for k, ids in zip(gaps, map(later.get, missed), strict=True):
+            found[k] = ids
+        lead = [first.get(x) or first.old.get(x) for x in heads]
+        unknown = np.zeros(len(keys), bool)
+        unknown[[k for k in gaps if found[k] is None]] = True
+        unknown = unknown[codes] & follows
+        at = at.tolist()
+        unknown[[k for k, ids in zip(at, lead, strict=False) if ids is None]] = True
+        odd, segments, holes = np.flatnonzero(unknown), [], []
+        # what is not plain goes through the pattern with its neighbours in the text; beyond them every boundary holds
+        text = (np.searchsorted(at, odd, "right") - 1).tolist()
+        odd, n = odd.tolist(), 0
+        while n < len(odd):
+            own = text[n]
+            lo, hi, n = max(at[own], odd[n] - 1), odd[n] + 1, n + 1
+            while n < len(odd) and text[n] == own and odd[n] - 1 <= hi:
+                hi, n = odd[n] + 1, n + 1
+            hi = min(hi, at[own + 1] - 1)
+            part = [y if y[:1] == "\n" else " " + y for y in map(keys.__getitem__, codes[lo : hi + 1].tolist())]
+            if lo == at[own]:
+                part[0] = heads[own]
+            segments.append("".join(part))
+            holes.append((lo, len(part)))
+        place = codes.astype(np.int64)
+        place[at[:-1]] = np.arange(len(keys), len(keys) + len(heads))
+        parts = [ids or b"" for ids in chain(found, lead)]
+        for (lo, n), ids in zip(holes, self._whole(segments), strict=True):
+            place[lo : lo + n] = -1
+            place[lo] = len(parts)
+            parts.append(ids)
+        parts.append(b"")  # where -1 points
+        out = gathered(parts, place, at)
         for x in [x for x in chain(cores, marked, fresh) if len(x) > 64]:
             later.pop(x, None)
         for x in [x for x in starts if len(x) > 64]:
@@ -323,6 +334,23 @@ class Splitter:
         return out
 
 
+def chunks(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(different chunks, the chunk at each place, the first place of each text and the end) of texts cut before every
+    line end and at every space, which is left out. Cut and numbered by Arrow: Python sees each different chunk once."""
+    cut = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n"), " ")
+    coded = cut.flatten().dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), cut.offsets.to_numpy()
+
+
+def gathered(parts: list[bytes], place: np.ndarray, at: list[int]) -> list[bytes]:
+    """The parts at the given places, joined between every two of ``at``. Parts are 32-bit numbers."""
+    size = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
+    start, n = np.cumsum(size) - size, size[place]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    numbers = np.frombuffer(b"".join(parts), "<u4")[np.repeat(start[place] - ends[:-1], n) + np.arange(ends[-1])]
+    return [numbers[a:b].tobytes() for a, b in pairwise(ends[at].tolist())]
+
+
 def batches(texts: Iterable[str | None] | pa.Array, chars: int = CHARS) -> Iterator[list[str]]:
     """Groups of texts of about so many characters; a longer text is a group of its own. Of an Arrow array one group
     at a time becomes Python strings."""

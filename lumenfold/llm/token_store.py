@@ -29,6 +29,8 @@ CHUNK_BITS = 8
 RANK_BLOCK = 512
 SEGMENT_TOKENS = 1 << 18
 END_ID = 0
+#: Chunks that a worker keeps with their ids: more than elsewhere, as this operator holds little else.
+CHUNKS = 1_200_000
 
 
 def pack(ids: np.ndarray) -> list[tuple[bytes, bytes, bytes]]:
@@ -100,7 +102,7 @@ def _splitter(content: bytes, pattern: str) -> Splitter:
         def whole(texts: list[str]) -> list[bytes]:
             return [np.array(x.ids, "<u4").tobytes() for x in library.encode_batch_fast(texts, add_special_tokens=False)]
 
-        split = Splitter(pattern, encode)
+        split = Splitter(pattern, encode, CHUNKS)
         split.special, split.library = [t.content for t in library.get_added_tokens_decoder().values()], whole
         _tokenizers[key] = split
     return _tokenizers[key]
@@ -141,7 +143,7 @@ def write_token_store(docs: DataFrame, tokenizer_path: str, pattern: str, path:
 
         for batch in it:
             own, at = batch.column(0).to_pylist(), 0
-            for group in batches(batch.column(1).to_pylist()):
+            for group in batches(batch.column(1)):
                 for raw in _encode(split, group):
                     ids.append(own[at])
                     at += 1

@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from lumenfold.llm import bpe
 from lumenfold.llm.bpe import bpe_round_trip, codec, op2_byte_bpe
 
 BLOB = open(P.path("byte_bpe_50k.tiktoken"), "rb").read()
@@ -70,3 +71,21 @@ def test_rows_leave_by_groups_of_texts(spark, reference, monkeypatch):
     assert len(out) > 5 and max(b.num_rows for b in out) < 60
     rows = pa.Table.from_batches(out).to_pylist()
     assert [(r["doc_id"], r["source"], r["token_ids"], r["n_tokens"]) for r in rows] == [(k, f"s{k}", e := reference.encode_ordinary(t or ""), len(e)) for k, t in enumerate(texts)]
+
+
+def test_each_different_chunk_of_a_group_is_looked_up_once():
+    """Texts of many repeated words: lookups grow with the different chunks, not with the words."""
+
+    class Counted(bpe.Cache):
+        asked = 0
+
+        def get(self, *key):
+            Counted.asked += 1
+            return super().get(*key)
+
+    split = bpe.Splitter(P.PATTERN, lambda words: [len(w).to_bytes(4, "little") for w in words])
+    split.later = Counted(bpe.CACHE)
+    texts = ["a bb, ccc\n" * 500 + " x  y", "", "\u00a0 bb", "bb"]
+    want = [b"".join(len(w).to_bytes(4, "little") for w in split.find(t)) for t in texts]
+    assert split.ids(texts) == want and split.ids(texts) == want
+    assert Counted.asked <= 2 * 3 * 12
