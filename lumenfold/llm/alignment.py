@@ -10,22 +10,24 @@ from __future__ import annotations
 
 import hashlib
 import re
-from array import array
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Cache, batches
+from .bpe import Cache, batches, chunks, gathered
 from .common import materialize
 from .token_store import BYTE_LETTERS
 
 #: Aligned segments that a worker keeps, the longest text of one, and states of the transducer.
-SEGMENTS = 250_000
+SEGMENTS = 500_000
 LONG = 64
 STATES = 1 << 17
+#: New segments that are encoded and aligned at a time.
+TOGETHER = 20_000
 #: Links are joined to the counts of at most so many id pairs by broadcast: those that hold at least this share of all
 #: (document, pair) rows each. Any other pair has fewer rows than that.
 HOT_PAIRS = 50_000
@@ -44,6 +46,8 @@ class Transducer:
         self.ids: dict[tuple[int, bytes], int] = {(0, b""): 0}
         self.states: list[tuple[int, bytes]] = [(0, b"")]
         self.memo: list[dict[int, int]] = [{}]
+        #: Ids with what follows them: A's within and at the end of its side of a group, then B's.
+        self._said = [f"{i}{x}" for side, marks in ((a_bytes, ",|"), (b_bytes, ",;")) for x in marks for i in range(len(side))]
 
     def _state(self, lead: int, rest: bytes) -> int:
         key = (lead, rest) if rest else (0, b"")
@@ -89,10 +93,52 @@ class Transducer:
             groups.append((a[i0:i], b[j0:j]))
         return groups, links
 
+    def align_all(self, a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray) -> tuple[list[str], list[bytes], np.ndarray]:
+        """(groups as `a1,a2|b1;a3|b2`, links as bytes, number of groups) of many sequences, of which the k-th is
+        a[a_at[k] : a_at[k + 1]] and b[b_at[k] : b_at[k + 1]]. All take a step at a time together; each different
+        (state, token) of a step is looked up once."""
+        steps = len(a) + len(b)
+        link, linked, closed, own = np.zeros(steps, np.int64), np.zeros(steps, bool), np.zeros(steps, bool), np.zeros(steps, bool)
+        i, j, end, state = a_at[:-1].copy(), b_at[:-1].copy(), a_at[1:], np.zeros(len(a_at) - 1, np.int64)
+        act = np.flatnonzero(i < end)
+        while len(act):
+            now, x, y = state[act], i[act], j[act]
+            keys, which = np.unique(now, return_inverse=True)
+            takes_a = np.array([not k or self.states[k][0] == 1 for k in keys.tolist()], bool)[which]
+            token = np.empty(len(act), np.int64)
+            token[takes_a], token[~takes_a] = a[x[takes_a]], b[y[~takes_a]]
+            keys, which = np.unique(now << 32 | token, return_inverse=True)
+            after = []
+            for k in keys.tolist():
+                s, t = k >> 32, k & 0xFFFFFFFF
+                found = self.memo[s].get(t)
+                after.append(self._step(s, t) if found is None else found)
+            after, at = np.array(after, np.int64)[which], x + y
+            x, y = x + takes_a, y + ~takes_a
+            k = now > 0
+            link[at[k]], linked[at] = a[x[k] - 1] << 32 | b[y[k] - 1], k
+            closed[at], own[at] = after == 0, takes_a
+            i[act], j[act], state[act] = x, y, after
+            act = act[(after > 0) | (x < end[act])]
+        # of each group A's ids come first; what follows an id depends on whether its side goes on
+        group = np.cumsum(closed) - closed
+        side = 2 * group + ~own
+        order = np.argsort(side, kind="stable")
+        side = side[order]
+        last = np.append(side[1:] != side[:-1], True)[:steps]
+        ids = np.empty(steps, np.int64)
+        ids[own], ids[~own] = a, b
+        ids, n = ids[order], len(self.tokens[0])
+        said = list(map(self._said.__getitem__, (ids + np.where(side & 1, 2 * n + last * len(self.tokens[1]), last * n)).tolist()))
+        at = (a_at + b_at).tolist()
+        before = np.concatenate([[0], np.cumsum(linked)])[at].tolist()
+        raw = link[linked].tobytes()
+        return ["".join(said[x:y])[:-1] for x, y in pairwise(at)], [raw[8 * x : 8 * y] for x, y in pairwise(before)], np.diff(np.concatenate([[0], np.cumsum(closed)])[at])
+
     def trim(self, most: int) -> None:
         """Forgets all states if they became too many; they are made again when met."""
         if len(self.states) > most:
-            self.__init__(*self.tokens)
+            self.ids, self.states, self.memo = {(0, b""): 0}, [(0, b"")], [{}]
 
 
 def _plain(x: str) -> bool:
@@ -102,7 +148,13 @@ def _plain(x: str) -> bool:
 
 #: Marks the key of a segment that isn't a space and its key.
 ODD = "\x01"
-UNEVEN = re.compile("  | \n|\n[ \n]|^[ \n]|[ \n]\\Z")
+#: What no text has that is cut at all its spaces and line ends.
+UNEVEN = ("  ", " \n", "\n ", "\n\n")
+
+
+def even(text: str) -> bool:
+    """Whether every space and line end of the text stands between two printable characters that are no white space."""
+    return text[0] not in " \n" and text[-1] not in " \n" and not any(map(text.__contains__, UNEVEN)) and text.replace("\n", "").isprintable()
 
 
 def segments(text: str) -> list[str]:
@@ -113,7 +165,7 @@ def segments(text: str) -> list[str]:
     Returns keys: see spelled(). The text is not empty.
     """
     cut = text.replace("\n", " \n").split(" ")
-    if text.replace("\n", "").isprintable() and not UNEVEN.search(text):
+    if even(text):
         return cut
     out, held, before = [], [], True
     for k, x in enumerate(cut):
@@ -138,7 +190,9 @@ class Aligner:
 
     def __init__(self, a_file: bytes, b_file: bytes):
         import json
+        import os
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share the cores already
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -174,7 +228,7 @@ class Aligner:
 
     def _a_ids(self, segs: list[str]) -> list[list[int]]:
         """A word of Latin letters is one pre-token, which the library merges without its surroundings."""
-        words = [k for k, x in enumerate(segs) if self.apart and x[0] == " " and x[1:].isalpha() and max(x) < "\u0250"]
+        words = [k for k, x in enumerate(segs) if self.apart and x[0] == " " and x[1:].isalpha() and (x.isascii() or max(x) < "\u0250")]
         own, out = set(words), [[]] * len(segs)
         for k in words:
             x = segs[k][1:]
@@ -185,22 +239,36 @@ class Aligner:
             out[k] = found.ids
         return out
 
+    @staticmethod
+    def _flat(ids: list[list[int]], tokens: list[bytes]) -> tuple:
+        """All ids in a row, where each sequence starts and the end, and (the ends in bytes, the bytes) or None if an id is none."""
+        at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
+        own = list(chain.from_iterable(ids))
+        flat = np.array(own, np.int64)
+        if -1 in own:
+            return flat, at, None
+        raw = list(map(tokens.__getitem__, own))
+        return flat, at, (np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))])[at[1:]], b"".join(raw))
+
     def _encode(self, keys: list[str]) -> list[tuple | None]:
         """(n_a, n_b, n_groups, groups, links as bytes) of each segment; None in place of one that the ids do not spell."""
         a_bytes, b_bytes = self.transducer.tokens
         segs = list(map(spelled, keys))
         # the pieces get their space from the library; a segment that begins with a line end must lose it again
         b_ids = self.b.encode([x[1:] if x[0] == " " else x for x in segs], num_threads=1)
-        out = []
-        for seg, a, b in zip(segs, self._a_ids(segs), b_ids, strict=True):
-            raw = seg.encode()
-            if seg[0] == "\n":
-                b = b[1:] if b[:1] == [self.mark] else [-1]
-            if b[:1] == [-1] or b"".join([a_bytes[x] for x in a]) != raw or b"".join([b_bytes[x] for x in b]) != raw:
-                out.append(None)
-                continue
-            groups, links = self.transducer.align(a, b)
-            out.append((len(a), len(b), len(groups), ";".join([f"{x[0]}|{y[0]}" if len(x) == len(y) == 1 else f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups]), array("q", links).tobytes()))
+        a_ids, raws = self._a_ids(segs), [x.encode() for x in segs]
+        b_ids = [b if x[0] != "\n" else b[1:] if b[:1] == [self.mark] else [-1] for x, b in zip(segs, b_ids, strict=True)]
+        flat, at, spelt = zip(*map(self._flat, (a_ids, b_ids), (a_bytes, b_bytes)), strict=True)
+        ends = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)))
+        if not all(x is not None and np.array_equal(x[0], ends) and x[1] == b"".join(raws) for x in spelt):
+            # some segment is not spelt by its ids: each is judged alone
+            good = [b[:1] != [-1] and b"".join([a_bytes[x] for x in a]) == raw == b"".join([b_bytes[x] for x in b]) for a, b, raw in zip(a_ids, b_ids, raws, strict=True)]
+            a_ids, b_ids = ([x if ok else [] for x, ok in zip(ids, good, strict=True)] for ids in (a_ids, b_ids))
+            flat, at, _ = zip(*map(self._flat, (a_ids, b_ids), (a_bytes, b_bytes)), strict=True)
+        else:
+            good = [True] * len(keys)
+        said, links, n_groups = self.transducer.align_all(flat[0], at[0], flat[1], at[1])
+        out = [(len(a), len(b), n, said_, raw) if ok else None for ok, a, b, n, said_, raw in zip(good, a_ids, b_ids, n_groups.tolist(), said, links, strict=True)]
         self.transducer.trim(STATES)
         return out
 
@@ -213,25 +281,44 @@ class Aligner:
         if marked:
             new.update([y for x in marked if (y := x[:-1]) not in known and y not in old])
         fresh = list(new)
-        for x, found in zip(fresh, self._encode(fresh) if fresh else (), strict=True):
-            (known if len(x) <= LONG else extra)[x] = found
+        for k in range(0, len(fresh), TOGETHER):
+            part = fresh[k : k + TOGETHER]
+            for x, found in zip(part, self._encode(part), strict=True):
+                (known if len(x) <= LONG else extra)[x] = found
         for x in marked:
             word, mark = extra[x[:-1]] if x[:-1] in extra else known[x[:-1]], self.marks[x[-1]]
             both = word and (word[0] + 1, word[1] + 1, word[2] + 1, f"{word[3]};{mark[3]}", word[4] + mark[4])
             (known if len(x) <= LONG else extra)[x] = both
 
+    def coded(self, texts: list[str]) -> tuple[list[tuple | None], np.ndarray, np.ndarray]:
+        """(aligned segments, the segment at each place, the first place of each text and the end). A segment that the
+        ids do not spell is None, an empty text has no place. Segments of even texts are cut and numbered by Arrow, so
+        that Python looks each different one up once."""
+        texts_of = [k for k, t in enumerate(texts) if t and self.apart and t[0] != ODD and SPACE not in t and even(t)]
+        keys, codes, places = chunks([texts[k] for k in texts_of])
+        rows = [codes[:0]] * len(texts)
+        for k, a, b in zip(texts_of, places.tolist(), places[1:].tolist(), strict=False):
+            rows[k] = codes[a:b]
+        own = set(texts_of)
+        for k, t in enumerate(texts):
+            if t and k not in own:
+                row = segments(t) if self.apart and SPACE not in t else [f"{ODD} {t}"]
+                rows[k] = np.arange(len(keys), len(keys) + len(row))
+                keys += row
+        known, old, extra = self.known, self.known.old, {}
+        found = list(map(known.get, keys))
+        gaps = [k for k, x in enumerate(found) if x is None]
+        self._add({x for k in gaps if (x := keys[k]) not in known and x not in old}, extra)
+        for k in gaps:
+            found[k] = extra[keys[k]] if keys[k] in extra else known[keys[k]]
+        known.turn()
+        return found, np.concatenate([*rows, codes[:0]]).astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in rows], dtype=np.int64)])
+
     def of(self, texts: list[str]) -> list[list[tuple] | None]:
         """The aligned segments of each text, or None if it has no tokens."""
-        cut = [(segments(t) if self.apart and SPACE not in t else [f"{ODD} {t}"]) if t else [] for t in texts]
-        known, old = self.known, self.known.old
-        extra: dict = {}
-        self._add({x for row in cut for x in row if x not in known and x not in old}, extra)
-        out = []
-        for row in cut:
-            parts = [extra[x] if x in extra else known[x] for x in row] if extra else list(map(known.__getitem__, row))
-            out.append(parts if parts and None not in parts else None)
-        known.turn()
-        return out
+        found, codes, at = self.coded(texts)
+        parts = [[found[k] for k in codes[a:b].tolist()] for a, b in pairwise(at.tolist())]
+        return [x if x and None not in x else None for x in parts]
 
 
 _aligners: dict = {}
@@ -244,6 +331,28 @@ def aligner(a_file: bytes, b_file: bytes) -> Aligner:
     return _aligners[key]
 
 
+def rows_of(own: Aligner, texts: list[str]) -> tuple[list[tuple], list[str], list[np.ndarray], list[np.ndarray]]:
+    """Of each text (n_a, n_b, n_groups, n_links, groups_sha256), the groups, the distinct linked pairs and the links of each."""
+    found, codes, at = own.coded(texts)
+    none = np.zeros(len(found) + 1, bool)
+    none[[k for k, x in enumerate(found) if x is None]] = True
+    n_a, n_b, n_groups, groups_of, raw = zip(*[x or (0, 0, 0, "", b"") for x in found], (0, 0, 0, "", b""), strict=True)
+    count = lambda x: np.diff(np.concatenate([[0], np.cumsum(np.array(x, np.int64)[codes])])[at]).tolist()
+    rows, said, pairs, times, codes_of, ends = [], [], [], [], codes.tolist(), at.tolist()
+    for (a, b), bad, links, *n in zip(pairwise(ends), count(none), gathered(list(raw), codes, ends, "<i8"), *map(count, (n_a, n_b, n_groups)), strict=True):
+        if a == b or bad:
+            rows.append((0, 0, 0, 0, ""))
+            said.append("")
+            links = links[:0]
+        else:
+            said.append(";".join(map(groups_of.__getitem__, codes_of[a:b])))
+            rows.append((*n, len(links), hashlib.sha256(said[-1].encode()).hexdigest()))
+        u, c = np.unique(links, return_counts=True)
+        pairs.append(u)
+        times.append(c)
+    return rows, said, pairs, times
+
+
 def aligned(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id", text_col: str = "text", groups: bool = True) -> DataFrame:
     """One row a document: id_col, n_a, n_b, n_groups, n_links, groups_sha256, ``pairs`` array<bigint> (the distinct linked
     id pairs, A's id << 32 | B's) and ``times`` array<bigint> (links of each), and, with ``groups``, the groups as a string
@@ -263,23 +372,8 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id"
         names = [id_col, "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times", *(["groups"] if groups else [])]
         for batch in it:
             at = 0
-            for texts in batches(batch.column(1).to_pylist()):
-                rows, said, pairs, times = [], [], [], []
-                for parts in own.of(texts):
-                    if parts is None:
-                        rows.append((0, 0, 0, 0, ""))
-                        said.append("")
-                        pairs.append(np.empty(0, np.int64))
-                        times.append(np.empty(0, np.int64))
-                        continue
-                    n_a, n_b, n_groups, groups_of, raw = zip(*parts, strict=True)
-                    links = np.frombuffer(b"".join(raw), np.int64)
-                    text = ";".join(groups_of)
-                    rows.append((sum(n_a), sum(n_b), sum(n_groups), len(links), hashlib.sha256(text.encode()).hexdigest()))
-                    said.append(text if groups else "")
-                    u, c = np.unique(links, return_counts=True)
-                    pairs.append(u)
-                    times.append(c)
+            for texts in batches(batch.column(1)):
+                rows, said, pairs, times = rows_of(own, texts)
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in pairs])]).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x), pa.int64())) for x in (pairs, times)]
                 counts = [pa.array(x, pa.int64()) for x in list(zip(*rows, strict=True))[:4]]

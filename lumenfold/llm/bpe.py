@@ -324,7 +324,7 @@ class Splitter:
             place[lo] = len(parts)
             parts.append(ids)
         parts.append(b"")  # where -1 points
-        out = gathered(parts, place, at)
+        out = [x.tobytes() for x in gathered(parts, place, at, "<u4")]
         for x in [x for x in chain(cores, marked, fresh) if len(x) > 64]:
             later.pop(x, None)
         for x in [x for x in starts if len(x) > 64]:
@@ -342,13 +342,13 @@ def chunks(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), cut.offsets.to_numpy()
 
 
-def gathered(parts: list[bytes], place: np.ndarray, at: list[int]) -> list[bytes]:
-    """The parts at the given places, joined between every two of ``at``. Parts are 32-bit numbers."""
-    size = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
+def gathered(parts: list[bytes], place: np.ndarray, at: list[int], kind: str) -> list[np.ndarray]:
+    """The numbers of the parts at the given places, joined between every two of ``at``."""
+    size = np.fromiter(map(len, parts), np.int64, len(parts)) // np.dtype(kind).itemsize
     start, n = np.cumsum(size) - size, size[place]
     ends = np.concatenate([[0], np.cumsum(n)])
-    numbers = np.frombuffer(b"".join(parts), "<u4")[np.repeat(start[place] - ends[:-1], n) + np.arange(ends[-1])]
-    return [numbers[a:b].tobytes() for a, b in pairwise(ends[at].tolist())]
+    numbers = np.frombuffer(b"".join(parts), kind)[np.repeat(start[place] - ends[:-1], n) + np.arange(ends[-1])]
+    return [numbers[a:b] for a, b in pairwise(ends[at].tolist())]
 
 
 def batches(texts: Iterable[str | None] | pa.Array, chars: int = CHARS) -> Iterator[list[str]]:

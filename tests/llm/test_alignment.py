@@ -113,6 +113,32 @@ def test_transducer_steps_are_memoised_and_groups_close_on_empty_residuals():
         t.align([0, 1], [1])
 
 
+def test_many_sequences_are_aligned_together_and_each_segment_is_looked_up_once(files):
+    own = A.Aligner(*files)
+    texts = [t for t in ODD if t] + ["the words, the words and the others.\nthe end" * 200]
+    keys = sorted({k for t in texts[-1:] for k in A.segments(t)})
+    a, b = ([list(ids) for ids in side] for side in (own._a_ids([A.spelled(k) for k in keys if k[0] != "\n"]), own.b.encode([k for k in keys if k[0] != "\n"])))
+    at = [[sum(map(len, side[:k])) for k in range(len(side) + 1)] for side in (a, b)]
+    got = own.transducer.align_all(*(A.np.array(x) for x in (sum(a, []), at[0], sum(b, []), at[1])))
+    for x, y, groups, links, n in zip(a, b, *got, strict=True):
+        want = own.transducer.align(x, y)
+        assert groups == said(want[0]) and links == b"".join(k.to_bytes(8, "little") for k in want[1]) and n == len(want[0])
+
+    class Counted(A.Cache):
+        asked = 0
+
+        def get(self, *key):
+            Counted.asked += 1
+            return super().get(*key)
+
+    own.known = Counted(A.SEGMENTS)
+    rows = A.rows_of(own, texts)
+    for t, row, groups in zip(texts, rows[0], rows[1], strict=True):
+        (want,) = whole([t])
+        assert (row[:4], groups) == ((want[0], want[1], len(want[2]), len(want[3])), said(want[2])) if want else row == (0, 0, 0, 0, "")
+    assert Counted.asked <= len(keys) + sum(map(len, ODD))
+
+
 @pytest.mark.parametrize("hot_pairs", [A.HOT_PAIRS, 8])
 def test_odd_rows_nulls_repeats_and_other_columns(spark, hot_pairs):
     texts = [*ODD, None, ODD[1], "a  b", "the the the", "the"]
