@@ -25,6 +25,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that ``materialize`` wrote, once nothing reads them."""
+    sc = df.sparkSession.sparkContext
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if f"/lumenfold-{sc.applicationId}/" not in folder:
+            raise ValueError(f"not a table of this application's own: {folder}")
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: A side is broadcast only if it was counted and has at most this many narrow rows.
 BROADCAST_ROWS = 50_000
 
